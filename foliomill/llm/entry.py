@@ -5,11 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliomill.llm import packing, tokenize
+from foliomill.llm import packing, tokenize, visual
 from foliomill.llm.common import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, pages = (visual.look_alikes(table(spark, sf_dir, name)) for name in ("chunks", "pages"))
+    return chunks.union(pages)
+
+
+def p2_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, pages = (visual.consistent(table(spark, sf_dir, name)) for name in ("chunks", "pages"))
+    return chunks.withColumn("source", F.lit("chunks")).union(pages.withColumn("source", F.lit("pages")))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
@@ -23,7 +34,7 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_pack, p9_fill)}
+    return {f.__name__: f for f in (p2_found, p2_consistent, p8_ids, p9_pack, p9_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
