@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import packing, tokenize, visual
+from foliomill.llm import packing, sentences, tokenize, visual
 from foliomill.llm.common import table
 
 
@@ -21,6 +21,15 @@ def p2_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.withColumn("source", F.lit("chunks")).union(pages.withColumn("source", F.lit("pages")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").where("source_type = 'main_text' and text_layer = 'original'")
+    return sentences.split(chunks).select(F.col("id").alias("chunk_id"), "sent_start")
+
+
+def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split(table(spark, sf_dir, "chunks")).withColumnRenamed("id", "chunk_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
@@ -34,7 +43,7 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_consistent, p8_ids, p9_pack, p9_fill)}
+    return {f.__name__: f for f in (p2_found, p2_consistent, p4_found, p4_sentences, p8_ids, p9_pack, p9_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
