@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.llm.common import stored
 from foliomill.llm.tokenize import _arrow_type
 
 #: Letters that look the same, one row each: Latin, Cyrillic, Greek ("-" for none).
@@ -132,10 +133,10 @@ def look_alikes(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame
     the join (a partial aggregate finds them), so the join sees just the groups that make pairs.
     """
     kind = df.schema[key].dataType
-    digests = df.select(df[key].alias("key"), df[text].alias("text")).where(F.col("text").isNotNull()).mapInArrow(
+    digests = stored(df.select(df[key].alias("key"), df[text].alias("text")).where(F.col("text").isNotNull()).mapInArrow(
         _in_duckdb("key, CASE WHEN regexp_full_match(clean, '[\\s\\p{Z}\\p{C}]*') THEN NULL ELSE md5(clean) END AS form, md5(text) AS spelling"),
         f"key {kind.simpleString()}, form string, spelling string",
-    ).where("form is not null").select("key", F.unhex("form").alias("form"), F.unhex("spelling").alias("spelling"))
+    ).where("form is not null").select("key", F.unhex("form").alias("form"), F.unhex("spelling").alias("spelling")))
     several = digests.groupBy("form").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select("form")
     rows = digests.join(several, "form", "left_semi")
     a, b = rows.alias("a"), rows.alias("b")
