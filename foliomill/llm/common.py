@@ -42,6 +42,13 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def sampled(df: DataFrame, key: str | Column, rows: int) -> DataFrame:
-    """At most ``rows`` rows, the same ones for the same data: those of the least hashed keys."""
+    """At most ``rows`` rows, the same ones for the same data: those of the least hashed keys.
+
+    The rows are counted first, so that each task sends its share of the sample and not ``rows`` rows.
+    """
     column = F.col(key) if isinstance(key, str) else key
+    spread = 1 << 30
+    total = df.count()
+    if total > 2 * rows:
+        df = df.where(F.pmod(F.xxhash64(column), F.lit(spread)) < int(spread * 1.3 * rows / total))
     return df.orderBy(F.xxhash64(column), column).limit(rows)
