@@ -8,6 +8,7 @@ their hashes come out of a few array operations instead of a loop per row.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -84,6 +85,16 @@ def lower_table() -> np.ndarray:
     return table
 
 
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
+
+
+def plain(text: str) -> str:
+    """Without invisible characters, in compatibility form: for features only."""
+    if text.isascii():
+        return text
+    return unicodedata.normalize("NFKC", _UNSEEN.sub("", text))
+
+
 class TextBatch:
     """The texts of a batch, each followed by one LF that isn't part of it."""
 

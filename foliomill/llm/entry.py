@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import packing, sentences, tokenize, visual
+from foliomill.llm import packing, sentences, subjects, tokenize, visual
 from foliomill.llm.common import table
 
 
@@ -42,8 +42,18 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assign(*(table(spark, sf_dir, name) for name in ("documents", "subject_labels", "subjects"))).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and whole-document equivalents of each subject."""
+    found = subjects.assign(*(table(spark, sf_dir, name) for name in ("documents", "subject_labels", "subjects")))
+    return found.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("share").alias("weight"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_consistent, p4_found, p4_sentences, p8_ids, p9_pack, p9_fill)}
+    return {f.__name__: f for f in (p2_found, p2_consistent, p4_found, p4_sentences, p8_ids, p9_pack, p9_fill, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
