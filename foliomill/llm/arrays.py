@@ -88,11 +88,30 @@ def lower_table() -> np.ndarray:
 _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
 
 
+_SEAM = re.compile("[A-Za-z][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-z]")
+_MIXED = re.compile("[A-Za-z]*(?:[A-Za-z][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-z])[A-Za-z\u0370-\u04ff]*")
+# Letters of three scripts that look the same.
+_LATIN, _CYRILLIC = "aceiopsxyABCEHIKMOPSTX", "асеіорѕхуАВСЕНІКМОРЅТХ"
+_TO_LATIN = str.maketrans(_CYRILLIC + "νορΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", _LATIN + "vopABEZHIKMNOPTYX")
+_TO_CYRILLIC = str.maketrans(_LATIN, _CYRILLIC)
+
+
+def _one_script(m: re.Match) -> str:
+    """A word with letters of two scripts, in the one that can spell all of it."""
+    word = m.group()
+    latin = word.translate(_TO_LATIN)
+    if latin.isascii():
+        return latin
+    cyrillic = word.translate(_TO_CYRILLIC)
+    return cyrillic if not any("A" <= c <= "z" for c in cyrillic) else word
+
+
 def plain(text: str) -> str:
-    """Without invisible characters, in compatibility form: for features only."""
+    """Without invisible characters, in compatibility form, words in one script: for features only."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFKC", _UNSEEN.sub("", text))
+    text = unicodedata.normalize("NFKC", _UNSEEN.sub("", text))
+    return _MIXED.sub(_one_script, text) if _SEAM.search(text) else text
 
 
 class TextBatch:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import packing, sentences, subjects, tokenize, visual
+from foliomill.llm import languages, packing, sentences, subjects, tokenize, visual
 from foliomill.llm.common import table
 
 
@@ -30,6 +30,19 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(table(spark, sf_dir, "chunks")).withColumnRenamed("id", "chunk_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.wrong_or_foreign(table(spark, sf_dir, "articles"), table(spark, sf_dir, "pages"))
+
+
+def p5_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole, _ = languages.assign(table(spark, sf_dir, "articles"), table(spark, sf_dir, "pages"))
+    return whole.withColumnRenamed("id", "article_id")
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.assign(table(spark, sf_dir, "articles"), table(spark, sf_dir, "pages"))[1]
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
@@ -53,7 +66,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_consistent, p4_found, p4_sentences, p8_ids, p9_pack, p9_fill, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p2_found, p2_consistent, p4_found, p4_sentences, p5_found, p5_articles, p5_segments, p8_ids, p9_pack, p9_fill, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
