@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import languages, packing, sentences, subjects, tokenize, visual
+from foliomill.llm import duplicates, languages, packing, sentences, subjects, tokenize, visual
 from foliomill.llm.common import table
 
 
@@ -43,6 +43,21 @@ def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.assign(table(spark, sf_dir, "articles"), table(spark, sf_dir, "pages"))[1]
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks")
+    members, links = duplicates.near(chunks)
+    place = chunks.select("id", F.xxhash64("article_id", "chunk_index").alias("place"))
+    found = duplicates.pairs_of(members.join(place, "id"), links, "id", "place")
+    return found.union(duplicates.near_articles(table(spark, sf_dir, "articles")))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The representative of each chunk and how many other texts are near it."""
+    members, links = duplicates.near(table(spark, sf_dir, "chunks"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(degree, "rep", "left").select(F.col("id").alias("chunk_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
@@ -66,7 +81,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_consistent, p4_found, p4_sentences, p5_found, p5_articles, p5_segments, p8_ids, p9_pack, p9_fill, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p2_found, p2_consistent, p4_found, p4_sentences, p5_found, p5_articles, p5_segments, p6_found, p6_groups, p8_ids, p9_pack, p9_fill, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
