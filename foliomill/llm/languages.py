@@ -70,11 +70,10 @@ def label_of(column: Column) -> Column:
 
 
 class Tree:
-    """Counts of one language: context -> (occurrences, bytes seen)."""
+    """Contexts of one language, with the bytes seen in each; frozen, with their code lengths."""
 
     def __init__(self) -> None:
-        self.nodes: dict[bytes, dict[int, int]] = {}
-        self.totals: dict[bytes, int] = {}
+        self.nodes: dict[bytes, dict[int, float]] = {}
 
     def add(self, context: bytes, unit: bytes, times: int) -> None:
         whole = context + unit
@@ -86,28 +85,28 @@ class Tree:
                 node[c] = node.get(c, 0) + times
 
     def freeze(self) -> "Tree":
-        self.totals = {k: sum(v.values()) for k, v in self.nodes.items()}
+        """Counts become bits: a byte's share, or that of escapes (as many as there are different
+        bytes, under -1)."""
+        for node in self.nodes.values():
+            total = sum(node.values()) + len(node)
+            escape = log2(total / len(node))
+            for c, n in node.items():
+                node[c] = log2(total / n)
+            node[-1] = escape
         return self
 
-    def bits(self, context: bytes, unit: bytes) -> float:
-        """Code length: in each context the byte's share, or the share of escapes (as many as there
-        are different bytes) and on to the next shorter context; 256 equal bytes at the end."""
-        whole, nodes, totals, cost = context + unit, self.nodes, self.totals, 0.0
-        for i in range(len(context), len(whole)):
-            c = whole[i]
-            for order in range(min(ORDER, i), -1, -1):
-                key = whole[i - order:i]
-                node = nodes.get(key)
-                if node is None:
-                    continue
-                n = totals[key]
-                if c in node:
-                    cost += log2((n + len(node)) / node[c])
-                    break
-                cost += log2((n + len(node)) / len(node))
-            else:
-                cost += 8.0
-        return cost
+    def bits(self, context: bytes, c: int) -> float:
+        """Code length of a byte behind a context: escapes to shorter contexts until one knows the byte;
+        256 equal bytes at the end."""
+        nodes, cost = self.nodes, 0.0
+        for start in range(len(context) + 1):
+            node = nodes.get(context[start:])
+            if node is not None:
+                known = node.get(c)
+                if known is not None:
+                    return cost + known
+                cost += node[-1]
+        return cost + 8.0
 
 
 class Units:
@@ -178,7 +177,7 @@ class Coder:
                     done, key = row + 1, short
                     if row >= len(self.byte_costs):
                         self.byte_costs = np.concatenate([self.byte_costs, np.zeros_like(self.byte_costs)])
-                    self.byte_costs[row] = [t.bits(key[:-1], key[-1:]) for t in self.trees]
+                    self.byte_costs[row] = [t.bits(key[:-1], key[-1]) for t in self.trees]
                 rows.append(row)
         return np.add.reduceat(self.byte_costs[rows], first, axis=0)
 
@@ -361,7 +360,8 @@ def assign(articles: DataFrame, pages: DataFrame, trees: list[Tree] | None = Non
     main = by_article.groupBy("article_id").agg(F.max(F.struct("s", "n", "language")).alias("m"), F.sum("s").alias("s"), F.sum("n").alias("n")).select(
         F.col("article_id").alias("id"), F.col("m.language").alias("language"),
         F.when(F.col("s") > 0, F.col("m.s") / F.col("s")).otherwise(F.col("m.n") / F.col("n")).alias("confidence"))
-    titles = page_segments(articles.select(F.col("id").alias("article_id"), F.lit(0).alias("page_number"), F.regexp_replace("title", r"[\r\n]+", " ").alias("text")), fitted)
+    without = articles.join(main.select("id"), "id", "left_anti")
+    titles = page_segments(without.select(F.col("id").alias("article_id"), F.lit(0).alias("page_number"), F.regexp_replace("title", r"[\r\n]+", " ").alias("text")), fitted)
     titles = titles.groupBy("article_id").agg(F.max(F.struct("letters", "language", "confidence")).alias("t"))
     whole = (
         articles.select("id", F.col("language").alias("label")).join(main, "id", "left").join(titles, F.col("id") == F.col("article_id"), "left")
