@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import duplicates, languages, packing, sentences, subjects, tokenize, visual
+from foliomill.llm import duplicates, languages, packing, quality, sentences, subjects, tokenize, visual
 from foliomill.llm.common import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(table(spark, sf_dir, "page_text_layers")).withColumnRenamed("id", "layer_id")
+
+
+def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.statistics(table(spark, sf_dir, "page_text_layers")).withColumnRenamed("id", "layer_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, pages = (visual.look_alikes(table(spark, sf_dir, name)) for name in ("chunks", "pages"))
     return chunks.union(pages)
@@ -81,7 +89,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_consistent, p4_found, p4_sentences, p5_found, p5_articles, p5_segments, p6_found, p6_groups, p8_ids, p9_pack, p9_fill, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_consistent, p4_found, p4_sentences, p5_found, p5_articles, p5_segments, p6_found, p6_groups, p8_ids, p9_pack, p9_fill, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
