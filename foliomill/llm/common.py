@@ -52,3 +52,12 @@ def sampled(df: DataFrame, key: str | Column, rows: int) -> DataFrame:
     if total > 2 * rows:
         df = df.where(F.pmod(F.xxhash64(column), F.lit(spread)) < int(spread * 1.3 * rows / total))
     return df.orderBy(F.xxhash64(column), column).limit(rows)
+
+
+#: Most rows of a few numbers or ids each that are broadcast (some 50 MB); beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """The table with a broadcast hint if it has few enough rows, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -19,12 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm import arrays as A
-from foliomill.llm.common import stored
-from foliomill.llm.tokenize import _arrow_type
+from foliomill.llm.common import checked_broadcast, stored
 
 SHINGLE = 3
 THRESHOLD = 0.6
-BANDS, ROWS = 50, 6
+BANDS, ROWS = 42, 6
 BUCKETS = BANDS * ROWS
 #: Bits kept behind the leading zeros; of the registers that travel with candidates, fewer.
 MANTISSA = 8
@@ -136,21 +135,20 @@ def _sketch(columns: dict) -> pa.RecordBatch:
         if len(some):
             digest[some, 0] = np.add.reduceat(spread, bounds[some])
             digest[some, 1] = np.bitwise_xor.reduceat(spread * np.uint64(0xD6E8FEB86659FD93), bounds[some])
+    regs = registers(values, of, n)
+    keys = band_keys(regs)
     return pa.RecordBatch.from_arrays([
         pa.array(columns["key"]), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.array(counts, pa.int32()),
-        pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
-    ], names=["key", "d1", "d2", "n", "grams"])
+        pa.array([r.tobytes() for r in compressed(regs)], pa.binary()),
+        pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
+    ], names=["key", "d1", "d2", "n", "regs", "bands"])
 
 
-def _registered(columns: dict) -> pa.RecordBatch:
-    values = [np.frombuffer(g, np.uint32) for g in columns["grams"]]
-    of = np.repeat(np.arange(len(values)), [len(v) for v in values])
-    regs = registers(np.concatenate(values), of, len(values))
-    keys = band_keys(regs)
-    return pa.RecordBatch.from_arrays([
-        pa.array(columns["rep"], pa.int64()), pa.array(columns["grams"], pa.binary()), pa.array([r.tobytes() for r in compressed(regs)], pa.binary()),
-        pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
-    ], names=["rep", "grams", "regs", "bands"])
+def _grams(columns: dict) -> pa.RecordBatch:
+    texts = columns["text"]
+    values, of = shingles(texts)
+    bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+    return pa.RecordBatch.from_arrays([pa.array(columns["rep"], pa.int64()), pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], names=["rep", "grams"])
 
 
 def _close(columns: dict) -> pa.RecordBatch:
@@ -177,25 +175,31 @@ def near(df: DataFrame, key: str = "id", text: str = "text") -> tuple[DataFrame,
     Records with the same set of shingles have the same representative, a 64-bit hash of the set. Null
     texts and texts without letters or digits are in neither. Links are never capped.
     """
-    kind = df.schema[key].dataType
-    key_kind = kind.simpleString()
-    _arrow_type(kind)
-    sketched = df.select(df[key].alias("key"), df[text].alias("text")).where("text is not null").mapInArrow(
-        A.map_arrow(_sketch), f"key {key_kind}, d1 bigint, d2 bigint, n int, grams binary").where("n > 0")
-    sketched = stored(sketched.withColumn("rep", F.xxhash64("d1", "d2", "n")))
-    members = sketched.select(F.col("key").alias(key), "rep")
-    # one row for each set of shingles, whatever the number of its copies
-    sets = stored(sketched.groupBy("rep").agg(F.first("grams").alias("grams")).mapInArrow(A.map_arrow(_registered), "rep bigint, grams binary, regs binary, bands array<bigint>"))
+    kind = df.schema[key].dataType.simpleString()
+    texts = df.select(df[key].alias("key"), df[text].alias("text")).where("text is not null")
+    sketched = texts.mapInArrow(A.map_arrow(_sketch, 2_000_000), f"key {kind}, d1 bigint, d2 bigint, n int, regs binary, bands array<bigint>").where("n > 0")
+    sketched = stored(sketched.select("key", F.xxhash64("d1", "d2", "n").alias("rep"), "regs", "bands"))
+    members = sketched.select("key", "rep")
+    # one row for each set of shingles: only the rows of sets that have copies are shuffled for that
+    copied = stored(members.groupBy("rep").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n > 1"))
+    keep = checked_broadcast(copied.select("rep", F.col("key").alias("kept")))
+    firsts = sketched.join(keep, "rep", "left").where("kept is null or key = kept").select("rep", "key", "regs", "bands", "kept")
+    single = firsts.where("kept is null").drop("kept")
+    # rows that share even their key are told apart by nothing: one of them stays
+    sets = single.union(firsts.where("kept is not null").drop("kept").dropDuplicates(["rep"]))
     banded = sets.select("rep", F.explode("bands").alias("band"))
     left, right = banded.alias("x"), banded.alias("y")
     pairs = left.join(right, F.expr("x.band = y.band and x.rep < y.rep")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     regs = sets.select("rep", "regs")
     with_regs = pairs.join(regs.select(F.col("rep").alias("a"), F.col("regs").alias("regs_a")), "a").join(regs.select(F.col("rep").alias("b"), F.col("regs").alias("regs_b")), "b")
     close = stored(with_regs.select("a", "b", "regs_a", "regs_b").mapInArrow(A.map_arrow(_close), "a bigint, b bigint"))
-    grams = sets.select("rep", "grams")
+    # texts are read again, those of close pairs alone, and compared as sets
+    needed = close.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = members.join(checked_broadcast(needed), "rep", "left_semi").groupBy("rep").agg(F.min("key").alias("key"))
+    grams = stored(texts.join(checked_broadcast(stored(wanted)), "key").dropDuplicates(["rep"]).select("rep", "text").mapInArrow(A.map_arrow(_grams), "rep bigint, grams binary"))
     both = close.join(grams.select(F.col("rep").alias("a"), F.col("grams").alias("grams_a")), "a").join(grams.select(F.col("rep").alias("b"), F.col("grams").alias("grams_b")), "b")
     links = both.select("a", "b", "grams_a", "grams_b").mapInArrow(A.map_arrow(_compared), "a bigint, b bigint, jaccard double")
-    return members, links
+    return members.withColumnRenamed("key", key), links
 
 
 def pairs_of(members: DataFrame, links: DataFrame, key: str, same: str | None = None) -> DataFrame:
@@ -228,10 +232,10 @@ def title_words(title: str | None) -> list[str]:
 #: Words of either title that may be missing in the other.
 MISSING = 2
 LEAST_WORDS = 6
-#: Two such titles share one at least of the MISSING + 1 words that are rarest in either; registers over
-#: somewhat more of them tell which titles may be alike.
-RAREST = MISSING + 3
-TITLE_BUCKETS = 64
+#: Two such titles share one at least of the MISSING + 1 words that are rarest in either (all words being
+#: ranked alike), so registers over these tell which titles may be alike.
+RAREST = MISSING + 1
+TITLE_BUCKETS = 40
 TITLE_MANTISSA = 22
 
 
@@ -245,7 +249,7 @@ def _title_sets(columns: dict) -> pa.RecordBatch:
 
 def _title_bands(columns: dict) -> pa.RecordBatch:
     """Each register of a title's rarest words is a band of its own: their sets are small, so with a long
-    mantissa a single register tells enough, and one shared word of nine is found by 64 of them."""
+    mantissa a single register tells enough, and one shared word of five is missed by all 40 in one case of 7,000."""
     n = len(columns["words"])
     hashed = [np.array(sorted({A.string_hash(w) >> 32 for w in rare}), np.uint32) for rare in columns["rare"]]
     regs = registers(np.concatenate(hashed), np.repeat(np.arange(n), [len(h) for h in hashed]), n, TITLE_BUCKETS, TITLE_MANTISSA)
