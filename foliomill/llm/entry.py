@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import duplicates, languages, packing, quality, sentences, subjects, tokenize, visual
+from foliomill.llm import duplicates, languages, packing, quality, scans, sentences, subjects, tokenize, visual
 from foliomill.llm.common import table
 
 
@@ -29,6 +29,14 @@ def p2_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.withColumn("source", F.lit("chunks")).union(pages.withColumn("source", F.lit("pages")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noisy_lines(table(spark, sf_dir, "page_text_layers"), table(spark, sf_dir, "articles"))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(table(spark, sf_dir, "page_text_layers"), table(spark, sf_dir, "articles"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks").where("source_type = 'main_text' and text_layer = 'original'")
     return sentences.split(chunks).select(F.col("id").alias("chunk_id"), "sent_start")
@@ -89,7 +97,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_consistent, p4_found, p4_sentences, p5_found, p5_articles, p5_segments, p6_found, p6_groups, p8_ids, p9_pack, p9_fill, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_consistent, p3_found, p3_repaired, p4_found, p4_sentences, p5_found, p5_articles, p5_segments, p6_found, p6_groups, p8_ids, p9_pack, p9_fill, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
