@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import duplicates, languages, packing, quality, scans, sentences, subjects, tokenize, visual
+from foliomill.llm import duplicates, languages, packing, quality, scans, sentences, splitting, subjects, tokenize, visual
 from foliomill.llm.common import table
 
 
@@ -74,6 +74,15 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(degree, "rep", "left").select(F.col("id").alias("chunk_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.pieces(table(spark, sf_dir, "text_chunks"), table(spark, sf_dir, "pages"))
+    return pieces.where("piece > 0").select("article_id", "chunk_index").distinct()
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.pieces(table(spark, sf_dir, "text_chunks"), table(spark, sf_dir, "pages"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
@@ -97,7 +106,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_consistent, p3_found, p3_repaired, p4_found, p4_sentences, p5_found, p5_articles, p5_segments, p6_found, p6_groups, p8_ids, p9_pack, p9_fill, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_consistent, p3_found, p3_repaired, p4_found, p4_sentences, p5_found, p5_articles, p5_segments, p6_found, p6_groups, p7_found, p7_pieces, p8_ids, p9_pack, p9_fill, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
