@@ -23,7 +23,7 @@ from foliomill.llm.common import checked_broadcast, stored
 
 SHINGLE = 3
 THRESHOLD = 0.6
-BANDS, ROWS = 42, 6
+BANDS, ROWS = 40, 6
 BUCKETS = BANDS * ROWS
 #: Bits kept behind the leading zeros; of the registers that travel with candidates, fewer.
 MANTISSA = 8
