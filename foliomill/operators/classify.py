@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,26 +21,38 @@ def unicode_spaces(pattern: str) -> str:
     return pattern.replace(r"\s", X.WS)
 
 
+def needed(pattern: str) -> str:
+    """The longest run of letters that every match of a pattern must have, in lower case; "" if there is none for sure."""
+    if "|" in re.sub(r"\(\?:[^()]*\)", "", pattern):
+        return ""
+    plain = re.sub(r"\\[A-Za-z]|\\.|\[[^]]*\]", "\0", re.sub(r"\(\?:[^()]*\)[?*]?", "\0", pattern))
+    plain = re.sub(r".[?*{]", "\0", plain)
+    return max(re.findall("[A-Za-z]+", plain), key=len, default="").lower()
+
+
 def tag_hits(chunks: DataFrame, terms: dict[str, dict[str, list[str]]] = R.TERMS) -> DataFrame:
     """``article_id, tag_type, tag_value, hits``: how many of a tag's patterns match the article's text, its chunks joined
     by blank lines in order (``article_id, chunk_index, text``, one row an index).
 
     The text is never put together: each chunk is matched with the end of the one before, where a phrase may begin. A mark before
-    that end keeps a word cut in two from looking like a word. All patterns are tested in one pass; a chunk sends on one
-    number a pattern type, combined before the shuffle.
+    that end keeps a word cut in two from looking like a word. All patterns are tested in one pass, each only where a literal it
+    needs is in the text; what is shuffled are distinct numbers of patterns.
     """
     rules = R.rule_rows(terms)
     joined = previous_value(chunks.select("article_id", "chunk_index", F.coalesce("text", F.lit("")).alias("text")), "article_id", "chunk_index", F.substring("text", -REACH, REACH), "before")
     text = F.when(F.col("before").isNull(), F.col("text")).otherwise(F.concat(F.lit("_"), F.col("before"), F.lit("\n\n"), F.col("text")))
-    seen = joined.select("article_id", text.alias("text")).select("article_id", *[F.col("text").rlike(R.FLAGS + unicode_spaces(p)).alias(f"m{i}") for i, _, _, p in rules])
-    by_article = seen.groupBy("article_id").agg(*[F.max(f"m{i}").alias(f"m{i}") for i, *_ in rules])
-    tags: dict[tuple[str, str], list[int]] = {}
-    for i, kind, value, _ in rules:
-        tags.setdefault((kind, value), []).append(i)
-    listed = F.array(*[
-        F.struct(F.lit(kind).alias("tag_type"), F.lit(value).alias("tag_value"), reduce(lambda a, b: a + b, [F.col(f"m{i}").cast("int") for i in members]).alias("hits"))
-        for (kind, value), members in tags.items()])
-    return by_article.select("article_id", F.inline(F.filter(listed, lambda t: t["hits"] > 0)))
+    tried = joined.select("article_id", text.alias("text")).withColumn("low", F.lower("text"))
+
+    def seen(pattern: str) -> Column:
+        literal = needed(pattern)
+        found = F.col("text").rlike(R.FLAGS + unicode_spaces(pattern))
+        return F.contains(F.col("low"), F.lit(literal)) & found if literal else found
+
+    matched = F.array(*[F.when(seen(pattern), F.lit(i)) for i, _, _, pattern in rules])
+    ids = tried.select("article_id", F.explode(F.filter(matched, lambda m: m.isNotNull())).alias("rule")).distinct()
+    names = F.array(*[F.struct(F.lit(kind).alias("tag_type"), F.lit(value).alias("tag_value")) for _, kind, value, _ in rules])
+    named = ids.withColumn("tag", F.element_at(names, F.col("rule") + 1))
+    return named.groupBy("article_id", F.col("tag.tag_type").alias("tag_type"), F.col("tag.tag_value").alias("tag_value")).agg(F.count("*").cast("int").alias("hits"))
 
 
 def tags(chunks: DataFrame, terms: dict[str, dict[str, list[str]]] = R.TERMS) -> DataFrame:

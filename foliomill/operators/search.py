@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,14 +48,27 @@ def batch_search(chunks: DataFrame, articles: DataFrame, questions: list[tuple[s
     """search for many (qid, query) at once: ``qid, query, rank`` and its columns. The questions are a driver-side list, so
     each chunk is read once and tried against all of them; only hits with their scores go on to the ranking."""
     rows = [(qid, checked(query, top_k)) for qid, query in questions]
-    asked = F.array(*[F.struct(F.lit(qid).alias("qid"), F.lit(q).alias("query")) for qid, q in rows])
-    tried = chunks.select("id", "article_id", "chunk_index", F.explode(asked).alias("ask"), "text").select("id", "article_id", "chunk_index", "ask.qid", "ask.query", X.query_terms(F.col("ask.query")).alias("terms"), "text")
-    hits = tried.where(X.matches(F.col("text"), F.col("query"), F.col("terms"))).select("qid", "query", "terms", "id", "article_id", "chunk_index", X.score(F.col("text"), F.col("query"), F.col("terms")).alias("score"))
+    spark = chunks.sparkSession
+    terms = {r.qid: r.terms for r in spark.createDataFrame(rows, "qid string, query string").select("qid", X.query_terms(F.col("query")).alias("terms")).collect()}
+    texts = chunks.select("id", "article_id", "chunk_index", "text").withColumn("low", F.lower("text"))
+
+    def scored(qid: str, query: str) -> Column:
+        """qid and score where the chunk is a hit, else null; over the text in lower case."""
+        low = F.col("low")
+        taken = [F.length(low) - F.length(F.replace(low, F.lit(t.lower()), F.lit(""))) for t in (terms[qid] or [query])]
+        phrase = F.contains(low, F.lit(query.lower()))
+        hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(t.lower())) for t in terms[qid]], phrase)
+        return F.when(hit, F.struct(F.lit(qid).alias("qid"), (F.when(phrase, 1000).otherwise(0) + reduce(lambda a, b: a + b, taken)).alias("score")))
+
+    every = F.array(*[scored(qid, query) for qid, query in rows])
+    hits = texts.select("id", "article_id", "chunk_index", F.inline(F.filter(every, lambda s: s.isNotNull())))
     hits = hits.join(articles.select(F.col("id").alias("article_id"), "title", "doi"), "article_id")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_index", "article_id", "id")
-    top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-    texts = chunks.select("id", "page_start", "page_end", "text")
-    return top.join(texts, "id").withColumnRenamed("id", "chunk_id").select("qid", "query", "rank", *_result(F.col("query"), F.col("terms")))
+    asked = spark.createDataFrame([(qid, query, terms[qid]) for qid, query in rows], "qid string, query string, terms array<string>")
+    top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).join(F.broadcast(asked), "qid")
+    # at most top_k rows a question: small enough to be sent to the texts
+    found = chunks.select("id", "page_start", "page_end", "text").join(F.broadcast(top), "id").withColumnRenamed("id", "chunk_id")
+    return found.select("qid", "query", "rank", *_result(F.col("query"), F.col("terms")))
 
 
 def evaluate(results: DataFrame, questions: DataFrame) -> DataFrame:
