@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import stored
+from foliomill.llm.common import checked_broadcast, stored
 from foliomill.llm.tokenize import _arrow_type
 
 #: Letters that look the same, one row each: Latin, Cyrillic, Greek ("-" for none).
@@ -137,8 +137,8 @@ def look_alikes(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame
         _in_duckdb("key, CASE WHEN regexp_full_match(clean, '[\\s\\p{Z}\\p{C}]*') THEN NULL ELSE md5(clean) END AS form, md5(text) AS spelling"),
         f"key {kind.simpleString()}, form string, spelling string",
     ).where("form is not null").select("key", F.unhex("form").alias("form"), F.unhex("spelling").alias("spelling")))
-    several = digests.groupBy("form").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select("form")
-    rows = digests.join(several, "form", "left_semi")
+    several = stored(digests.groupBy("form").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select("form"))
+    rows = digests.join(checked_broadcast(several), "form", "left_semi")
     a, b = rows.alias("a"), rows.alias("b")
     return a.join(b, F.expr("a.form = b.form and a.spelling <> b.spelling and a.key < b.key")).select(
         F.col("a.key").alias("id_a"), F.col("b.key").alias("id_b")).distinct()
