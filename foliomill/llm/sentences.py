@@ -12,7 +12,6 @@ break between paragraphs, a heading included, is no candidate: it always counts.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections import Counter
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.arrays import map_arrow
+from foliomill.llm.arrays import map_arrow, plain
 from foliomill.llm.common import sampled
 from foliomill.llm.tokenize import _arrow_type
 
@@ -36,18 +35,12 @@ OFTEN = 12
 _CLOSING = "»”\"'’)\\]」』）］〉》"
 CANDIDATE = re.compile(rf"(?:[.!?…。！？｡．]+)[​-‍⁠﻿\xad]*(?:[​-‍⁠﻿\xad \xa0  ]?»|[{_CLOSING}]|(?<=[.!?…])“)*")
 _BREAK = re.compile(r"[^\S\n\r\x85  ]*[\n\r\x0b\x0c\x85  ]\s*")
-_LAST = re.compile(r"(\S{0,24}?)\s?(\S{0,24})$")
+_ENDED = re.compile(rf"(?:{CANDIDATE.pattern})$")
 _UNSEEN = re.compile("[­​-‏⁠﻿]")
 _OPENING = "«“„\"'‘(「『（¿¡[—–-"
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[぀-ヿ㐀-鿿]{1,2}|[^\W\d_぀-ヿ㐀-鿿]+|\S")
 
 
-def _plain(token: str) -> str:
-    if token.isascii():
-        return token
-    return unicodedata.normalize("NFKC", _UNSEEN.sub("", token))
-
-
 def _shape(token: str) -> str:
     """Digits as 0; a single capital as X."""
     if token[:1].isdigit():
@@ -67,8 +60,8 @@ def _candidates(text: str) -> list[tuple]:
         while after < n and text[after].isspace():
             after += 1
         gap = text[end:after]
-        before = _TOKEN.findall(_plain(text[max(0, start - 32):start]))[-2:]
-        ahead = _TOKEN.findall(_plain(text[after:after + 40]))[:3]
+        before = _TOKEN.findall(plain(text[max(0, start - 32):start]))[-2:]
+        ahead = _TOKEN.findall(plain(text[after:after + 40]))[:3]
         mark = _UNSEEN.sub("", m.group()).replace(" ", "").replace("\xa0", "")
         kind = "end" if after >= n else "line" if any(c in "\n\r\x0b\x0c\x85  " for c in gap) else "gap" if gap else "none"
         prev = before[-1] if before else "^"
@@ -133,7 +126,7 @@ def train(texts: list[str]) -> dict:
     for text, found in zip(texts, every):
         text = text[:TRAINING_CHARS]
         for line in re.split(r"[\n\r\x0b\x0c\x85  ]+", text):
-            tokens = _TOKEN.findall(_plain(line))
+            tokens = _TOKEN.findall(plain(line))
             if not tokens:
                 continue
             _, first, second = _first_word(tokens[:3])
@@ -250,7 +243,7 @@ def _breaks(text: str, m: re.Match) -> bool:
     if sum(c in "\n\x85  " for c in m.group()) > 1 or m.group().endswith("  "):
         return True
     line = text[text.rfind("\n", 0, m.start()) + 1:m.start()].rstrip()
-    if CANDIDATE.search(line[-6:]) and CANDIDATE.search(line[-6:]).end() == len(line[-6:]):
+    if _ENDED.search(line[-12:]):
         return True
     return len(line) <= 32 and not text[m.end()].islower()
 
