@@ -23,10 +23,12 @@ from foliomill.llm.tokenize import _arrow_type
 LABELLED = 3000
 UNLABELLED = 2000
 #: Characters used of a longer document, in fitting only.
-FITTED_CHARS = 3000
+FITTED_CHARS = 4000
 BITS = 18
-ROUNDS = 3
+ROUNDS = 2
 STEPS = 30
+#: Share of sentences from which an unlabelled document is fitted on as if it had a label.
+TAKEN = 0.3
 #: A subject counts from this share of a document's sentences on, unless calibration moves it.
 SHARE = 0.25
 
@@ -117,20 +119,24 @@ def train(texts: list[str], labels: list[list[int]], k: int, more: list[str] = (
     for turn in range(ROUNDS):
         weights[known], bias = _fit(index, of, n, len(known), target, use, k)
         p = 1 / (1 + np.exp(-np.clip(_scores(feature, of, n, weights, bias), -30, 30)))
-        sure = p.max(1)
-        best = p.argmax(1)
-        of_labelled = owner < n_labelled
+        sure, best = p.max(1), p.argmax(1)
+        first_time = ~allowed[owner].any(1)
+        # an unlabelled document takes the subjects that enough of its sentences show, and hands them down like a labelled one
+        shown = _shares(p, owner, weight, len(texts)) >= TAKEN
+        shown[:n_labelled] = False
+        allowed = allowed | shown
+        has = allowed[owner].any(1)
         within = np.where(allowed[owner], p, 0)
-        mine = within.argmax(1)
+        strength = within.max(1)
         target = np.zeros((n, k), np.float32)
-        strength = np.where(of_labelled, within.max(1), sure)
-        pick = np.where(of_labelled, mine, best)
-        target[np.arange(n), pick] = strength >= 0.5
-        # a sentence of a labelled document that says another subject aloud is taken at its word
-        aloud = of_labelled & (sure > 0.9) & (strength < 0.3)
+        target[np.arange(n), within.argmax(1)] = has & (strength >= 0.5)
+        handed = has & first_time & (strength < 0.5)
+        target[handed] = (allowed[owner] / np.maximum(1, allowed[owner].sum(1, keepdims=True)))[handed]
+        # a sentence that says another subject aloud is taken at its word
+        aloud = has & (sure > 0.9) & (strength < 0.3)
         target[aloud] = 0
         target[aloud, best[aloud]] = 1
-        use = (weight >= 12) & np.where(of_labelled, (strength >= 0.5) | (sure < 0.2) | aloud, (sure > 0.8) | (sure < 0.1))
+        use = (weight >= 12) & has & ((strength >= 0.5) | (sure < 0.2) | handed | aloud)
         if turn == ROUNDS - 1:
             break
     share = _shares(p, owner, weight, len(texts))[:n_labelled]
