@@ -35,7 +35,6 @@ ESTIMATE = THRESHOLD - 0.2
 _rng = np.random.default_rng(20240601)
 _FACTORS = _rng.integers(1, 1 << 31, max(BUCKETS, 300), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADDENDS = _rng.integers(0, 1 << 32, max(BUCKETS, 300), dtype=np.uint64).astype(np.uint32)
-_FOLD_LATIN = str.maketrans("аеорсухіјѕνοΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsvoABEZHIKMNOPTYX")
 
 
 def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,6 @@ line, so that wrong labels and foreign passages leave the training text.
 
 from __future__ import annotations
 
-from collections import Counter
 from math import log2
 
 import numpy as np

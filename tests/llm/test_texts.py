@@ -1,6 +1,5 @@
 """Tests of the operators on texts: defined results for odd rows, and accuracy or exactness."""
 
-import json
 import random
 import unicodedata
 
