@@ -60,10 +60,9 @@ def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "chunks")
-    members, links = duplicates.near(chunks)
-    place = chunks.select("id", F.xxhash64("article_id", "chunk_index").alias("place"))
-    found = duplicates.pairs_of(members.join(place, "id"), links, "id", "place")
+    chunks = table(spark, sf_dir, "chunks").withColumn("place", F.xxhash64("article_id", "chunk_index"))
+    members, links = duplicates.near(chunks, carried="place")
+    found = duplicates.pairs_of(members, links, "id", "place")
     return found.union(duplicates.near_articles(table(spark, sf_dir, "articles")))
 
 

@@ -42,6 +42,20 @@ def test_pairs_against_brute_force(spark):
     assert m.count() == 0 and l.count() == 0
 
 
+def test_bands_bring_pairs_of_low_similarity_together():
+    rng = np.random.default_rng(5)
+    n, size = 1000, 300
+    both = int(size * 2 * 0.62 / 1.62) + 1  # of size each: similarity 0.62
+    texts = []
+    for _ in range(n):
+        pool = rng.choice(1 << 32, 2 * size - both, replace=False).astype(np.uint32)
+        texts += [pool[:size], pool[size - both:]]
+    regs = duplicates.registers(np.concatenate(texts), np.repeat(np.arange(2 * n), size), 2 * n)
+    keys = duplicates.band_keys(regs)
+    assert keys.dtype.itemsize == 4
+    assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.95
+
+
 def test_short_and_long_and_wide_texts(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     df = spark.createDataFrame([("a", "one"), ("b", "One."), ("c", "two words"), ("d", long), ("e", long + " end"), ("f", "离子交换容量的测量取决于水"), ("g", "离子交换容量的测量取决于水。"), ("h", "完全不同的一段文字在这里")], "id string, text string")
