@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -28,8 +29,14 @@ from pyspark.sql import types as T
 from foliomill.llm import arrays as A
 from foliomill.llm.common import checked_broadcast, sampled, stored
 
-#: Most layers for the vocabulary, most pages with two layers for the editor, most edge lines for furniture.
-VOCABULARY_LAYERS = 6000
+#: Words stand in LEAST_LAYERS of all layers or more to be known. The most frequent VOCABULARY_WORDS words and
+#: TRIGRAMS trigrams of wide characters are kept, which bounds what is broadcast.
+LEAST_LAYERS = 6
+VOCABULARY_WORDS = 200_000
+TRIGRAMS = 500_000
+#: Absolute counts in the rules below hold for so many layers and are scaled for more.
+USUAL_LAYERS = 6000
+#: Most pages with two layers for the editor, most edge lines for furniture.
 ALIGNED_PAGES = 1500
 FURNITURE_LINES = 12000
 TRAINING_CHARS = 3000
@@ -118,8 +125,9 @@ def _char_features(word: str, i: int) -> list[str]:
 class Editor:
     """The character editor: vocabulary, perceptron, and the confusions seen in training."""
 
-    def __init__(self, counts: dict[str, int], capitals: dict[str, int], pairs: list[tuple[str, str]], trigrams: dict[str, int], wide_pairs: list[tuple[str, str]]):
+    def __init__(self, counts: dict[str, int], capitals: dict[str, int], pairs: list[tuple[str, str]], trigrams: dict[str, int], wide_pairs: list[tuple[str, str]], layers: int = 0):
         self.counts = counts
+        self.scale = min(1.0, USUAL_LAYERS / max(1, layers))
         self.capitals = capitals
         rows, units = [], Counter()
         for noisy, clean in pairs:
@@ -195,14 +203,14 @@ class Editor:
         least = TIMES * (self.counts.get(word, 0) + (1 if len(word) > 3 else 3)) if word in self.counts else 1
         best, best_score = None, 0.0
         for clean in sorted({w for f in self.folds(word) for w in self.folded.get(f, ())}):
-            if clean == word or len(word) < 3 and letters_only and clean.isascii() or self.counts[clean] < least or (len(word) < 4 and word.isalpha() and self.counts[clean] < 40):
+            if clean == word or len(word) < 3 and letters_only and clean.isascii() or self.counts[clean] < least or (len(word) < 4 and word.isalpha() and self.counts[clean] * self.scale < 40):
                 continue
             score = 0.0
             for i, y in enumerate(_operations(word, clean)):
                 if y != "K":
                     s = self.perceptron.scores(_char_features(word, i))
                     score += s.get(y, -1.0) - min(0.0, s.get("K", 0.0)) + (0.5 if not word[i].isalpha() else 0.0)
-            score += 1e-6 * self.counts[clean]
+            score += 1e-6 * self.scale * self.counts[clean]
             if best is None or score > best_score:
                 best, best_score = clean, score
         return best or self._unknown_word(word)
@@ -223,31 +231,44 @@ class Editor:
     def correct_wide(self, text: str, i: int) -> str | None:
         """The character a wide one at i should be, by the characters around it."""
         around = text[max(0, i - 1):i], text[i + 1:i + 2]
-        if self.trigrams.get(around[0] + text[i] + around[1], 0) > 1:
+        own = self.trigrams.get(around[0] + text[i] + around[1], 0)
+        if own * self.scale > 1:
             return None
         best = max(self.wide.get(text[i], ()), key=lambda c: self.trigrams.get(around[0] + c + around[1], 0), default=None)
-        return best if best is not None and self.trigrams.get(around[0] + best + around[1], 0) >= 5 else None
+        return best if best is not None and self.trigrams.get(around[0] + best + around[1], 0) >= 5 * max(1, own) else None
 
 
 def _is_wide(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿"
 
 
+def count_words(text: str, counts: Counter, capitals: Counter, trigrams: Counter) -> None:
+    """Adds the words, capitalised words and trigrams of wide characters of a text, each once."""
+    t = A.plain(text)
+    t = re.sub(rf"(?<=[^\W\d_])[{HYPHENS}]\n\s*(?=[^\W\d_])", "", t)
+    words = set(_WORD.findall(t))
+    counts.update({w.lower() for w in words if not w.isdigit()})
+    capitals.update({w.lower() for w in words if w[:1].isupper() and w[1:].islower()})
+    if not t.isascii() and any(map(_is_wide, t)):
+        joined = re.sub(r"(?<=[぀-鿿])\n(?=[぀-鿿])", "", t)
+        trigrams.update({joined[i - 1:i + 2] for i in range(1, len(joined)) if _is_wide(joined[i])})
+
+
 def train_editor(texts: list[str], aligned: list[tuple[str, str]]) -> Editor:
-    """From a sample of layers and (clean, scanned) texts of the same pages."""
-    counts: Counter = Counter()
-    capitals: Counter = Counter()
-    trigrams: Counter = Counter()
+    """From layers and (clean, scanned) texts of the same pages."""
+    counts, capitals, trigrams = Counter(), Counter(), Counter()
     for t in texts:
-        t = A.plain(t[:TRAINING_CHARS])
-        t = re.sub(rf"(?<=[^\W\d_])[{HYPHENS}]\n\s*(?=[^\W\d_])", "", t)
-        words = set(_WORD.findall(t))
-        counts.update({w.lower() for w in words if not w.isdigit()})
-        capitals.update({w.lower() for w in words if w[:1].isupper() and w[1:].islower()})
-        if any(map(_is_wide, t)):
-            joined = re.sub(r"(?<=[぀-鿿])\n(?=[぀-鿿])", "", t)
-            trigrams.update({joined[i - 1:i + 2] for i in range(1, len(joined)) if _is_wide(joined[i])})
-    least = max(3, 0.001 * len(texts))
+        count_words(t, counts, capitals, trigrams)
+    return fit_editor(counts, capitals, trigrams, len(texts), aligned)
+
+
+def least_layers(layers: int) -> float:
+    return min(LEAST_LAYERS, max(3, 0.001 * layers))
+
+
+def fit_editor(counts: dict[str, int], capitals: dict[str, int], trigrams: dict[str, int], layers: int, aligned: list[tuple[str, str]]) -> Editor:
+    """From counts of layers with a word or trigram, the number of layers, and (clean, scanned) texts of the same pages."""
+    least = least_layers(layers)
     vocabulary = {w: n for w, n in counts.items() if n >= least and not (any(map(_is_wide, w)) and len(w) > 1)}
     pairs, wide_pairs = [], Counter()
     for clean, scanned in aligned:
@@ -270,7 +291,7 @@ def train_editor(texts: list[str], aligned: list[tuple[str, str]]) -> Editor:
                 for x, y in zip(a[i1:i2], b[j1:j2]):
                     if x in vocabulary and vocabulary.get(y, 0) * 5 < vocabulary[x] and abs(len(x) - len(y)) <= 2 and SequenceMatcher(None, x, y).ratio() > 0.55:
                         pairs.append((y, x))
-    return Editor(vocabulary, {w: capitals[w] for w in vocabulary if capitals[w]}, pairs, {k: n for k, n in trigrams.items() if n > 1}, [p for p, n in wide_pairs.items() if n >= 2])
+    return Editor(vocabulary, {w: capitals[w] for w in vocabulary if capitals.get(w)}, pairs, {k: n for k, n in trigrams.items() if n > 1}, [p for p, n in wide_pairs.items() if n >= 2], layers)
 
 
 # --------------------------------------------------------------------------------------------- furniture
@@ -510,15 +531,46 @@ def _known(editor: Editor) -> tuple[np.ndarray, np.ndarray]:
     return _KNOWN[id(editor)]
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``kind, word, n, capital`` of a partition's texts, sent on whenever there are many."""
+    counts, capitals, trigrams, layers = Counter(), Counter(), Counter(), 0
+
+    def sent() -> pa.RecordBatch:
+        rows = [("layers", "", layers, 0), *(("word", w, n, capitals[w]) for w, n in counts.items()), *(("wide", w, n, 0) for w, n in trigrams.items())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["kind", "word", "n", "capital"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            count_words(text.as_py(), counts, capitals, trigrams)
+            layers += 1
+            if len(counts) + len(trigrams) > CACHE_WORDS:
+                yield sent()
+                counts, capitals, trigrams, layers = Counter(), Counter(), Counter(), 0
+    if layers:
+        yield sent()
+
+
+def corpus_counts(layers: DataFrame) -> tuple[dict[str, int], dict[str, int], dict[str, int], int]:
+    """Words, capitalised words, trigrams of wide characters: in how many layers each stands; the number of layers.
+    Over the whole texts of all layers."""
+    counted = layers.where(F.length(F.trim("text")) > 0).select("text").mapInArrow(_counted, "kind string, word string, n bigint, capital bigint")
+    every = stored(counted.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("capital").alias("capital")).where("n > 1 or kind = 'layers'"))
+    total = every.where("kind = 'layers'").agg(F.sum("n")).first()[0] or 0
+    most = F.desc("n"), "word"
+    known = every.where(f"kind = 'word' and n >= {least_layers(total)}").where(~F.col("word").rlike("[぀-ヿ㐀-鿿]") | (F.length("word") == 1))
+    words = known.orderBy(*most).limit(VOCABULARY_WORDS).collect()
+    wide = every.where("kind = 'wide'").orderBy(*most).limit(TRIGRAMS).collect()
+    return {r.word: r.n for r in words}, {r.word: r.capital for r in words if r.capital}, {r.word: r.n for r in wide}, total
+
+
 def learn_editor(layers: DataFrame) -> Editor:
-    """Fitted on at most VOCABULARY_LAYERS layers and ALIGNED_PAGES pages (bounded collects)."""
+    """Vocabulary and trigrams of all layers; the perceptron is fitted on at most ALIGNED_PAGES pages (bounded collects)."""
     text = layers.select("id", "article_id", "page_number", "layer_type", F.substring("text", 1, TRAINING_CHARS).alias("t")).where(F.length(F.trim("t")) > 0)
-    some = [r.t for r in sampled(text, "id", VOCABULARY_LAYERS).select("t").collect()]
     scanned = stored(sampled(text.where("layer_type = 'ocr'"), "id", ALIGNED_PAGES))  # few enough to be broadcast
     both = text.where("layer_type = 'original'").select("article_id", "page_number", F.col("t").alias("clean")).join(
         F.broadcast(scanned.select("article_id", "page_number", F.col("t").alias("scan"))), ["article_id", "page_number"]).select("clean", "scan").distinct()
     pairs = [(r.clean, r.scan) for r in both.orderBy("clean", "scan").limit(ALIGNED_PAGES).collect()]
-    return train_editor(some, pairs)
+    return fit_editor(*corpus_counts(layers), pairs)
 
 
 def noisy_lines(layers: DataFrame, articles: DataFrame, editor: Editor | None = None) -> DataFrame:

@@ -251,6 +251,17 @@ def test_scan_noise(spark):
     assert scans.noisy_lines(layers.limit(0), articles.limit(0), editor).count() == 0
 
 
+def test_vocabulary_of_whole_texts_of_all_layers(spark):
+    rows = [(f"l{i}", "a", i, "word " * 700 + ("polybenzimidazole" if i % 2 else "Kadrebo") + "\n离子交换", "original") for i in range(40)]
+    layers = spark.createDataFrame(rows + [("n", "a", 99, None, "ocr"), ("b", "a", 98, "  ", "ocr")], "id string, article_id string, page_number int, text string, layer_type string")
+    counts, capitals, trigrams, total = scans.corpus_counts(layers)
+    assert counts == {"word": 40, "polybenzimidazole": 20, "kadrebo": 20} and capitals == {"kadrebo": 20} and total == 40
+    assert trigrams["离子交"] == 40
+    assert scans.learn_editor(layers).counts == counts
+    assert scans.learn_editor(layers.limit(0)).counts == {}
+    assert scans.least_layers(30_000) == scans.least_layers(6000) == 6
+
+
 @pytest.mark.parametrize("line, want", [("- 12 -", True), ("[7]", True), ("Page 3", True), ("Стр. 44", True), ("12 / 40", True), ("— l8 —", True), ("12.5", False), ("Table 3", False), ("1999 was", False), ("", False)])
 def test_page_numbers(line, want):
     assert bool(scans.PAGE_NUMBER.fullmatch(line)) == want
