@@ -621,11 +621,11 @@ def noisy_lines(layers: DataFrame, articles: DataFrame, editor: Editor | None =
     return words.join(found.select("layer_id", "line_no"), ["layer_id", "line_no"], "left_anti").union(found)
 
 
-def repair(layers: DataFrame, articles: DataFrame) -> DataFrame:
-    """``layer_id, text``: every layer as continuous paragraphs: furniture dropped, broken words joined,
+def repair(layers: DataFrame, articles: DataFrame, editor: Editor | None = None) -> DataFrame:
+    """``layer_id, text``: every layer (or page, with an editor learned from layers) as continuous paragraphs: furniture dropped, broken words joined,
     misread words corrected, lines of a paragraph joined by spaces (by nothing between characters of
     scripts without spaces). Null stays null; tables and lists keep their lines."""
-    editor = learn_editor(layers)
+    editor = editor if editor is not None else learn_editor(layers)
     shipped = layers.sparkSession.sparkContext.broadcast(editor)
     noise = noisy_lines(layers, articles, editor).groupBy("layer_id").agg(F.collect_list(F.struct("line_no", "kind")).alias("noise"))
 

@@ -17,3 +17,8 @@ def test_query(spark, name):
     if name in COLUMNS:
         assert df.columns == COLUMNS[name] and df.distinct().count() == rows if name != "p8_ids" else df.columns == COLUMNS[name]
     assert rows >= 0
+
+
+def test_pages_are_repaired_too(spark):
+    got = {r.source: r["count"] for r in entry.p3_repaired(spark, str(DATA)).groupBy("source").count().collect()}
+    assert got == {"layers": spark.read.parquet(f"{DATA}/page_text_layers.parquet").count(), "pages": spark.read.parquet(f"{DATA}/pages.parquet").count()}
