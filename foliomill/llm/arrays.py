@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Code points from here on are treated as symbols; scripts in use lie below.
 TABLE_SIZE = 0x30000
@@ -188,29 +189,29 @@ def sums_by(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, weights=values, minlength=n)
 
 
+def parts(batch: pa.RecordBatch, most_chars: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, cut so that no part holds many more than most_chars characters (a single longer
+    text is passed whole)."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            sizes += np.nan_to_num(pc.utf8_length(column).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    at, cum = 0, np.cumsum(sizes)
+    while at < batch.num_rows:
+        base = cum[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(cum, base + most_chars, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def map_arrow(fn: Callable[[dict[str, list]], pa.RecordBatch | None], most_chars: int = 4_000_000) -> Callable:
-    """A mapInArrow function: fn gets the columns of each batch as lists, cut so that no call sees
-    many more than most_chars characters (a single longer text is passed whole)."""
+    """A mapInArrow function: fn gets the columns of each part of a batch as lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = np.zeros(batch.num_rows, np.int64)
-            for column in batch.columns:
-                if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-                    import pyarrow.compute as pc
-
-                    sizes += np.nan_to_num(pc.utf8_length(column).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-            at = 0
-            cum = np.cumsum(sizes)
-            while at < batch.num_rows:
-                base = cum[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(cum, base + most_chars, "right")))
-                part = batch.slice(at, to - at)
+            for part in parts(batch, most_chars):
                 out = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 if out is not None and out.num_rows:
                     yield out
-                at = to
 
     return run

@@ -8,36 +8,31 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; texts run to tens of pages, so a batch stays at some megabytes.
-ARROW_ROWS = 2000
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Settings of the session that the operators rely on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; set only where the session names none (tests)."""
+    """The folder that all executors share, as the session names it. Where none is named, a session on one machine
+    (tests) gets one of its own; on a cluster that is an error, since executors would each write to their own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or f"file:///tmp/foliomill-checkpoint-{os.getuid()}")
-    return named or context._jsc.sc().getCheckpointDir().get()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    return f"file:///tmp/foliomill-checkpoint-{os.getuid()}"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read from there: later steps neither compute them
-    again nor depend on the executors that made them."""
+    again nor depend on the executors that made them. The application's folder is removed when it ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliomill/{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/foliomill-{spark.sparkContext.applicationId}"
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,10 +49,25 @@ def sampled(df: DataFrame, key: str | Column, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(column), column).limit(rows)
 
 
-#: Most rows of a few numbers or ids each that are broadcast (some 50 MB); beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes of a table that is broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 64 << 20
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of all rows, strings and arrays counted in full; reads the table once."""
+    sizes = []
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.octet_length(F.col(f.name)))
+        elif kind in ("array", "map"):
+            sizes.append(F.octet_length(F.to_json(F.col(f.name))))
+    width = 16 + 8 * len(df.columns)
+    extra = [F.sum(F.coalesce(s, F.lit(0))) for s in sizes]
+    found = df.agg(F.count("*"), *extra).first()
+    return int(found[0]) * width + sum(int(x or 0) for x in found[1:])
 
 
 def checked_broadcast(df: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if it has few enough rows, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """The table with a broadcast hint if its bytes, which are measured, are within BROADCAST_BYTES; else as it is."""
+    return F.broadcast(df) if size_of(df) <= BROADCAST_BYTES else df

@@ -1,12 +1,17 @@
 """Groups of near-duplicate records (problem 6).
 
-HyperMinHash: a record's shingles go through BUCKETS hash functions, and each
-bucket keeps of its least hash only the number of leading zeros and a few bits of
-what follows, two bytes in all. Bands of registers make the candidate pairs; the
-Jaccard estimate from all registers, corrected for collisions of such short
-registers, throws out most of them, and the shingle sets of the rest are compared
-exactly. Records with the same shingles are one representative throughout, so
-copies, however many, never meet each other.
+HyperMinHash: a shingle's hash is split into a bucket and a value, and each bucket
+keeps of its least value only the number of leading zeros and a few bits of what
+follows, two bytes in all. A sketch has BANDS buckets, and there are ROWS of them
+with hashes of their own; the registers of one bucket in all sketches make a band.
+Empty buckets of short texts borrow from others for the bands, in an order fixed
+for each bucket. Equal bands make the candidate pairs; the Jaccard estimate from
+the registers, corrected for collisions of such short ones, throws out most of
+them, and the shingle sets of the rest are compared exactly.
+
+Records with the same shingles are one class throughout, so copies, however many,
+never meet each other. What makes pairs in buckets of any size, bands as well as
+rare words of titles, is in pairs_in_buckets: large buckets are cut into parts.
 """
 
 from __future__ import annotations
@@ -15,33 +20,40 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliomill.llm import arrays as A
 from foliomill.llm.common import checked_broadcast, stored
+from foliomill.llm.visual import Mapper
 
 SHINGLE = 3
 THRESHOLD = 0.6
-#: The chance that the bands bring a pair together is 0.94 at THRESHOLD, 0.97 at 0.62, 0.99 at 0.65.
-BANDS, ROWS = 60, 6
-BUCKETS = BANDS * ROWS
+#: The chance that the bands bring a pair together is 0.96 at THRESHOLD, 0.98 at 0.62, 0.99 at 0.65.
+BANDS, ROWS = 40, 5
 #: Bits kept behind the leading zeros; of the registers that travel with candidates, the last ones alone.
 MANTISSA = 8
 SHORT_BITS = 4
 SHORT_BUCKETS = 128
+WORDS = SHORT_BUCKETS * SHORT_BITS // 64
 #: Estimates from SHORT_BUCKETS registers spread by less than 0.05; a candidate is compared from this one on.
 ESTIMATE = THRESHOLD - 0.2
+#: Rows of a bucket, or copies of a class, that one task pairs with each other; larger ones are cut into such parts.
+PART = 1000
+#: Nodes sampled to see which buckets are heavy, and rows of a bucket in the sample that make it so.
+SAMPLED_NODES, HEAVY = 20_000, 20
 
 _rng = np.random.default_rng(20240601)
-_FACTORS = _rng.integers(1, 1 << 31, max(BUCKETS, 300), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_ADDENDS = _rng.integers(0, 1 << 32, max(BUCKETS, 300), dtype=np.uint64).astype(np.uint32)
+_SALTS = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64)
+#: For each bucket, the others in the order in which they are asked when it is empty.
+_LENDERS = np.stack([_rng.permutation([k for k in range(BANDS) if k != j]) for j in range(BANDS)])
 
 
 def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text: 32-bit hashes and their texts, sorted by text. Words, and in texts mostly
-    in scripts without spaces characters, are taken in lower case and consistent form, without punctuation."""
-    batch = A.TextBatch([A.plain(t) for t in texts])
+    in scripts without spaces characters, are taken in lower case, without punctuation. Texts come in consistent form."""
+    batch = A.TextBatch(texts)
     codes, classes = batch.lower, batch.classes
     wide = (classes == A.HAN) | (classes == A.KANA)
     word = (classes == A.LATIN) | (classes == A.CYRILLIC) | (classes == A.GREEK) | (classes == A.LETTER) | (classes == A.MARK) | (classes == A.DIGIT) | wide
@@ -80,85 +92,135 @@ def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), (key >> np.uint64(32)).astype(np.int64)
 
 
-def registers(values: np.ndarray, of: np.ndarray, n: int, buckets: int = BUCKETS, mantissa: int = MANTISSA) -> np.ndarray:
-    """n x buckets registers: leading zeros of the least hash (and 1) above ``mantissa`` bits of what
-    follows its first one. 0 stands for a text without shingles."""
-    out = np.zeros((n, buckets), np.uint32)
+def registers(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """n x ROWS x BANDS registers: leading zeros of a bucket's least value (and 1) above MANTISSA bits of what
+    follows its first one. 0 stands for an empty bucket."""
+    out = np.zeros((n, ROWS, BANDS), np.uint16)
     if not len(values):
         return out
-    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    rows = of[first]
-    h, shifted = np.empty_like(values), np.empty_like(values)
-    for b in range(buckets):
-        np.multiply(values, _FACTORS[b], out=h)
-        h += _ADDENDS[b]
-        np.right_shift(h, np.uint32(15), out=shifted)
-        h ^= shifted
-        h *= np.uint32(0x2C1B3C6D)
-        least = np.minimum.reduceat(h, first)
+    base = of.astype(np.int64) * BANDS
+    for r in range(ROWS):
+        with np.errstate(over="ignore"):
+            h = A.mix(values.astype(np.uint64) + _SALTS[r])
+        bucket = ((h >> np.uint64(32)) * np.uint64(BANDS)) >> np.uint64(32)
+        least = np.full(n * BANDS, 0xFFFFFFFF, np.uint32)
+        np.minimum.at(least, base + bucket.astype(np.int64), h.astype(np.uint32))
         fraction, exponent = np.frexp(least + 0.5)  # the exponent gives the zeros, the fraction the bits behind
-        kept = ((fraction - 0.5) * (2 << mantissa)).astype(np.uint32) & np.uint32((1 << mantissa) - 1)
-        out[rows, b] = ((33 - np.clip(exponent, 0, 32)).astype(np.uint32) << np.uint32(mantissa)) | kept
+        kept = ((fraction - 0.5) * (2 << MANTISSA)).astype(np.uint16) & np.uint16((1 << MANTISSA) - 1)
+        register = ((33 - np.clip(exponent, 0, 32)).astype(np.uint16) << np.uint16(MANTISSA)) | kept
+        out[:, r] = np.where(least == 0xFFFFFFFF, 0, register).reshape(n, BANDS)
     return out
 
 
+def filled(regs: np.ndarray) -> np.ndarray:
+    """The registers with empty buckets filled from the first of their lenders that isn't empty."""
+    flat = regs.reshape(-1, BANDS)
+    some = np.flatnonzero((flat == 0).any(axis=1) & (flat != 0).any(axis=1))
+    if not len(some):
+        return regs
+    own = flat[some]
+    out = own.copy()
+    for turn in range(BANDS - 1):
+        empty = out == 0
+        if not empty.any():
+            break
+        out = np.where(empty, own[:, _LENDERS[:, turn]], out)
+    flat = flat.copy()
+    flat[some] = out
+    return flat.reshape(regs.shape)
+
+
 def compressed(regs: np.ndarray) -> np.ndarray:
-    """The last SHORT_BITS bits of each of the first SHORT_BUCKETS registers, two in a byte."""
-    some = regs[:, :SHORT_BUCKETS] & ((1 << SHORT_BITS) - 1)
-    return (some[:, ::2] << SHORT_BITS | some[:, 1::2]).astype(np.uint8)
+    """n x WORDS integers of the first SHORT_BUCKETS registers, SHORT_BITS bits each: 0 for an empty bucket, else 1 to 15
+    by the last bits of the register."""
+    some = regs.reshape(len(regs), -1)[:, :SHORT_BUCKETS]
+    short = np.where(some == 0, 0, 1 + some.astype(np.uint64) % 15).astype(np.uint64)
+    out = np.zeros((len(regs), WORDS), np.uint64)
+    per = 64 // SHORT_BITS
+    for i in range(per):
+        out |= short[:, i::per] << np.uint64(SHORT_BITS * i)
+    return out.view(np.int64)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """n x BANDS keys of 32 bits, each of ROWS registers; only keys of the same band are compared."""
+    """n x BANDS keys of 40 bits, each of the ROWS registers of a bucket; only keys of the same band are compared."""
+    full = filled(regs)
     with np.errstate(over="ignore"):
         key = np.zeros((len(regs), BANDS), np.uint64)
-        for i in range(ROWS):
-            key = (key ^ regs[:, i::ROWS].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1)
-        return (A.mix(key) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        for r in range(ROWS):
+            key = (key ^ full[:, r].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1)
+        return A.mix(key) >> np.uint64(24)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard from equal registers: unlike minima share the bits kept in one case of 16, which is taken off."""
-    collide = 1 / (1 << SHORT_BITS)
-    unlike = a ^ b
-    share = ((unlike >> SHORT_BITS == 0).mean(axis=1) + (unlike & ((1 << SHORT_BITS) - 1) == 0).mean(axis=1)) / 2
-    return np.maximum(0, (share - collide) / (1 - collide))
+def estimate(a: list[Column], b: list[Column]) -> Column:
+    """Jaccard from short registers: of the buckets that aren't empty in both, the share of equal ones. Unlike
+    values fall together in one case of 15, which is taken off."""
+    low = F.lit(0x1111111111111111)
 
+    def marked(x: Column) -> Column:
+        """The lowest bit of each of the 16 registers that isn't 0."""
+        half = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(low)
 
-def _sketch(columns: dict) -> pa.RecordBatch:
-    texts = [t or "" for t in columns["text"]]
-    values, of = shingles(texts)
-    n = len(texts)
+    unlike, either, both = F.lit(0), F.lit(0), F.lit(0)
+    for x, y in zip(a, b):
+        unlike = unlike + F.bit_count(marked(x.bitwiseXOR(y)))
+        either = either + F.bit_count(marked(x).bitwiseOR(marked(y)))
+        both = both + F.bit_count(marked(x).bitwiseAND(marked(y)))
+    equal = either - unlike
+    return (equal - both / F.lit(15.0)) / F.lit(14 / 15) / F.greatest(either, F.lit(1))
+
+
+_mapper: list[Mapper] = []
+
+
+def _consistent(texts: list[str | None]) -> list[str]:
+    """The texts in the consistent form of problem 2."""
+    if not _mapper:
+        _mapper.append(Mapper())
+    return _mapper[0].texts([t or "" for t in texts])
+
+
+def _digests(values: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n x 2 integers, a digest of 128 bits of each shingle set, and the sizes of the sets."""
     bounds = np.searchsorted(of, np.arange(n + 1))
-    with np.errstate(over="ignore"):
-        spread = A.mix(values.astype(np.uint64) + np.uint64(1 << 33))
-        counts = np.diff(bounds)
-        digest = np.zeros((n, 2), np.uint64)
-        some = np.flatnonzero(counts)
-        if len(some):
-            digest[some, 0] = np.add.reduceat(spread, bounds[some])
-            digest[some, 1] = np.bitwise_xor.reduceat(spread * np.uint64(0xD6E8FEB86659FD93), bounds[some])
+    counts = np.diff(bounds)
+    digest = np.zeros((n, 2), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        with np.errstate(over="ignore"):
+            for i, salt in enumerate((1 << 33, 1 << 34)):
+                digest[some, i] = A.mix(np.add.reduceat(A.mix(values.astype(np.uint64) + np.uint64(salt)), bounds[some]) + counts[some].astype(np.uint64))
+    return digest.view(np.int64), counts
+
+
+def _sketch(columns: dict) -> pa.RecordBatch:
+    values, of = shingles(_consistent(columns["text"]))
+    n = len(columns["text"])
+    digest, counts = _digests(values, of, n)
     regs = registers(values, of, n)
     keys = band_keys(regs)
+    at = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
+    short = compressed(regs)
     return pa.RecordBatch.from_arrays([
-        pa.array(columns["key"]), pa.array(columns["carried"], pa.int64()), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), pa.array(counts, pa.int32()),
-        pa.array([r.tobytes() for r in compressed(regs)], pa.binary()),
-        pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
-    ], names=["key", "carried", "d1", "d2", "n", "regs", "bands"])
+        pa.array(columns["key"]), pa.array(columns["carried"], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(counts, pa.int32()),
+        *(pa.array(np.ascontiguousarray(short[:, i])) for i in range(WORDS)),
+        pa.ListArray.from_arrays(at, pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).ravel())),
+        pa.ListArray.from_arrays(at, pa.array((keys >> np.uint64(32)).astype(np.uint8).view(np.int8).ravel())),
+    ], names=["key", "carried", "d1", "d2", "n", *_REGS, "bands", "more"])
 
 
-def _grams(columns: dict) -> pa.RecordBatch:
-    texts = columns["text"]
-    values, of = shingles(texts)
-    bounds = np.searchsorted(of, np.arange(len(texts) + 1))
-    return pa.RecordBatch.from_arrays([pa.array(columns["rep"], pa.int64()), pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], names=["rep", "grams"])
+_REGS = [f"r{i}" for i in range(WORDS)]
 
 
-def _close(columns: dict) -> pa.RecordBatch:
-    a = np.frombuffer(b"".join(columns["regs_a"]), np.uint8).reshape(-1, SHORT_BUCKETS // 2)
-    b = np.frombuffer(b"".join(columns["regs_b"]), np.uint8).reshape(-1, SHORT_BUCKETS // 2)
-    keep = np.flatnonzero(estimate(a, b) >= ESTIMATE)
-    return pa.RecordBatch.from_arrays([pa.array([columns[c][i] for i in keep], pa.int64()) for c in ("a", "b")], names=["a", "b"])
+def _grams(columns: dict) -> pa.RecordBatch:
+    values, of = shingles(_consistent(columns["text"]))
+    n = len(columns["text"])
+    digest, _ = _digests(values, of, n)
+    bounds = np.searchsorted(of, np.arange(n + 1))
+    # of rows with the same key, the text that the node stands for
+    keep = [i for i in range(n) if digest[i, 0] == columns["d1"][i] and digest[i, 1] == columns["d2"][i]]
+    return pa.RecordBatch.from_arrays([pa.array([columns["node"][i] for i in keep], pa.int64()), pa.array([values[bounds[i]:bounds[i + 1]].tobytes() for i in keep], pa.binary())], names=["node", "grams"])
 
 
 def _compared(columns: dict) -> pa.RecordBatch:
@@ -171,49 +233,91 @@ def _compared(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([columns["a"][i] for i in keep], pa.int64()), pa.array([columns["b"][i] for i in keep], pa.int64()), pa.array([out[i] for i in keep], pa.float64())], names=["a", "b", "jaccard"])
 
 
+def pairs_in_buckets(buckets: DataFrame, about: DataFrame, condition: Column) -> DataFrame:
+    """``a, b`` (a < b): distinct pairs of nodes that share a bucket and meet a condition.
+
+    ``buckets`` has ``bucket, node`` (bigints, distinct rows), ``about`` one row a node with the columns that the condition asks for
+    as x_ and y_ columns. Buckets with one node are gone before the join. In buckets up to PART nodes pairs are made first, made
+    distinct and then tried, so that what is known of nodes isn't shuffled with the buckets. Larger buckets are cut into parts, each
+    tried against each other in a task of its own, and only pairs that meet the condition leave the join. The heaviest
+    buckets are known from a sample of nodes (which decides on nothing but the way), so that none is counted in one task.
+    """
+    columns = [c for c in about.columns if c != "node"]
+    x, y = (about.select(F.col("node").alias(n), *[F.col(c).alias(f"{side}_{c}") for c in columns]) for n, side in (("a", "x"), ("b", "y")))
+    every = max(1, about.count() // SAMPLED_NODES)
+    heavy = F.broadcast(stored(buckets.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).groupBy("bucket").agg(F.count("*").alias("seen")).where(f"seen > {HEAVY} and seen * {every} > {PART}").select("bucket")))
+    counted = buckets.join(heavy, "bucket", "left_anti").withColumn("size", F.count("*").over(Window.partitionBy("bucket")))
+    shared = stored(counted.where("size > 1"))
+    small = shared.where(f"size <= {PART}").select("bucket", "node")
+    p, q = small.alias("p"), small.alias("q")
+    made = p.join(q, F.expr("p.bucket = q.bucket and p.node < q.node")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    tried = made.repartition("a").distinct().join(x, "a").join(y, "b").where(condition).select("a", "b")
+    large = shared.where(f"size > {PART}").select("bucket", "node")
+    beyond = buckets.join(heavy, "bucket", "left_semi")
+    large = stored(large.union(beyond))
+    if large.isEmpty():
+        return tried
+    sizes = large.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    given = large.join(checked_broadcast(stored(sizes)), "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    left = given.withColumnRenamed("node", "a").join(x, "a")
+    right = given.withColumnRenamed("node", "b").join(y, "b").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.select(F.col("bucket").alias("to"), F.col("part").alias("own"), "other", "b", *[f"y_{c}" for c in columns])
+    # the parts of a pair are the key of its task
+    left = left.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return tried.union(left.join(right, F.expr("bucket = to and part = other and against = own and a < b")).where(condition).select("a", "b")).distinct()
+
+
 def near(df: DataFrame, key: str = "id", text: str = "text", carried: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members, links): ``key, rep`` of every text with words, and ``a, b, jaccard`` of all pairs of
-    representatives from THRESHOLD on (a < b).
+    """(members, links): ``key, rep, first, copies`` of every text with words, and ``a, b, jaccard`` of all pairs of
+    classes from THRESHOLD on (a < b, both values of rep).
 
-    Records with the same set of shingles have the same representative, a 64-bit hash of the set. Null
-    texts and texts without letters or digits are in neither. Links are never capped. A bigint column
-    ``carried`` stays with the members.
+    Records with the same set of shingles (by a digest of 128 bits) are one class: ``rep`` is its number in this run, ``first`` the least
+    key in it, ``copies`` its size. Null texts and texts without letters or digits are in neither. Links are never
+    capped. A bigint column ``carried`` stays with the members.
     """
     kind = df.schema[key].dataType.simpleString()
     texts = df.select(df[key].alias("key"), df[text].alias("text")).where("text is not null")
     rows = df.select(df[key].alias("key"), (df[carried] if carried else F.lit(None)).cast("bigint").alias("carried"), df[text].alias("text")).where("text is not null")
-    sketched = rows.mapInArrow(A.map_arrow(_sketch, 2_000_000), f"key {kind}, carried bigint, d1 bigint, d2 bigint, n int, regs binary, bands array<int>").where("n > 0")
-    sketched = stored(sketched.select("key", "carried", F.xxhash64("d1", "d2", "n").alias("rep"), "regs", "bands"))
-    members = sketched.select("key", "rep")
-    # one row for each set of shingles: only the rows of sets that have copies are shuffled for that
-    copied = stored(members.groupBy("rep").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n > 1"))
-    keep = checked_broadcast(copied.select("rep", F.col("key").alias("kept")))
-    firsts = sketched.join(keep, "rep", "left").where("kept is null or key = kept").select("rep", "key", "regs", "bands", "kept")
-    single = firsts.where("kept is null").drop("kept")
-    # rows that share even their key are told apart by nothing: one of them stays
-    sets = single.union(firsts.where("kept is not null").drop("kept").dropDuplicates(["rep"]))
-    banded = sets.select("rep", F.posexplode("bands").alias("no", "key")).select("rep", F.expr("shiftleft(cast(no as bigint), 32) | (key & 4294967295L)").alias("band"))
-    left, right = banded.alias("x"), banded.alias("y")
-    pairs = left.join(right, F.expr("x.band = y.band and x.rep < y.rep")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    regs = sets.select("rep", "regs")
-    with_regs = pairs.join(regs.select(F.col("rep").alias("a"), F.col("regs").alias("regs_a")), "a").join(regs.select(F.col("rep").alias("b"), F.col("regs").alias("regs_b")), "b")
-    close = stored(with_regs.select("a", "b", "regs_a", "regs_b").mapInArrow(A.map_arrow(_close), "a bigint, b bigint"))
+    sketched = rows.mapInArrow(A.map_arrow(_sketch, 2_000_000), f"key {kind}, carried bigint, d1 bigint, d2 bigint, n int, {', '.join(f'{r} bigint' for r in _REGS)}, bands array<int>, more array<tinyint>").where("n > 0")
+    sketched = stored(sketched.drop("n").withColumn("node", F.monotonically_increasing_id()))
+    # classes with copies: first the half digests that come more than once, then whole digests of their rows alone
+    twice = stored(sketched.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"))
+    copied = stored(sketched.select("d1", "d2", "key", "node").join(checked_broadcast(twice), "d1", "left_semi").groupBy("d1", "d2").agg(
+        F.min(F.struct("key", "node")).alias("f"), F.count("*").alias("copies")).where("copies > 1").select("d1", "d2", F.col("f.key").alias("first"), F.col("f.node").alias("rep"), "copies"))
+    named = sketched.join(checked_broadcast(copied), ["d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "node"))
+    members = named.select(F.col("key").alias(key), "rep", F.coalesce("first", "key").alias("first"), F.coalesce("copies", F.lit(1)).alias("copies"), *([F.col("carried").alias(carried)] if carried else []))
+    sets = named.where("rep = node")
+    banded = sets.select("node", "more", F.posexplode("bands").alias("no", "low")).select(
+        F.expr("shiftleft(cast(no as bigint), 40) | shiftleft(more[no] & 255L, 32) | (low & 4294967295L)").alias("bucket"), "node")
+    about = sets.select("node", *_REGS)
+    close = stored(pairs_in_buckets(banded, about, estimate([F.col(f"x_{r}") for r in _REGS], [F.col(f"y_{r}") for r in _REGS]) >= ESTIMATE))
     # texts are read again, those of close pairs alone, and compared as sets
-    needed = close.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = members.join(checked_broadcast(needed), "rep", "left_semi").groupBy("rep").agg(F.min("key").alias("key"))
-    grams = stored(texts.join(checked_broadcast(stored(wanted)), "key").dropDuplicates(["rep"]).select("rep", "text").mapInArrow(A.map_arrow(_grams), "rep bigint, grams binary"))
-    both = close.join(grams.select(F.col("rep").alias("a"), F.col("grams").alias("grams_a")), "a").join(grams.select(F.col("rep").alias("b"), F.col("grams").alias("grams_b")), "b")
+    needed = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stored(sketched.select("node", "key", "d1", "d2").join(checked_broadcast(stored(needed)), "node", "left_semi"))
+    grams = stored(texts.join(checked_broadcast(wanted), "key").select("node", "d1", "d2", "text").mapInArrow(A.map_arrow(_grams, 2_000_000), "node bigint, grams binary").dropDuplicates(["node"]))
+    both = close.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
     links = both.select("a", "b", "grams_a", "grams_b").mapInArrow(A.map_arrow(_compared), "a bigint, b bigint, jaccard double")
-    named = sketched.select(F.col("key").alias(key), "rep", *([F.col("carried").alias(carried)] if carried else []))
-    return named, links
+    return members, links
 
 
 def pairs_of(members: DataFrame, links: DataFrame, key: str, same: str | None = None) -> DataFrame:
-    """``id_a, id_b`` of all rows in linked or equal sets; rows equal in column ``same`` of members aren't paired."""
+    """``id_a, id_b`` of all rows in linked or equal classes; rows equal in column ``same`` of members aren't paired.
+
+    Classes with more than PART copies are cut into parts, so that neither a class nor a link is expanded in one task.
+    """
     apart = f" and not (x.{same} <=> y.{same})" if same else ""
-    x, y = members.alias("x"), members.alias("y")
-    equal = x.join(y, F.expr(f"x.rep = y.rep and x.`{key}` < y.`{key}`{apart}")).select(F.col(f"x.{key}").alias("id_a"), F.col(f"y.{key}").alias("id_b"))
-    linked = links.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where("true" + apart).select(
+    parts = F.ceil(F.col("copies") / PART).cast("int")
+    given = members.withColumn("part", F.pmod(F.xxhash64(key), parts).cast("int")).withColumn("parts", parts)
+    several = given.where("copies > 1")
+    x, y = several.alias("x"), several.withColumn("for", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    equal = x.join(y, F.expr(f"x.rep = y.rep and x.part = y.for and x.`{key}` < y.`{key}`{apart}")).select(F.col(f"x.{key}").alias("id_a"), F.col(f"y.{key}").alias("id_b"))
+    large = checked_broadcast(stored(several.where("parts > 1").select("rep", "parts").distinct()))
+    asked = links.select("a", "b")
+    for side in ("a", "b"):
+        asked = asked.join(large.select(F.col("rep").alias(side), F.col("parts").alias(f"parts_{side}")), side, "left")
+        asked = asked.withColumn(f"part_{side}", F.explode(F.sequence(F.lit(0), F.coalesce(f"parts_{side}", F.lit(1)) - 1)))
+    x, y = given.alias("x"), given.alias("y")
+    linked = asked.join(x, F.expr("a = x.rep and part_a = x.part")).join(y, F.expr("b = y.rep and part_b = y.part")).where("true" + apart).select(
         F.least(f"x.{key}", f"y.{key}").alias("id_a"), F.greatest(f"x.{key}", f"y.{key}").alias("id_b")).where("id_a < id_b")
     return equal.union(linked)
 
@@ -238,12 +342,11 @@ def title_words(title: str | None) -> list[str]:
 #: Words of either title that may be missing in the other.
 MISSING = 2
 LEAST_WORDS = 6
-#: Two such titles share one at least of the MISSING + 1 words that are rarest in either (all words being
-#: ranked alike), so titles that share one of these are compared.
-RAREST = MISSING + 1
+#: Of so many words in all, the ones that are more frequent than one of them on average are common; there can't be more.
+COMMON_WORDS = 20_000
 
 
-def _title_sets(columns: dict) -> pa.RecordBatch:
+def _records(columns: dict) -> pa.RecordBatch:
     words = [title_words(t) for t in columns["title"]]
     return pa.RecordBatch.from_arrays([
         pa.array(columns["key"]), pa.array([plain_doi(d) for d in columns["doi"]], pa.string()),
@@ -251,22 +354,43 @@ def _title_sets(columns: dict) -> pa.RecordBatch:
     ], names=["key", "doi", "words"])
 
 
-def near_articles(df: DataFrame, key: str = "id") -> DataFrame:
-    """``id_a, id_b``: records of the same work. Either their DOIs are the same once written alike, or both
-    titles have LEAST_WORDS words or more and at most MISSING words of either are not in the other,
-    whatever case, punctuation and order. Null titles and DOIs match nothing."""
+def _classes(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """(members, sets) of records by the value of a column: ``key, rep, copies``, and ``node, <by>, copies`` of each value."""
+    sets = stored(stored(rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("copies"))).withColumn("node", F.monotonically_increasing_id()))
+    members = rows.where(F.col(by).isNotNull()).join(checked_broadcast(sets), by).select("key", F.col("node").alias("rep"), "copies")
+    return members, sets
+
+
+def rare_word_keys(sets: DataFrame) -> DataFrame:
+    """``bucket, node`` of sets (``node, words``): two sets of words with at most MISSING words missing on either side share a bucket.
+
+    Words are ranked by rarity over all sets. Such sets share two at least of the MISSING + 2 rarest words of either, so the buckets are
+    pairs of these; sets too small for that are met by single words, and the smallest by one bucket of their own. How often a word stands
+    is joined by a broadcast for the common ones, of which there are COMMON_WORDS at most, so no common word makes a large group.
+    """
+    each = sets.select("node", F.explode(F.split("words", " ")).alias("word"))
+    rarity = stored(each.groupBy("word").agg(F.count("*").alias("n")))
+    total = rarity.agg(F.sum("n")).first()[0] or 0
+    common = F.broadcast(rarity.where(F.col("n") > max(1, total // COMMON_WORDS)))
+    frequent = each.join(common, "word")
+    others = each.join(common, "word", "left_anti").join(rarity.where(F.col("n") <= max(1, total // COMMON_WORDS)), "word")
+    ranked = frequent.unionByName(others).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).word.alias("w"))
+    most = MISSING + 2
+    pairs = f"flatten(transform(sequence(0, {most - 2}), i -> transform(sequence(i + 1, {most - 1}), j -> concat(array_min(array(w[i], w[j])), ' ', array_max(array(w[i], w[j]))))))"
+    keys = F.expr(f"""concat(CASE WHEN size(w) >= {most} THEN {pairs} ELSE array() END,
+        CASE WHEN size(w) <= {2 * MISSING + 1} THEN slice(w, 1, {MISSING + 1}) ELSE array() END, CASE WHEN size(w) <= {2 * MISSING} THEN array('') ELSE array() END)""")
+    return ranked.select("node", F.explode(keys).alias("key")).select(F.xxhash64("key").alias("bucket"), "node").distinct()
+
+
+def near_articles(df: DataFrame, key: str = "id") -> list[tuple[DataFrame, DataFrame]]:
+    """Two results like that of near, over records with ``title, doi``: those with the same DOI once written alike (no links), and
+    those whose titles have LEAST_WORDS words or more and at most MISSING words of either that aren't in the other, whatever
+    case, punctuation and order. Null titles and DOIs match nothing."""
     kind = df.schema[key].dataType.simpleString()
-    rows = stored(df.select(df[key].alias("key"), "title", "doi").mapInArrow(A.map_arrow(_title_sets), f"key {kind}, doi string, words string"))
-    x, y = rows.alias("x"), rows.alias("y")
-    by_doi = x.join(y, F.expr("x.doi = y.doi and x.key < y.key")).select(F.col("x.key").alias("id_a"), F.col("y.key").alias("id_b"))
-    by_words = x.join(y, F.expr("x.words = y.words and x.key < y.key")).select(F.col("x.key").alias("id_a"), F.col("y.key").alias("id_b"))
-    each = rows.where("words is not null").select("words").distinct().select("words", F.explode(F.split("words", " ")).alias("word"))
-    rarity = each.groupBy("word").agg(F.count("*").alias("titles"))
-    rare = each.join(rarity, "word").groupBy("words").agg(F.slice(F.array_sort(F.collect_list(F.struct("titles", "word"))), 1, RAREST).word.alias("rare"))
-    titles = stored(rare).select("words", F.explode("rare").alias("word"))
-    p, q = titles.alias("p"), titles.alias("q")
-    linked = p.join(q, F.expr("p.word = q.word and p.words < q.words")).select(F.col("p.words").alias("w1"), F.col("q.words").alias("w2")).where(
-        f"size(array_except(split(w1, ' '), split(w2, ' '))) <= {MISSING} and size(array_except(split(w2, ' '), split(w1, ' '))) <= {MISSING}").distinct()
-    apart = linked.join(x, F.expr("w1 = x.words")).join(y, F.expr("w2 = y.words")).select(
-        F.least("x.key", "y.key").alias("id_a"), F.greatest("x.key", "y.key").alias("id_b")).where("id_a < id_b")
-    return by_doi.union(by_words).union(apart).distinct()
+    rows = stored(df.select(df[key].alias("key"), "title", "doi").mapInArrow(A.map_arrow(_records), f"key {kind}, doi string, words string"))
+    by_doi, _ = _classes(rows, "doi")
+    by_title, sets = _classes(rows, "words")
+    few = f"size(array_except(split(x_words, ' '), split(y_words, ' '))) <= {MISSING} and size(array_except(split(y_words, ' '), split(x_words, ' '))) <= {MISSING}"
+    links = pairs_in_buckets(rare_word_keys(sets), sets.select("node", "words"), F.expr(few))
+    none = links.limit(0)
+    return [(m.withColumnRenamed("key", key), found) for m, found in ((by_doi, none), (by_title, links))]

@@ -66,14 +66,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks").withColumn("place", F.xxhash64("article_id", "chunk_index"))
     members, links = duplicates.near(chunks, carried="place")
     found = duplicates.pairs_of(members, links, "id", "place")
-    return found.union(duplicates.near_articles(table(spark, sf_dir, "articles")))
+    for m, l in duplicates.near_articles(table(spark, sf_dir, "articles")):
+        found = found.union(duplicates.pairs_of(m, l, "id"))
+    return found.distinct()
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The representative of each chunk and how many other texts are near it."""
+    """The class of each chunk (its least id) and how many other classes are near it."""
     members, links = duplicates.near(table(spark, sf_dir, "chunks"))
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    return members.join(degree, "rep", "left").select(F.col("id").alias("chunk_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(degree, "rep", "left").select(F.col("id").alias("chunk_id"), F.col("first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ The mapping is SQL, run by DuckDB on the Arrow batches inside Spark's tasks:
 ``translate`` brings compatibility forms, spaces and hyphens to one character and
 drops what nobody sees, words are brought to the script their unmistakable
 letters belong to, and ``nfc_normalize`` composes accents. The tables in the SQL
-are made from the Unicode data by rule.
+are made from the Unicode data by rule, but for the look-alike letters of three scripts,
+which are listed.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ import functools
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.llm import arrays as A
 from foliomill.llm.common import checked_broadcast, stored
 from foliomill.llm.tokenize import _arrow_type
 
@@ -26,6 +29,8 @@ LOOK_ALIKE = (
     "AАΑ BВΒ CС- EЕΕ HНΗ IІΙ JЈ- KКΚ MМΜ N-Ν OОΟ PРΡ SЅ- TТΤ XХΧ YҮΥ Z-Ζ ËЁ- ÈЀ-"
 ).split()
 HYPHENS = "‐‑"
+#: Characters that DuckDB gets at once.
+PART_CHARS = 4_000_000
 LINE_BREAKS = {"\r\n": "\n", "\r": "\n", " ": "\n", " ": "\n\n", "\x85": "\n"}
 
 
@@ -62,16 +67,23 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-@functools.cache
-def _statement(select: str) -> str:
+@functools.lru_cache(maxsize=256)
+def _statement(select: str, used: str) -> str:
     """The query over ``given(key, text)``; ``select`` picks from key, text and clean.
 
-    ASCII texts are passed through, and only texts holding Cyrillic or Greek are taken apart into words.
+    ``used`` holds the characters of the batch that are not ASCII: the tables are cut to these. ASCII texts
+    are passed through, and only texts holding Cyrillic or Greek are taken apart into words, of which
+    only those that can change are translated.
     """
     one, to, drop, several = folding()
-    folded = f"translate(text, {_quoted(one + drop)}, {_quoted(to)})"
+    pairs = [(a, b) for a, b in zip(one + drop, to.ljust(len(one + drop), "\0")) if a in used]
+    pairs.sort(key=lambda p: p[1] == "\0")  # what is dropped stands at the end, without a counterpart
+    folded = "text"
+    if pairs:
+        folded = f"translate(text, {_quoted(''.join(a for a, _ in pairs))}, {_quoted(''.join(b for _, b in pairs if b != chr(0)))})"
     for char, plain in (several | LINE_BREAKS).items():
-        folded = f"replace({folded}, {_quoted(char)}, {_quoted(plain)})"
+        if char[0] in used or char[0] == "\r":
+            folded = f"replace({folded}, {_quoted(char)}, {_quoted(plain)})"
     to_latin = [(c, row[0]) for row in LOOK_ALIKE for c in row[1:] if c != "-"]
     to_cyrillic = [(c, row[1]) for row in LOOK_ALIKE if row[1] != "-" for c in row if c not in ("-", row[1])]
     unsure = ["".join(row[i] for row in LOOK_ALIKE if row[i] != "-") for i in range(3)]
@@ -83,33 +95,79 @@ def _statement(select: str) -> str:
     def count(letters: str) -> str:
         return f"length(t) - length(regexp_replace(t, {_quoted(letters)}, '', 'g'))"
 
+    def has(pattern: str) -> str:
+        return f"regexp_matches(w, {_quoted(pattern)})"
+
     ascii = "regexp_full_match(text, '[\\x00-\\x0c\\x0e-\\x7f]*')"
     two_scripts = "regexp_matches(t, '[\\p{Cyrillic}\\p{Greek}]') AND regexp_matches(t, '\\p{Latin}')"
     return f"""
-        WITH folded AS (SELECT key, text, {folded} AS t FROM given WHERE NOT {ascii}),
+        WITH folded AS MATERIALIZED (SELECT key, text, {folded} AS t FROM given WHERE NOT {ascii}),
         mixed AS (SELECT *, {count(sure_cyrillic)} > {count(sure_latin)} AS mainly_cyrillic FROM folded WHERE {two_scripts}),
         done AS (
             SELECT key, text, text AS clean FROM given WHERE text IS NULL OR {ascii}
             UNION ALL SELECT key, text, nfc_normalize(t) FROM folded WHERE NOT ({two_scripts})
             UNION ALL SELECT key, text, nfc_normalize(array_to_string(list_transform(
                 regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: CASE
-                    WHEN regexp_matches(w, {_quoted(sure_cyrillic)}) THEN {moved(to_cyrillic)}
-                    WHEN regexp_matches(w, {_quoted(sure_greek)}) THEN w
-                    WHEN regexp_matches(w, {_quoted(sure_latin)}) OR NOT mainly_cyrillic THEN {moved(to_latin)}
+                    WHEN NOT {has("[\\p{Latin}\\p{Cyrillic}\\p{Greek}]")} THEN w
+                    WHEN NOT {has("[\\p{Cyrillic}\\p{Greek}]")} AND (NOT mainly_cyrillic OR {has(sure_latin)}) THEN w
+                    WHEN NOT {has("[\\p{Latin}\\p{Greek}]")} AND (mainly_cyrillic OR {has(sure_cyrillic)}) THEN w
+                    WHEN {has(sure_cyrillic)} THEN {moved(to_cyrillic)}
+                    WHEN {has(sure_greek)} THEN w
+                    WHEN {has(sure_latin)} OR NOT mainly_cyrillic THEN {moved(to_latin)}
                     ELSE {moved(to_cyrillic)} END), '')) FROM mixed)
         SELECT {select} FROM done"""
 
 
-def _in_duckdb(select: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_use(texts: pa.Array) -> str:
+    """The characters of an Arrow column that the tables know, sorted."""
+    seen = np.zeros(0x110000, bool)
+    for part in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        joined = "".join(t for t in part.to_pylist() if t)
+        seen[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)] = True
+    return "".join(chr(c) for c in np.flatnonzero(seen & _known_characters()))
+
+
+@functools.cache
+def _known_characters() -> np.ndarray:
+    one, _, drop, several = folding()
+    known = np.zeros(0x110000, bool)
+    known[[ord(c[0]) for c in [*one, *drop, *several, *LINE_BREAKS]]] = True
+    return known
+
+
+class Mapper:
+    """A DuckDB connection of a worker. It keeps nothing on disk: batches are small, and what doesn't fit fails."""
+
+    def __init__(self) -> None:
         import duckdb
 
-        con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB"})
-        con.execute("SET preserve_insertion_order = false")
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.con.execute("SET preserve_insertion_order = false")
+
+    def select(self, batch: pa.Table, select: str) -> pa.Table:
+        """The statement over a table of key and text."""
+        self.con.register("given", batch)
+        out = self.con.sql(_statement(select, _in_use(batch.column("text")))).to_arrow_table()
+        self.con.unregister("given")
+        return out
+
+    def texts(self, texts: list[str]) -> list[str]:
+        """The consistent forms of texts, in their order."""
+        out = list(texts)
+        at = [i for i, t in enumerate(texts) if not t.isascii() or "\r" in t]
+        if at:
+            found = self.select(pa.table({"key": pa.array(at, pa.int64()), "text": pa.array([texts[i] for i in at], pa.string())}), "key, clean")
+            for i, clean in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+                out[i] = clean
+        return out
+
+
+def _in_duckdb(select: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mapper = Mapper()
         for batch in batches:
-            con.register("given", pa.Table.from_batches([batch]))
-            yield from con.sql(_statement(select)).to_arrow_table().to_batches()
-            con.unregister("given")
+            for part in A.parts(batch, PART_CHARS):
+                yield from mapper.select(pa.Table.from_batches([part]), select).to_batches()
 
     return run
 

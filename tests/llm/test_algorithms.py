@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliomill.llm import duplicates, packing, splitting
 
@@ -42,18 +43,49 @@ def test_pairs_against_brute_force(spark):
     assert m.count() == 0 and l.count() == 0
 
 
-def test_bands_bring_pairs_of_low_similarity_together():
+@pytest.mark.parametrize("size, least", [(20, 0.93), (60, 0.95), (300, 0.95)])
+def test_bands_bring_pairs_of_low_similarity_together(size, least):
     rng = np.random.default_rng(5)
-    n, size = 1000, 300
-    both = int(size * 2 * 0.62 / 1.62) + 1  # of size each: similarity 0.62
+    n = 3000
+    both = int(np.ceil(size * 2 * 0.6 / 1.6))  # of size each: similarity 0.6 or little more
     texts = []
     for _ in range(n):
         pool = rng.choice(1 << 32, 2 * size - both, replace=False).astype(np.uint32)
         texts += [pool[:size], pool[size - both:]]
     regs = duplicates.registers(np.concatenate(texts), np.repeat(np.arange(2 * n), size), 2 * n)
     keys = duplicates.band_keys(regs)
-    assert keys.dtype.itemsize == 4
-    assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.95
+    assert keys.max() < 1 << 40
+    assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= least
+
+
+def test_buckets_of_any_size_give_the_same_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    nodes = [(i, rng.randrange(4)) for i in range(120)]
+    rows = {(rng.randrange(6) if rng.random() < 0.7 else 99, i) for i, _ in nodes for _ in range(3)}
+    want = {(a, b) for k, a in rows for j, b in rows if k == j and a < b and dict(nodes)[a] == dict(nodes)[b]}
+    buckets, about = spark.createDataFrame(sorted(rows), "bucket long, node long"), spark.createDataFrame(nodes, "node long, kind int")
+    for part, heavy in ((1000, 20), (7, 1000), (7, 0)):
+        monkeypatch.setattr(duplicates, "PART", part)
+        monkeypatch.setattr(duplicates, "HEAVY", heavy)
+        got = [(r.a, r.b) for r in duplicates.pairs_in_buckets(buckets, about, F.expr("x_kind = y_kind")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_copies_of_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "PART", 4)
+    texts = ["one two three four five six seven eight nine ten"] * 23 + ["one two three four five six seven eight nine ten eleven"] * 9 + ["something else"]
+    df = spark.createDataFrame([(f"r{i:02d}", t) for i, t in enumerate(texts)], "id string, text string")
+    members, links = duplicates.near(df)
+    got = [(r.id_a, r.id_b) for r in duplicates.pairs_of(members, links, "id").collect()]
+    assert len(got) == len(set(got)) == 32 * 31 // 2 and links.count() == 1
+    assert {(r["first"], r.copies) for r in members.collect()} == {("r00", 23), ("r23", 9), ("r32", 1)}
+
+
+def test_form_of_problem_2_is_used(spark):
+    texts = ["the house of water stands on the hill", "the \u04bbouse of \u051dater stands on the hill", "the hou\u2061se of water stands on the hill"]
+    df = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(texts)], "id string, text string")
+    members, _ = duplicates.near(df)
+    assert [(r["first"], r.copies) for r in members.collect()] == [("r0", 3)] * 3
 
 
 def test_short_and_long_and_wide_texts(spark):
@@ -64,22 +96,27 @@ def test_short_and_long_and_wide_texts(spark):
 
 
 def test_rows_of_one_place_are_no_pair(spark):
-    members = spark.createDataFrame([("a", 1, 7), ("b", 1, 7), ("c", 1, 8)], "id string, rep long, place long")
+    members = spark.createDataFrame([("a", 1, 3, 7), ("b", 1, 3, 7), ("c", 1, 3, 8)], "id string, rep long, copies long, place long")
     links = spark.createDataFrame([], "a long, b long, jaccard double")
     assert {(r.id_a, r.id_b) for r in duplicates.pairs_of(members, links, "id", "place").collect()} == {("a", "c"), ("b", "c")}
 
 
-def test_estimate_is_unbiased():
+@pytest.mark.parametrize("size", [12, 300])
+def test_estimate_is_unbiased(spark, size):
     rng = np.random.default_rng(3)
     for share in (0.2, 0.6, 0.9):
-        errors = []
-        for _ in range(30):
-            both, own = int(300 * share), int(300 * (1 - share) / 2)
+        both, own = int(size * share), int(size * (1 - share) / 2)
+        rows = []
+        for _ in range(60):
             pool = rng.choice(1 << 32, both + 2 * own, replace=False).astype(np.uint32)
-            a, b = np.sort(np.concatenate([pool[:both], pool[both:both + own]])), np.sort(np.concatenate([pool[:both], pool[both + own:]]))
-            regs = duplicates.compressed(duplicates.registers(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2))
-            errors.append(duplicates.estimate(regs[:1], regs[1:])[0] - both / (both + 2 * own))
-        assert abs(np.mean(errors)) < 0.03
+            sets = pool[:both + own], np.concatenate([pool[:both], pool[both + own:]])
+            short = duplicates.compressed(duplicates.registers(np.concatenate(sets), np.repeat([0, 1], [len(x) for x in sets]), 2))
+            rows.append([int(v) for v in short.ravel()])
+        names = [f"{side}{i}" for side in "xy" for i in range(duplicates.WORDS)]
+        df = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+        columns = [F.col(n) for n in names]
+        got = [r[0] for r in df.select(duplicates.estimate(columns[:duplicates.WORDS], columns[duplicates.WORDS:])).collect()]
+        assert abs(np.mean(got) - both / (both + 2 * own)) < 0.03
 
 
 @pytest.mark.parametrize("doi, want", [(" 10.1/X", None), ("doi:10.1234/ABC.", "10.1234/abc"), ("https://doi.org/10.1234/abc", "10.1234/abc"), ("DOI 10.1234/a%2Fb", "10.1234/a/b"), ("", None), (None, None), ("１０.1234/abc", "10.1234/abc")])
@@ -92,9 +129,20 @@ def test_articles(spark):
         ("a", "The second survey of Kalo and Miro films: the cathode slurry", None), ("b", "the cathode slurry: the SECOND survey of Kalo and Miro films", None), ("c", "The second survey of Kalu and Miro film: the cathode slurry", None),
         ("d", "The second survey of Zeno and Bora blends: the cathode slurry", None), ("e", "Short title", "10.1234/x"), ("f", "Short title", "doi:10.1234/X"), ("g", None, None), ("h", None, ""), ("i", "a b c d e f", None), ("j", "a b c d x y", None), ("k", "a b c x y z", None)]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "id string, title string, doi string, words string")
-    got = {(r.id_a, r.id_b) for r in duplicates.near_articles(df).collect()}
+    got = {(r.id_a, r.id_b) for m, l in duplicates.near_articles(df) for r in duplicates.pairs_of(m, l, "id").collect()}
     assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("e", "f"), ("i", "j"), ("j", "k")}
-    assert duplicates.near_articles(df.limit(0)).count() == 0
+    assert all(duplicates.pairs_of(m, l, "id").count() == 0 for m, l in duplicates.near_articles(df.limit(0)))
+
+
+def test_articles_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(9)]
+    titles = [" ".join(rng.choice(words[:rng.choice([2, 3, 5, 9])]) for _ in range(rng.choice([5, 6, 7, 8]))) for _ in range(90)]
+    df = spark.createDataFrame([(f"r{i:02d}", t, None) for i, t in enumerate(titles)], "id string, title string, doi string")
+    sets = [set(t.split()) if len(t.split()) >= 6 else None for t in titles]
+    want = {(f"r{i:02d}", f"r{j:02d}") for i in range(90) for j in range(i + 1, 90) if sets[i] and sets[j] and len(sets[i] - sets[j]) <= 2 and len(sets[j] - sets[i]) <= 2}
+    got = [(r.id_a, r.id_b) for m, l in duplicates.near_articles(df) for r in duplicates.pairs_of(m, l, "id").collect()]
+    assert set(got) == want and len(got) == len(want)
 
 
 # -------------------------------------------------------------------------------------------- splitting
