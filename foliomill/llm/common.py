@@ -50,7 +50,7 @@ def sampled(df: DataFrame, key: str | Column, rows: int) -> DataFrame:
 
 
 #: Most bytes of a table that is broadcast; beyond, the join shuffles.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def size_of(df: DataFrame) -> int:

@@ -17,6 +17,8 @@ rare words of titles, is in pairs_in_buckets: large buckets are cut into parts.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ SHORT_BUCKETS = 128
 WORDS = SHORT_BUCKETS * SHORT_BITS // 64
 #: Estimates from SHORT_BUCKETS registers spread by less than 0.05; a candidate is compared from this one on.
 ESTIMATE = THRESHOLD - 0.2
+#: Sets of fewer shingles than this are compared without an estimate.
+SMALL_SET = 40
 #: Rows of a bucket, or copies of a class, that one task pairs with each other; larger ones are cut into such parts.
 PART = 1000
 #: Nodes sampled to see which buckets are heavy, and rows of a bucket in the sample that make it so.
@@ -130,45 +134,44 @@ def filled(regs: np.ndarray) -> np.ndarray:
     return flat.reshape(regs.shape)
 
 
-def compressed(regs: np.ndarray) -> np.ndarray:
-    """n x WORDS integers of the first SHORT_BUCKETS registers, SHORT_BITS bits each: 0 for an empty bucket, else 1 to 15
-    by the last bits of the register."""
-    some = regs.reshape(len(regs), -1)[:, :SHORT_BUCKETS]
-    short = np.where(some == 0, 0, 1 + some.astype(np.uint64) % 15).astype(np.uint64)
-    out = np.zeros((len(regs), WORDS), np.uint64)
+def compressed(full: np.ndarray) -> np.ndarray:
+    """n x WORDS integers of the last SHORT_BITS bits of the first SHORT_BUCKETS registers."""
+    short = (full.reshape(len(full), -1)[:, :SHORT_BUCKETS] & ((1 << SHORT_BITS) - 1)).astype(np.uint64)
+    out = np.zeros((len(full), WORDS), np.uint64)
     per = 64 // SHORT_BITS
     for i in range(per):
         out |= short[:, i::per] << np.uint64(SHORT_BITS * i)
     return out.view(np.int64)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
+def band_keys(full: np.ndarray) -> np.ndarray:
     """n x BANDS keys of 40 bits, each of the ROWS registers of a bucket; only keys of the same band are compared."""
-    full = filled(regs)
     with np.errstate(over="ignore"):
-        key = np.zeros((len(regs), BANDS), np.uint64)
+        key = np.zeros((len(full), BANDS), np.uint64)
         for r in range(ROWS):
             key = (key ^ full[:, r].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1)
         return A.mix(key) >> np.uint64(24)
 
 
-def estimate(a: list[Column], b: list[Column]) -> Column:
-    """Jaccard from short registers: of the buckets that aren't empty in both, the share of equal ones. Unlike
-    values fall together in one case of 15, which is taken off."""
+def estimate(unlike: Column) -> Column:
+    """Jaccard from the number of unlike short registers. Unlike minima share the bits kept in one case of 16, which is taken off."""
+    collide = 1 / (1 << SHORT_BITS)
+    return (1 - unlike / F.lit(float(SHORT_BUCKETS)) - F.lit(collide)) / F.lit(1 - collide)
+
+
+def unlike_registers(pairs: DataFrame) -> DataFrame:
+    """Adds ``unlike``, how many short registers of x_ and y_ columns differ. Step by step, each value once, so that the code stays small."""
+    names = [f"__{i}" for i in range(WORDS)]
+    out = pairs.select("*", *[F.col(f"x_r{i}").bitwiseXOR(F.col(f"y_r{i}")).alias(n) for i, n in enumerate(names)]).drop(*[f"{side}_r{i}" for side in "xy" for i in range(WORDS)])
+    for shift in (1, 2):
+        out = out.withColumns({n: F.col(n).bitwiseOR(F.shiftrightunsigned(n, shift)) for n in names})
     low = F.lit(0x1111111111111111)
+    return out.withColumn("unlike", reduce(lambda a, b: a + b, [F.bit_count(F.col(n).bitwiseAND(low)) for n in names])).drop(*names)
 
-    def marked(x: Column) -> Column:
-        """The lowest bit of each of the 16 registers that isn't 0."""
-        half = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        return half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(low)
 
-    unlike, either, both = F.lit(0), F.lit(0), F.lit(0)
-    for x, y in zip(a, b):
-        unlike = unlike + F.bit_count(marked(x.bitwiseXOR(y)))
-        either = either + F.bit_count(marked(x).bitwiseOR(marked(y)))
-        both = both + F.bit_count(marked(x).bitwiseAND(marked(y)))
-    equal = either - unlike
-    return (equal - both / F.lit(15.0)) / F.lit(14 / 15) / F.greatest(either, F.lit(1))
+def _alike(pairs: DataFrame) -> DataFrame:
+    """Candidates whose estimate is high enough, and those of small sets, whose registers say little."""
+    return unlike_registers(pairs).where((estimate(F.col("unlike")) >= ESTIMATE) | (F.least("x_n", "y_n") < SMALL_SET))
 
 
 _mapper: list[Mapper] = []
@@ -198,10 +201,10 @@ def _sketch(columns: dict) -> pa.RecordBatch:
     values, of = shingles(_consistent(columns["text"]))
     n = len(columns["text"])
     digest, counts = _digests(values, of, n)
-    regs = registers(values, of, n)
-    keys = band_keys(regs)
+    full = filled(registers(values, of, n))
+    keys = band_keys(full)
     at = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
-    short = compressed(regs)
+    short = compressed(full)
     return pa.RecordBatch.from_arrays([
         pa.array(columns["key"]), pa.array(columns["carried"], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(counts, pa.int32()),
         *(pa.array(np.ascontiguousarray(short[:, i])) for i in range(WORDS)),
@@ -233,11 +236,11 @@ def _compared(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([columns["a"][i] for i in keep], pa.int64()), pa.array([columns["b"][i] for i in keep], pa.int64()), pa.array([out[i] for i in keep], pa.float64())], names=["a", "b", "jaccard"])
 
 
-def pairs_in_buckets(buckets: DataFrame, about: DataFrame, condition: Column) -> DataFrame:
+def pairs_in_buckets(buckets: DataFrame, about: DataFrame, meeting: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``a, b`` (a < b): distinct pairs of nodes that share a bucket and meet a condition.
 
-    ``buckets`` has ``bucket, node`` (bigints, distinct rows), ``about`` one row a node with the columns that the condition asks for
-    as x_ and y_ columns. Buckets with one node are gone before the join. In buckets up to PART nodes pairs are made first, made
+    ``buckets`` has ``bucket, node`` (bigints, distinct rows), ``about`` one row a node; ``meeting`` keeps the pairs that meet the
+    condition, by the columns of ``about`` with x_ and y_ before their names. Buckets with one node are gone before the join. In buckets up to PART nodes pairs are made first, made
     distinct and then tried, so that what is known of nodes isn't shuffled with the buckets. Larger buckets are cut into parts, each
     tried against each other in a task of its own, and only pairs that meet the condition leave the join. The heaviest
     buckets are known from a sample of nodes (which decides on nothing but the way), so that none is counted in one task.
@@ -251,7 +254,7 @@ def pairs_in_buckets(buckets: DataFrame, about: DataFrame, condition: Column) ->
     small = shared.where(f"size <= {PART}").select("bucket", "node")
     p, q = small.alias("p"), small.alias("q")
     made = p.join(q, F.expr("p.bucket = q.bucket and p.node < q.node")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-    tried = made.repartition("a").distinct().join(x, "a").join(y, "b").where(condition).select("a", "b")
+    tried = meeting(made.repartition("a").distinct().join(x, "a").join(y, "b")).select("a", "b")
     large = shared.where(f"size > {PART}").select("bucket", "node")
     beyond = buckets.join(heavy, "bucket", "left_semi")
     large = stored(large.union(beyond))
@@ -264,7 +267,8 @@ def pairs_in_buckets(buckets: DataFrame, about: DataFrame, condition: Column) ->
     right = right.select(F.col("bucket").alias("to"), F.col("part").alias("own"), "other", "b", *[f"y_{c}" for c in columns])
     # the parts of a pair are the key of its task
     left = left.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return tried.union(left.join(right, F.expr("bucket = to and part = other and against = own and a < b")).where(condition).select("a", "b")).distinct()
+    met = left.join(right, F.expr("bucket = to and part = other and against = own and a < b"))
+    return tried.union(meeting(met).select("a", "b")).distinct()
 
 
 def near(df: DataFrame, key: str = "id", text: str = "text", carried: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -279,7 +283,7 @@ def near(df: DataFrame, key: str = "id", text: str = "text", carried: str | None
     texts = df.select(df[key].alias("key"), df[text].alias("text")).where("text is not null")
     rows = df.select(df[key].alias("key"), (df[carried] if carried else F.lit(None)).cast("bigint").alias("carried"), df[text].alias("text")).where("text is not null")
     sketched = rows.mapInArrow(A.map_arrow(_sketch, 2_000_000), f"key {kind}, carried bigint, d1 bigint, d2 bigint, n int, {', '.join(f'{r} bigint' for r in _REGS)}, bands array<int>, more array<tinyint>").where("n > 0")
-    sketched = stored(sketched.drop("n").withColumn("node", F.monotonically_increasing_id()))
+    sketched = stored(sketched.withColumn("node", F.monotonically_increasing_id()))
     # classes with copies: first the half digests that come more than once, then whole digests of their rows alone
     twice = stored(sketched.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"))
     copied = stored(sketched.select("d1", "d2", "key", "node").join(checked_broadcast(twice), "d1", "left_semi").groupBy("d1", "d2").agg(
@@ -289,8 +293,7 @@ def near(df: DataFrame, key: str = "id", text: str = "text", carried: str | None
     sets = named.where("rep = node")
     banded = sets.select("node", "more", F.posexplode("bands").alias("no", "low")).select(
         F.expr("shiftleft(cast(no as bigint), 40) | shiftleft(more[no] & 255L, 32) | (low & 4294967295L)").alias("bucket"), "node")
-    about = sets.select("node", *_REGS)
-    close = stored(pairs_in_buckets(banded, about, estimate([F.col(f"x_{r}") for r in _REGS], [F.col(f"y_{r}") for r in _REGS]) >= ESTIMATE))
+    close = stored(pairs_in_buckets(banded, sets.select("node", "n", *_REGS), _alike))
     # texts are read again, those of close pairs alone, and compared as sets
     needed = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = stored(sketched.select("node", "key", "d1", "d2").join(checked_broadcast(stored(needed)), "node", "left_semi"))
@@ -391,6 +394,6 @@ def near_articles(df: DataFrame, key: str = "id") -> list[tuple[DataFrame, DataF
     by_doi, _ = _classes(rows, "doi")
     by_title, sets = _classes(rows, "words")
     few = f"size(array_except(split(x_words, ' '), split(y_words, ' '))) <= {MISSING} and size(array_except(split(y_words, ' '), split(x_words, ' '))) <= {MISSING}"
-    links = pairs_in_buckets(rare_word_keys(sets), sets.select("node", "words"), F.expr(few))
+    links = pairs_in_buckets(rare_word_keys(sets), sets.select("node", "words"), lambda pairs: pairs.where(few))
     none = links.limit(0)
     return [(m.withColumnRenamed("key", key), found) for m, found in ((by_doi, none), (by_title, links))]
