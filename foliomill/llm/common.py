@@ -2,38 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomill.sources.staging import stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["checked_broadcast", "sampled", "size_of", "stored", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it. Where none is named, a session on one machine
-    (tests) gets one of its own; on a cluster that is an error, since executors would each write to their own disk."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-    return f"file:///tmp/foliomill-checkpoint-{os.getuid()}"
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read from there: later steps neither compute them
-    again nor depend on the executors that made them. The application's folder is removed when it ends."""
-    spark = df.sparkSession
-    own = f"{shared_dir(spark)}/foliomill-{spark.sparkContext.applicationId}"
-    path = f"{own}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sampled(df: DataFrame, key: str | Column, rows: int) -> DataFrame:

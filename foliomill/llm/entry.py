@@ -35,9 +35,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers, pages, articles = (table(spark, sf_dir, name) for name in ("page_text_layers", "pages", "articles"))
-    editor = scans.learn_editor(layers)
-    repaired = scans.repair(layers, articles, editor).withColumn("source", F.lit("layers"))
-    return repaired.union(scans.repair(pages, articles, editor).withColumn("source", F.lit("pages")))
+    scanner = scans.learn_scanner(layers)
+    repaired = scans.repair(layers, articles, scanner).withColumn("source", F.lit("layers"))
+    return repaired.union(scans.repair(pages, articles, scanner).withColumn("source", F.lit("pages")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

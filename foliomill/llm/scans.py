@@ -1,15 +1,18 @@
 """Noise in text from scanned pages (problem 3).
 
-Three parts. An averaged perceptron predicts, character by character, what has to
-be done to a misread word: keep, replace, delete, insert. It learns from pages that
-have both a clean and a scanned layer, aligned with each other; a correction counts
-if it leads to a word that the corpus has far more often. Its join operation takes
-words together that are broken over lines. A second perceptron tells running heads
-from text by their position on the page, their likeness to the article's title and
-journal, and their return on other pages.
-
-Each distinct word is judged once per worker; lines are cut and words are looked up
-for whole batches at a time.
+An averaged perceptron is the character editor: for each place of a word where the
+corpus offers an edit it predicts keep, replace, delete or insert, and at the end of a
+line keep or join. It learns from pages that have both a clean and a scanned
+layer, aligned with each other. The corpus offers as edits what leads to a more
+frequent word that looks the same once characters confused with each other are
+folded together; the editor's scores decide whether, and to which word, a word is
+corrected. A second perceptron tells running heads and page numbers from text by their
+position on the page, their likeness to the article's title and journal, and their
+return on other pages.
+
+Words are judged as rows of a table, each distinct word of the corpus once, against
+the whole vocabulary. The scan of the texts leaves out words that are sure and hands
+on the others, which are joined with the corrections.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -29,29 +33,34 @@ from pyspark.sql import types as T
 from foliomill.llm import arrays as A
 from foliomill.llm.common import checked_broadcast, sampled, stored
 
-#: Words stand in LEAST_LAYERS of all layers or more to be known. The most frequent VOCABULARY_WORDS words and
-#: TRIGRAMS trigrams of wide characters are kept, which bounds what is broadcast.
+#: A word is known from so many layers on (fewer in small corpora).
 LEAST_LAYERS = 6
-VOCABULARY_WORDS = 200_000
-TRIGRAMS = 500_000
-#: Absolute counts in the rules below hold for so many layers and are scaled for more.
+#: Words and trigrams that the scan leaves out without asking the tables: the most frequent ones. It bounds what
+#: is broadcast and changes no result: all others are looked up in the whole tables.
+SURE_WORDS = 200_000
+SURE_TRIGRAMS = 500_000
+#: Absolute counts in the features hold for so many layers and are scaled for more.
 USUAL_LAYERS = 6000
-#: Most pages with two layers for the editor, most edge lines for furniture.
+#: Most pages with two layers for the editor, most edge lines for furniture, most words for what is common.
 ALIGNED_PAGES = 1500
 FURNITURE_LINES = 12000
+COMMON_WORDS = 20_000
 TRAINING_CHARS = 3000
 EPOCHS = 4
-#: A correction must be this many times as frequent as the word at hand.
-TIMES = 6
+#: An edit is offered if it leads to a word so many times as frequent.
+TIMES = 3
 CACHE_WORDS = 400_000
+#: Inked lines from the top and from the bottom of a page, and characters of a line, that a running head may have.
+EDGE = 3
+HEAD_CHARS = 120
 
 HYPHENS = "-‐‑¬\xad"
-_WORD = re.compile(r"[^\W_]+(?:[!+][^\W_]*)*|[!+][^\W_]+")
 _NUMBER = r"(?:\d|[lIOo](?=\d)|(?<=\d)[lIOo]){1,5}"
 _AROUND = r"[\s\-–—\[\]()|]*"
 PAGE_NUMBER = re.compile(rf"{_AROUND}(?:(?:page|pages|p|pp|s|seite|стр|с|pág|página|第|页码)\.?\s*)?{_NUMBER}(?:\s*/\s*{_NUMBER})?\s*(?:页|頁|ページ)?{_AROUND}", re.I)
 _VOLUME = re.compile(r"\bvol\b")
 _LISTED = re.compile(r"(?m)^[ \t]*(?:\(\w{1,3}\) |\[\d+\] |[•‣▪–—*·-] (?!\d)|[^\W\d_]{2,8} [—=:–] |[^\W\d_]+(?:, \d+)+|\d+(?:\.\d+)* .*\.{4})")
+_BROKEN = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}]\n\s*(?=[^\W\d_])")
 
 
 class Perceptron:
@@ -96,202 +105,470 @@ class Perceptron:
         return self
 
 
-def _operations(noisy: str, clean: str) -> list[str]:
-    """Per character of the noisy word: K keep, R<x> replace, D delete; with +<x> where something is to be inserted behind it."""
+# ----------------------------------------------------------------------------------------------- editor
+
+KEEP, REPLACE, DELETE, INSERT, JOIN = "keep", "replace", "delete", "insert", "join"
+
+
+def edits(noisy: str, clean: str) -> list[tuple[int, str, str]]:
+    """(place in the noisy word, operation, characters put there) of what turns one word into the other."""
     out = []
     for tag, i1, i2, j1, j2 in SequenceMatcher(None, noisy, clean, autojunk=False).get_opcodes():
-        if tag == "equal":
-            out += ["K"] * (i2 - i1)
+        if tag == "insert":
+            out.append((max(0, i1 - 1), INSERT, clean[j1:j2]))
         elif tag == "delete":
-            out += ["D"] * (i2 - i1)
-        elif tag == "insert":
-            if out:
-                out[-1] += "+" + clean[j1:j2]
-        else:
+            out += [(i, DELETE, "") for i in range(i1, i2)]
+        elif tag == "replace":
             n, m = i2 - i1, j2 - j1
-            out += [f"R{clean[j1 + k]}" for k in range(min(n, m))] + ["D"] * max(0, n - m)
-            if m > n:
-                out[-1] += "+" + clean[j1 + n:j2]
+            out += [(i1 + k, REPLACE, clean[j1 + k] if k < min(n, m) - 1 or n >= m else clean[j1 + k:j2]) for k in range(min(n, m))]
+            out += [(i1 + k, DELETE, "") for k in range(m, n)]
     return out
 
 
-def _char_features(word: str, i: int) -> list[str]:
-    c = word[i]
+def edit_features(word: str, clean: str, edit: tuple[int, str, str], n: int, n_clean: float, many: int) -> list[str]:
+    """Of one edit: its characters and those around it, how often both words stand (scaled), and the word's make."""
+    i, operation, put = edit
     before, after = word[i - 1] if i else "^", word[i + 1] if i + 1 < len(word) else "$"
-    return [f"c={c}", f"b={before}{c}", f"a={c}{after}", f"ba={before}{c}{after}", f"a2={c}{after}{word[i + 2] if i + 2 < len(word) else '$'}",
-            f"mix={any(x.isdigit() or x in '!+' for x in word)}|{c}"]
+    what = f"{word[i]}>{operation[0]}{put}"
+    known = n_clean > 0
+    ratio = min(8, int(np.log2(n_clean / (n + 1)) * 1.0001)) if known else -1
+    seen, often = min(4, int(np.log2(n + 1))), min(12, int(np.log2(n_clean + 1)))
+    make = "w" if word.isalpha() else "m" if any(c.isalpha() for c in word) else "d"
+    size = min(len(word), 8)
+    return ["bias", f"e={what}", f"e={what}|b={before}", f"e={what}|a={after}", f"x={before}{word[i]}{after}", f"e={what}|make={make}", f"ratio={ratio}", f"ratio={ratio}|make={make}", f"ratio={ratio}|size={size}",
+            f"seen={seen}|ratio={ratio}", f"often={often}|size={size}", f"often={often}|make={make}|size={size}", f"e={what}|ratio={ratio}", f"many={min(many, 4)}", f"many={min(many, 4)}|size={size}|make={make}", f"edge={i == 0 or i == len(word) - 1}|e={what}"]
 
 
-class Editor:
-    """The character editor: vocabulary, perceptron, and the confusions seen in training."""
-
-    def __init__(self, counts: dict[str, int], capitals: dict[str, int], pairs: list[tuple[str, str]], trigrams: dict[str, int], wide_pairs: list[tuple[str, str]], layers: int = 0):
-        self.counts = counts
-        self.scale = min(1.0, USUAL_LAYERS / max(1, layers))
-        self.capitals = capitals
-        rows, units = [], Counter()
-        for noisy, clean in pairs:
-            operations = _operations(noisy, clean)
-            rows += [(_char_features(noisy, i), y) for i, y in enumerate(operations)]
-            for tag, i1, i2, j1, j2 in SequenceMatcher(None, noisy, clean, autojunk=False).get_opcodes():
-                if tag == "replace" and i2 - i1 <= 2 and j2 - j1 <= 2:
-                    units[noisy[i1:i2], clean[j1:j2]] += 1
-        least = max(2, len(pairs) // 2000)
-        self.units = sorted(u for u, n in units.items() if n >= least)
-        # words that stay as they are, for the perceptron to tell where confusions are none
-        common = sorted(counts, key=lambda w: (-counts[w], w))[:1500]
-        rows += [(_char_features(w, i), "K") for w in common for i in range(len(w))]
-        self.perceptron = Perceptron().train(rows)
-        self._fold_tables()
-        self.folded: dict[str, list[str]] = {}
-        for w in counts:
-            for f in self.folds(w):
-                self.folded.setdefault(f, []).append(w)
-        self.trigrams = trigrams
-        self.wide = defaultdict(set)
-        for noisy, clean in wide_pairs:
-            self.wide[noisy].add(clean)
-        self.cache: dict[str, str | None] = {}
-
-    def _fold_tables(self) -> None:
-        """Characters and pairs confused with each other fall into classes; folding writes a class's name."""
-        parent: dict[str, str] = {}
+def joint_features(left: str, hyphen: str, right: str, known: tuple[bool, bool, bool]) -> list[str]:
+    """Of the end of a line: the parts of the word on both sides of its hyphen; whether the left part, the right part
+    and both together are known words."""
+    case = "U" if right[:1].isupper() else "l" if right[:1].isalpha() else "0"
+    size = f"{min(len(left), 5)},{min(len(right), 5)}"
+    state = "".join("01"[k] for k in known)
+    hyphen = "-" if hyphen == "-" else "other"
+    return ["joint", f"j:h={hyphen}", f"j:h={hyphen}|c={case}", f"j:k={state}", f"j:k={state}|c={case}", f"j:k={state}|h={hyphen}|c={case}", f"j:s={size}|c={case}", f"j:up={left.isupper()}|c={case}"]
+
+
+def _root(parent: dict[str, str], x: str) -> str:
+    parent.setdefault(x, x)
+    while parent[x] != x:
+        x = parent[x]
+    return x
 
-        def root(x: str) -> str:
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                x = parent[x]
-            return x
 
-        for noisy, clean in self.units:
-            parent[root(noisy)] = root(clean)
-        name = {x: root(x) for x in parent}
+class Editor:
+    """The fitted character editor: its perceptron, the confusions seen in training with the classes they fall
+    into, and confused wide characters. ``scale`` brings counts to USUAL_LAYERS."""
+
+    def __init__(self, perceptron: Perceptron, units: list[tuple[str, str]], wide: dict[str, set[str]], scale: float):
+        self.perceptron, self.units, self.wide, self.scale = perceptron, units, wide, scale
+        parent: dict[str, str] = {}
+        for noisy, clean in units:
+            parent[_root(parent, noisy)] = _root(parent, clean)
+        name = {x: _root(parent, x) for x in parent}
         code = {r: chr(0xE100 + i) for i, r in enumerate(sorted(set(name.values())))}
-        single = {ord(x): code[r] for x, r in name.items() if len(x) == 1}
-        double = {x: code[r] for x, r in name.items() if len(x) == 2}
-        self._single = single
-        self._double = re.compile("|".join(map(re.escape, sorted(double)))) if double else None
-        self._double_code = double
+        self._single = {ord(x): code[r] for x, r in name.items() if len(x) == 1}
+        self._double = {x: code[r] for x, r in name.items() if len(x) == 2}
+        self._finder = re.compile("|".join(map(re.escape, sorted(self._double)))) if self._double else None
+        self._marks = defaultdict(set)
+        for noisy, clean in units:
+            if len(noisy) == 1 and not noisy.isalpha() and clean.isalpha():
+                self._marks[noisy].add(clean)
 
     def folds(self, word: str) -> set[str]:
         """Both ways to fold a word: its pairs first, or characters alone (a pair may be two letters after all)."""
         out = {word.translate(self._single)}
-        if self._double is not None:
-            out.add(self._double.sub(lambda m: self._double_code[m.group()], word).translate(self._single))
+        if self._finder is not None:
+            out.add(self._finder.sub(lambda m: self._double[m.group()], word).translate(self._single))
         return out
 
-    def correct(self, word: str) -> str | None:
-        """What a word was before it was misread, in lower case, or None if it wasn't. A capitalised word
-        is corrected only to one that is often written so: names look like misread words."""
-        name = word[:1].isupper() and word[1:].islower() and word.isalpha()
-        if len(word) <= 5 and word.isupper() and word.isalpha() and word.isascii():
-            return None  # a code
-        word = word.lower()
-        if word not in self.cache:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = self._correct(word)
-        found = self.cache[word]
-        if found is not None and name and self.capitals.get(found, 0) < 0.05 * self.counts[found]:
-            return None
-        return found
+    def margin(self, word: str, clean: str, n: int, n_clean: int) -> float:
+        """By how much the editor's scores of all edits that lead to ``clean`` beat keeping the characters."""
+        found = edits(word, clean)
+        out = 0.0
+        for edit in found:
+            s = self.perceptron.scores(edit_features(word, clean, edit, int(n * self.scale), n_clean * self.scale, len(found)))
+            out += s.get(edit[1], 0.0) - s.get(KEEP, 0.0)
+        return out
 
-    def _correct(self, word: str) -> str | None:
-        if len(word) < 2 or sum(c.isalpha() for c in word) * 2 < len(word):
-            return None
-        letters_only = word.isalpha() and word.isascii()
-        least = TIMES * (self.counts.get(word, 0) + (1 if len(word) > 3 else 3)) if word in self.counts else 1
-        best, best_score = None, 0.0
-        for clean in sorted({w for f in self.folds(word) for w in self.folded.get(f, ())}):
-            if clean == word or len(word) < 3 and letters_only and clean.isascii() or self.counts[clean] < least or (len(word) < 4 and word.isalpha() and self.counts[clean] * self.scale < 40):
-                continue
-            score = 0.0
-            for i, y in enumerate(_operations(word, clean)):
-                if y != "K":
-                    s = self.perceptron.scores(_char_features(word, i))
-                    score += s.get(y, -1.0) - min(0.0, s.get("K", 0.0)) + (0.5 if not word[i].isalpha() else 0.0)
-            score += 1e-6 * self.scale * self.counts[clean]
-            if best is None or score > best_score:
-                best, best_score = clean, score
-        return best or self._unknown_word(word)
-
-    def _unknown_word(self, word: str) -> str | None:
-        """A word that isn't in the vocabulary, a name perhaps, with what the editor says of marks and digits between its letters."""
+    def spelled(self, word: str, n: int) -> str | None:
+        """A word that looks like no known one, a name perhaps, with the marks and digits between its letters that the
+        editor replaces by letters; None if it keeps all."""
         if word.isalpha():
             return None
         out = list(word)
         for i in range(1, len(word) - 1):
-            if not word[i].isalpha() and word[i - 1].isalpha() and word[i + 1].isalpha() and not (_is_wide(word[i - 1]) or _is_wide(word[i + 1])):
-                s = self.perceptron.scores(_char_features(word, i))
-                y = max(s, key=lambda k: (s[k], k), default="K")
-                if y[0] == "R" and s[y] > s.get("K", 0.0) and y[1:].isalpha():
-                    out[i] = y[1:2]
+            if not word[i].isalpha() and word[i - 1].isalpha() and word[i + 1].isalpha():
+                best = 0.0
+                for put in sorted(self._marks.get(word[i], ())):
+                    edit = (i, REPLACE, put)
+                    s = self.perceptron.scores(edit_features(word, word, edit, int(n * self.scale), 0, 1))
+                    if s.get(REPLACE, 0.0) - s.get(KEEP, 0.0) > best:
+                        best, out[i] = s.get(REPLACE, 0.0) - s.get(KEEP, 0.0), put
         return "".join(out) if out != list(word) else None
 
-    def correct_wide(self, text: str, i: int) -> str | None:
-        """The character a wide one at i should be, by the characters around it."""
-        around = text[max(0, i - 1):i], text[i + 1:i + 2]
-        own = self.trigrams.get(around[0] + text[i] + around[1], 0)
-        if own * self.scale > 1:
-            return None
-        best = max(self.wide.get(text[i], ()), key=lambda c: self.trigrams.get(around[0] + c + around[1], 0), default=None)
-        return best if best is not None and self.trigrams.get(around[0] + best + around[1], 0) >= 5 * max(1, own) else None
+    def joins(self, left: str, hyphen: str, right: str, known: tuple[bool, bool, bool]) -> bool:
+        """Whether the word at the end of a line goes on in the next one."""
+        s = self.perceptron.scores(joint_features(left, hyphen, right, known))
+        return s.get(JOIN, 0.0) > s.get(KEEP, 0.0)
+
+
+def correctable(word: str) -> bool:
+    return len(word) >= 2 and sum(c.isalpha() for c in word) * 2 >= len(word)
+
+
+def offered(word: str, clean: str, n: int, n_clean: int) -> bool:
+    """Whether the corpus offers a word as a correction of another."""
+    short = len(word) < 3 and word.isalpha() and word.isascii() and clean.isascii()
+    return word != clean and not short and n_clean >= TIMES * (n + (1 if len(word) > 3 else 3) if n > 1 else 1)
 
 
 def _is_wide(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿"
 
 
-def count_words(text: str, counts: Counter, capitals: Counter, trigrams: Counter) -> None:
-    """Adds the words, capitalised words and trigrams of wide characters of a text, each once."""
-    t = A.plain(text)
-    t = re.sub(rf"(?<=[^\W\d_])[{HYPHENS}]\n\s*(?=[^\W\d_])", "", t)
-    words = set(_WORD.findall(t))
-    counts.update({w.lower() for w in words if not w.isdigit()})
-    capitals.update({w.lower() for w in words if w[:1].isupper() and w[1:].islower()})
-    if not t.isascii() and any(map(_is_wide, t)):
-        joined = re.sub(r"(?<=[぀-鿿])\n(?=[぀-鿿])", "", t)
-        trigrams.update({joined[i - 1:i + 2] for i in range(1, len(joined)) if _is_wide(joined[i])})
+_IN_WORD = np.zeros(A.TABLE_SIZE, bool)
+_IN_WORD[[ord("!"), ord("+")]] = True
+_MARKED = "!+"
+
+
+def find_words(batch: A.TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words of a batch: letters, digits and the marks that letters are misread as, with one letter
+    at least, not of the scripts without spaces; and the masks of narrow letters and of digits."""
+    classes = batch.classes
+    narrow = (classes == A.LATIN) | (classes == A.CYRILLIC) | (classes == A.GREEK) | (classes == A.LETTER) | (classes == A.MARK)
+    digit = classes == A.DIGIT
+    starts, ends = A.runs(narrow | digit | _IN_WORD[batch.codes])
+    total = np.concatenate([[0], np.cumsum(narrow)])
+    lettered = total[ends] > total[starts]
+    return starts[lettered], ends[lettered], narrow, digit
+
+
+def _trigrams(batch: A.TextBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wide characters inside their text, and the codes of each with both neighbours (LF for none)."""
+    wide = (batch.classes == A.HAN) | (batch.classes == A.KANA)
+    at = np.flatnonzero(wide)
+    codes = batch.raw.astype(np.uint64)
+    before = np.where(at > 0, codes[np.maximum(at - 1, 0)], np.uint64(10))
+    after = codes[np.minimum(at + 1, len(codes) - 1)]
+    return at, (before << np.uint64(42)) | (codes[at] << np.uint64(21)) | after
+
+
+def _triple(key: int) -> str:
+    return chr(key >> 42) + chr(key >> 21 & 0x1FFFFF) + chr(key & 0x1FFFFF)
 
 
-def train_editor(texts: list[str], aligned: list[tuple[str, str]]) -> Editor:
-    """From layers and (clean, scanned) texts of the same pages."""
-    counts, capitals, trigrams = Counter(), Counter(), Counter()
-    for t in texts:
-        count_words(t, counts, capitals, trigrams)
-    return fit_editor(counts, capitals, trigrams, len(texts), aligned)
+@functools.cache
+def _upper_table() -> np.ndarray:
+    table = np.zeros(A.TABLE_SIZE, bool)
+    for c in range(0x2000):
+        table[c] = chr(c).isupper()
+    return table
+
+
+def _distinct(owner: np.ndarray, key: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one row for each owner and key, and whether any of their rows has the flag."""
+    order = np.lexsort((~flag, key, owner))
+    o, k = owner[order], key[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (o[1:] != o[:-1]) | (k[1:] != k[:-1])
+    return order[first], flag[order[first]]
+
+
+def unbroken(text: str) -> str:
+    """The plain form with words put together that are broken over lines, and wide characters without line breaks."""
+    text = _BROKEN.sub("", A.plain(text))
+    return text if text.isascii() else re.sub(r"(?<=[぀-鿿])\n(?=[぀-鿿])", "", text)
+
+
+def count_words(texts: list[str], words: dict[int, list], wide: dict[int, int]) -> None:
+    """Adds to ``words`` (by hash: word in lower case, layers with it, layers with it capitalised) and ``wide`` (by
+    trigram: layers) what stands in texts, each once a text."""
+    batch = A.TextBatch([unbroken(t) for t in texts])
+    starts, ends, _, _ = find_words(batch)
+    text = batch.joined
+    # a mark behind a word may be one
+    trailing = np.flatnonzero(_IN_WORD[batch.codes[ends - 1]]) if len(ends) else np.zeros(0, np.int64)
+    cut = ends[trailing].copy()
+    for _ in range(3):
+        cut -= _IN_WORD[batch.codes[cut - 1]]
+    bare = cut > starts[trailing]
+    hashes = np.concatenate([A.span_hashes(batch.lower, starts, ends), A.span_hashes(batch.lower, starts[trailing][bare], cut[bare])])
+    starts, ends = np.concatenate([starts, starts[trailing][bare]]), np.concatenate([ends, cut[bare]])
+    if len(starts):
+        upper = _upper_table()[batch.codes]
+        total = np.concatenate([[0], np.cumsum(upper)])
+        capital = upper[starts] & (total[ends] - total[starts] == 1) & (ends - starts > 1)
+        at, has = _distinct(np.searchsorted(batch.ends, starts), hashes, capital)
+        unique, first, where = np.unique(hashes[at], return_index=True, return_inverse=True)
+        n, capitals = np.bincount(where), np.bincount(where, weights=has).astype(int)
+        for key, i, a, b in zip(unique.tolist(), at[first].tolist(), n.tolist(), capitals.tolist()):
+            found = words.get(key)
+            if found is None:
+                words[key] = [text[starts[i]:ends[i]].lower(), a, b]
+            else:
+                found[1] += a
+                found[2] += b
+    at, keys = _trigrams(batch)
+    if len(at):
+        one, _ = _distinct(np.searchsorted(batch.ends, at), keys, np.zeros(len(at), bool))
+        unique, n = np.unique(keys[one], return_counts=True)
+        for key, a in zip(unique.tolist(), n.tolist()):
+            wide[key] = wide.get(key, 0) + a
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``kind, word, n, capital`` of a partition's texts, sent on whenever there are many."""
+    words: dict[int, list] = {}
+    wide: dict[int, int] = {}
+    layers = 0
+
+    def sent() -> pa.RecordBatch:
+        rows = [("layers", "", layers, 0), *(("word", w, n, c) for w, n, c in words.values()), *(("wide", _triple(k), n, 0) for k, n in wide.items())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["kind", "word", "n", "capital"])
+
+    for batch in batches:
+        for part in A.parts(batch, 2_000_000):
+            count_words(part.column(0).to_pylist(), words, wide)
+            layers += part.num_rows
+            if len(words) + len(wide) > CACHE_WORDS:
+                yield sent()
+                words, wide, layers = {}, {}, 0
+    if layers:
+        yield sent()
 
 
 def least_layers(layers: int) -> float:
     return min(LEAST_LAYERS, max(3, 0.001 * layers))
 
 
-def fit_editor(counts: dict[str, int], capitals: dict[str, int], trigrams: dict[str, int], layers: int, aligned: list[tuple[str, str]]) -> Editor:
-    """From counts of layers with a word or trigram, the number of layers, and (clean, scanned) texts of the same pages."""
-    least = least_layers(layers)
-    vocabulary = {w: n for w, n in counts.items() if n >= least and not (any(map(_is_wide, w)) and len(w) > 1)}
-    pairs, wide_pairs = [], Counter()
+@dataclass
+class Corpus:
+    """Counts over the whole texts of all layers: ``word, n, capital`` of every word (layers that hold it), ``word, n``
+    of every trigram around a wide character, the number of layers, and from how many a word is known."""
+
+    words: DataFrame
+    wide: DataFrame
+    layers: int
+    least: float
+
+
+def corpus_counts(layers: DataFrame) -> Corpus:
+    counted = layers.where(F.length(F.trim("text")) > 0).select("text").mapInArrow(_counted, "kind string, word string, n bigint, capital bigint")
+    every = stored(counted.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("capital").alias("capital")))
+    total = every.where("kind = 'layers'").agg(F.sum("n")).first()[0] or 0
+    return Corpus(every.where("kind = 'word'").select("word", "n", "capital"), every.where("kind = 'wide'").select("word", "n"), total, least_layers(total))
+
+
+def _tokens(text: str) -> list[str]:
+    batch = A.TextBatch([text])
+    starts, ends, _, _ = find_words(batch)
+    return [batch.joined[a:b].lower() for a, b in zip(starts, ends)]
+
+
+def aligned_words(clean: str, scanned: str) -> list[tuple[str, str]]:
+    """(clean, scanned) words that stand in the same place of both layers of a page, equal ones included."""
+    a, b = _tokens(unbroken(clean)), _tokens(unbroken(scanned))
+    matcher = SequenceMatcher(None, a, b, autojunk=False)
+    out = []
+    if a and b and matcher.quick_ratio() >= 0.6:
+        for tag, i1, i2, j1, j2 in matcher.get_opcodes():
+            if tag == "equal" or tag == "replace" and i2 - i1 == j2 - j1 <= 3:
+                out += list(zip(a[i1:i2], b[j1:j2]))
+    return out
+
+
+def _line_ends(clean: str, scanned: str) -> Iterator[tuple[str, str, str, str | None]]:
+    """Of the lines of a scanned layer that end in a hyphen: left part, hyphen, right part, and JOIN if the clean layer has
+    both together, with or without a hyphen, KEEP if it has them apart, else None."""
+    low = A.plain(clean).lower()
+    words = set(_tokens(low))
+    for left, hyphen, right in joints(scanned.split("\n")).values():
+        a, b = A.plain(left).lower(), A.plain(right).lower()
+        apart = re.search(rf"\b{re.escape(a)}[{HYPHENS}–—]?\s+{re.escape(b)}\b", low)
+        yield left, hyphen, right, JOIN if a + b in words or f"{a}-{b}" in low else KEEP if apart or not (a in words or b in words) and right[:1].isupper() else None
+
+
+_LAST, _FIRST = re.compile(rf"([^\W_]+)([{HYPHENS}])\s*$"), re.compile(r"\s*([^\W_]+)")
+
+
+def joints(lines: list[str]) -> dict[int, tuple[str, str, str]]:
+    """By line, left part, hyphen and right part of the words that may be broken at its end."""
+    out = {}
+    for k in range(len(lines) - 1):
+        line = lines[k].rstrip()
+        if line[-1:] in HYPHENS and line and len(line) > 2:
+            a, b = _LAST.search(line), _FIRST.match(lines[k + 1])
+            if a and b and a.group(1)[-1].isalpha() and b.group(1)[0].isalpha():
+                out[k] = a.group(1), a.group(2), b.group(1)
+    return out
+
+
+def fit_editor(aligned: list[tuple[str, str]], counts: dict[str, int], corpus_layers: int) -> Editor:
+    """From (clean, scanned) texts of the same pages and counts of their words and of common ones (see Corpus)."""
+    least, scale = least_layers(corpus_layers), min(1.0, USUAL_LAYERS / max(1, corpus_layers))
+    units, wide_units, positive, equal, joint = Counter(), Counter(), [], set(), []
     for clean, scanned in aligned:
-        clean, scanned = A.plain(clean[:TRAINING_CHARS]), A.plain(scanned[:TRAINING_CHARS])
-        scanned = re.sub(rf"(?<=[^\W\d_])[{HYPHENS}]\n\s*(?=[^\W\d_])", "", scanned)
-        if sum(map(_is_wide, clean)) * 3 > len(clean):
-            a, b = re.sub(r"\s+", "", clean), re.sub(r"\s+", "", scanned)
+        clean, scanned = clean[:TRAINING_CHARS], scanned[:TRAINING_CHARS]
+        joint += list(_line_ends(clean, scanned))
+        a, b = unbroken(clean), unbroken(scanned)
+        if sum(map(_is_wide, a)) * 3 > len(a):
+            a, b = re.sub(r"\s+", "", a), re.sub(r"\s+", "", b)
             matcher = SequenceMatcher(None, a, b, autojunk=False)
             if len(a) < 2500 and matcher.quick_ratio() > 0.7:
-                for tag, i1, i2, j1, j2 in matcher.get_opcodes():
-                    if tag == "replace" and i2 - i1 == j2 - j1 == 1 and _is_wide(a[i1]):
-                        wide_pairs[b[j1], a[i1]] += 1
-            continue
-        a, b = _WORD.findall(clean.lower()), _WORD.findall(scanned.lower())
-        matcher = SequenceMatcher(None, a, b, autojunk=False)
-        if matcher.quick_ratio() < 0.6:
+                wide_units.update((b[j1], a[i1]) for tag, i1, i2, j1, j2 in matcher.get_opcodes() if tag == "replace" and i2 - i1 == j2 - j1 == 1 and _is_wide(a[i1]))
             continue
-        for tag, i1, i2, j1, j2 in matcher.get_opcodes():
-            if tag == "replace" and i2 - i1 == j2 - j1 and i2 - i1 <= 3:
-                for x, y in zip(a[i1:i2], b[j1:j2]):
-                    if x in vocabulary and vocabulary.get(y, 0) * 5 < vocabulary[x] and abs(len(x) - len(y)) <= 2 and SequenceMatcher(None, x, y).ratio() > 0.55:
-                        pairs.append((y, x))
-    return Editor(vocabulary, {w: capitals[w] for w in vocabulary if capitals.get(w)}, pairs, {k: n for k, n in trigrams.items() if n > 1}, [p for p, n in wide_pairs.items() if n >= 2], layers)
+        for x, y in aligned_words(clean, scanned):
+            if x == y:
+                equal.add(x)
+            elif counts.get(x, 0) >= least and counts.get(y, 0) * 5 < counts[x] and abs(len(x) - len(y)) <= 2 and SequenceMatcher(None, x, y).ratio() > 0.55:
+                positive.append((y, x))
+                units.update((y[i1:i2], x[j1:j2]) for tag, i1, i2, j1, j2 in SequenceMatcher(None, y, x, autojunk=False).get_opcodes() if tag == "replace" and i2 - i1 <= 2 and j2 - j1 <= 2)
+    enough = max(2, len(positive) // 2000)
+    kept = sorted(u for u, n in units.items() if n >= enough)
+    wide = defaultdict(set)
+    for (noisy, clean), n in wide_units.items():
+        if n >= 2:
+            wide[noisy].add(clean)
+    editor = Editor(Perceptron(), kept, dict(wide), scale)
+    by_fold = defaultdict(list)
+    for w, n in counts.items():
+        if n >= least:
+            for f in editor.folds(w):
+                by_fold[f].append(w)
+    rows: list[tuple[list[str], str]] = []
+
+    def learn(word: str, clean: str, n_clean: int, keep: bool) -> None:
+        found, n = edits(word, clean), counts.get(word, 0)
+        for e in found:
+            rows.append((edit_features(word, clean, e, int(n * scale), n_clean * scale, len(found)), KEEP if keep else e[1]))
+
+    for word, clean in positive:
+        learn(word, clean, counts[clean], False)
+        for other in {w for f in editor.folds(word) for w in by_fold[f]} - {clean}:
+            if offered(word, other, counts.get(word, 0), counts[other]):
+                learn(word, other, counts[other], True)
+        # the same without the dictionary, for words that aren't in it
+        for e in edits(word, clean):
+            if e[1] == REPLACE and not word[e[0]].isalpha():
+                rows.append((edit_features(word, word, e, int(counts.get(word, 0) * scale), 0, 1), REPLACE))
+    misread = {y for y, _ in positive}
+    for word in sorted(equal - misread):
+        if correctable(word):
+            for clean in {w for f in editor.folds(word) for w in by_fold[f]}:
+                if offered(word, clean, counts.get(word, 0), counts[clean]):
+                    learn(word, clean, counts[clean], True)
+            for i in range(1, len(word) - 1):
+                for put in editor._marks.get(word[i], ()) if word[i - 1].isalpha() and word[i + 1].isalpha() else ():
+                    rows.append((edit_features(word, word, (i, REPLACE, put), int(counts.get(word, 0) * scale), 0, 1), KEEP))
+    known = lambda w: counts.get(A.plain(w).lower(), 0) >= least
+    rows += [(joint_features(left, hyphen, right, (known(left), known(right), known(left + right))), y) for left, hyphen, right, y in joint if y]
+    editor.perceptron.train(rows)
+    return editor
+
+
+@dataclass
+class Scanner:
+    """What the scan of texts needs: the editor, corrections of words and of trigrams (whole tables), and
+    what needn't be asked: sorted hashes of known words, of which ``sure`` are no misreadings, and sorted sure trigrams."""
+
+    editor: Editor
+    corrections: DataFrame
+    wide_corrections: DataFrame
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    sure: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    sure_wide: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+
+
+def correct_words(corpus: Corpus, editor: Editor) -> DataFrame:
+    """``word, clean, often_capital``: every word of the corpus that the editor corrects, with what it was. ``often_capital`` tells
+    whether the right word is often written with a capital: names look like misread words. Each word meets the known ones
+    that fold alike, by a join; no vocabulary is collected."""
+    spark = corpus.words.sparkSession
+    shipped = spark.sparkContext.broadcast(editor)
+
+    def folded(columns: dict) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], []]
+        for word, n, capital in zip(columns["word"], columns["n"], columns["capital"]):
+            if correctable(word):
+                for f in shipped.value.folds(word):
+                    for column, v in zip(out, (f, word, n, capital)):
+                        column.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["fold", "word", "n", "capital"])
+
+    def judged(columns: dict) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], []]
+        for word, n, clean, n_clean, capital in zip(*(columns[c] for c in ("word", "n", "clean", "n_clean", "capital"))):
+            if offered(word, clean, n, n_clean):
+                margin = shipped.value.margin(word, clean, n, n_clean)
+                if margin > 0:
+                    for column, v in zip(out, (word, clean, margin, capital >= 0.05 * n_clean)):
+                        column.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.float64(), pa.bool_()))], names=["word", "clean", "margin", "often_capital"])
+
+    def spelled(columns: dict) -> pa.RecordBatch:
+        out: list[list] = [[], []]
+        for word, n in zip(columns["word"], columns["n"]):
+            clean = shipped.value.spelled(word, n) if correctable(word) else None
+            if clean is not None:
+                for column, v in zip(out, (word, clean)):
+                    column.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["word", "clean"])
+
+    folds = stored(corpus.words.mapInArrow(A.map_arrow(folded), "fold string, word string, n bigint, capital bigint"))
+    known = folds.where(F.col("n") >= corpus.least).select("fold", F.col("word").alias("clean"), F.col("n").alias("n_clean"), "capital")
+    pairs = folds.select("fold", "word", "n").join(known, "fold").where(f"word <> clean and n_clean >= {TIMES} * n").select("word", "n", "clean", "n_clean", "capital").distinct()
+    found = pairs.mapInArrow(A.map_arrow(judged), "word string, clean string, margin double, often_capital boolean")
+    best = stored(found.groupBy("word").agg(F.max(F.struct("margin", "clean", "often_capital")).alias("b")).select("word", "b.clean", "b.often_capital"))
+    marked = corpus.words.where(~F.col("word").rlike(r"^[\p{L}\p{M}]+$")).select("word", "n").mapInArrow(A.map_arrow(spelled), "word string, clean string")
+    alone = marked.join(best.select("word"), "word", "left_anti").withColumn("often_capital", F.lit(True))
+    return stored(best.union(alone))
+
+
+def correct_trigrams(corpus: Corpus, editor: Editor) -> DataFrame:
+    """``word, clean``: every trigram whose middle character should be another of those it is confused with, by how often both stand."""
+    if not editor.wide:
+        return corpus.words.sparkSession.createDataFrame([], "word string, clean string")
+    confused = corpus.words.sparkSession.createDataFrame([(a, b) for a, bs in sorted(editor.wide.items()) for b in sorted(bs)], "middle string, right string")
+    asked = corpus.wide.where(F.col("n") * editor.scale <= 1).withColumn("middle", F.substring("word", 2, 1)).join(F.broadcast(confused), "middle").withColumn(
+        "clean", F.concat(F.substring("word", 1, 1), F.col("right"), F.substring("word", 3, 1)))
+    both = asked.select("word", "n", "clean").join(corpus.wide.select(F.col("word").alias("clean"), F.col("n").alias("n_clean")), "clean").where("n_clean >= 5 * n")
+    return stored(both.groupBy("word").agg(F.max(F.struct("n_clean", "clean")).alias("b")).select("word", "b.clean"))
+
+
+def learn_scanner(layers: DataFrame) -> Scanner:
+    """Counts over all layers; the editor is fitted on at most ALIGNED_PAGES pages (bounded collects), and what every word of the
+    corpus is corrected to is a table."""
+    spark = layers.sparkSession
+    corpus = corpus_counts(layers)
+    text = layers.select("id", "article_id", "page_number", "layer_type", F.col("text").alias("t")).where(F.length(F.trim("t")) > 0)
+    # sampled by place, before any text is read
+    some = stored(sampled(layers.where("layer_type = 'ocr' and text is not null").select("id", "article_id", "page_number"), "id", ALIGNED_PAGES))
+    places = F.broadcast(some.select("article_id", "page_number").distinct())
+    scanned = text.where("layer_type = 'ocr'").join(F.broadcast(some.select("id")), "id").select("article_id", "page_number", F.substring("t", 1, TRAINING_CHARS).alias("scan"))
+    clean = text.where("layer_type = 'original'").join(places, ["article_id", "page_number"]).select("article_id", "page_number", F.substring("t", 1, TRAINING_CHARS).alias("clean"))
+    pairs = sorted((r.clean, r.scan) for r in clean.join(scanned, ["article_id", "page_number"]).select("clean", "scan").distinct().limit(2 * ALIGNED_PAGES).collect())
+    asked = sorted({w for clean, scan in pairs for t in (clean, scan) for w in _tokens(unbroken(t))} | {A.plain(left + right).lower() for _, scan in pairs for left, _, right in joints(scan.split("\n")).values()})
+    counts: dict[str, int] = {}
+    if asked:
+        wanted = spark.createDataFrame([(w,) for w in asked], "word string")
+        counts = {r.word: r.n for r in corpus.words.join(F.broadcast(wanted), "word").select("word", "n").collect()}
+    counts |= {r.word: r.n for r in corpus.words.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()}
+    editor = fit_editor(pairs, counts, corpus.layers)
+    corrections, wide = correct_words(corpus, editor), correct_trigrams(corpus, editor)
+    frequent = corpus.words.where(F.col("n") >= corpus.least).orderBy(F.desc("n"), "word").limit(SURE_WORDS)
+    rows = frequent.join(checked_broadcast(corrections.select("word", F.lit(True).alias("bad"))), "word", "left").select("word", F.coalesce("bad", F.lit(False)).alias("bad")).collect()
+    hashes = np.array([A.string_hash(r.word) for r in rows], np.uint64)
+    order = np.argsort(hashes)
+    sure_wide: list[str] = []
+    if editor.wide:
+        sure = corpus.wide.where(F.col("n") * editor.scale > 1).where(F.substring("word", 2, 1).isin(sorted(editor.wide)))
+        sure_wide = [r.word for r in sure.orderBy(F.desc("n"), "word").limit(SURE_TRIGRAMS).collect()]
+    return Scanner(editor, corrections, wide, hashes[order], np.array([not r.bad for r in rows], bool)[order], np.sort(np.array([_key(w) for w in sure_wide], np.uint64)))
+
+
+def _key(triple: str) -> int:
+    return ord(triple[0]) << 42 | ord(triple[1]) << 21 | ord(triple[2])
 
 
 # --------------------------------------------------------------------------------------------- furniture
@@ -341,11 +618,13 @@ def _like(e: dict, body: str) -> float:
     return max(likeness(body, _head_letters(e["title"] or "")), likeness(body, _head_letters(e["journal"] or "")))
 
 
-def furniture_features(e: dict) -> list[str]:
+def _numbered(line: str) -> bool:
+    return len(line) < 40 and bool(PAGE_NUMBER.fullmatch(A.plain(line))) and not re.fullmatch(r"\d+[.,]", line)
+
+
+def furniture_features(e: dict, like: float, body: str) -> list[str]:
     """Features of an edge line: ``text, from_top, from_bottom, lines, title, journal, returns, elsewhere``."""
     line = e["text"].strip()
-    body = _body(line)
-    like = _like(e, body)
     level = 0 if like < 0.5 else 1 if like < 0.7 else 2 if like < 0.82 else 3
     letters = [c for c in line if c.isalpha()]
     upper = bool(letters) and sum(c.isupper() for c in letters) > 0.6 * len(letters)
@@ -357,40 +636,52 @@ def furniture_features(e: dict) -> list[str]:
     where = "top" if e["from_top"] <= e["from_bottom"] else "bottom"
     depth = min(e["from_top"], e["from_bottom"])
     size = min(len(line) // 20, 5)
-    return ["bias", f"like={level}", f"like={level}|d={depth}", f"ret={returns}|own={own}", f"like={level}|ret={returns}|own={own}", f"up={upper}", f"up={upper}|like={level}", f"first={first[:12]}",
-            f"num={number}", f"ends={ends}", f"d={depth}|w={where}", f"size={size}", f"vol={'vol' in line.lower()}", f"wide={any(map(_is_wide, line))}|like={level}", f"lines={min(e['lines'], 6)}"]
+    alone = _numbered(line)
+    return ["bias", f"like={level}", f"like={level}|d={depth}", f"ret={returns}|own={own}", f"like={level}|ret={returns}|own={own}", f"like={level}|ret={returns}|own={own}|d={depth}", f"like={level}|ends={ends}", f"up={upper}", f"up={upper}|like={level}", f"first={first[:12]}",
+            f"num={number}", f"ends={ends}", f"d={depth}|w={where}", f"size={size}", f"vol={'vol' in line.lower()}", f"wide={any(map(_is_wide, line))}|like={level}", f"lines={min(e['lines'], 6)}",
+            f"alone={alone}", f"alone={alone}|d={depth}", f"alone={alone}|lines={min(e['lines'], 6)}"]
 
 
-def _weak_label(e: dict) -> str | None:
+def _weak_label(e: dict, like: float, body: str) -> str | None:
     line = e["text"].strip()
-    body = _body(line)
-    like = _like(e, body)
+    if _numbered(line):
+        return "page_no" if min(e["from_top"], e["from_bottom"]) == 0 and e["lines"] > 3 else None
     if like >= 0.9 and len(body) >= 8 and len(line) < 90:
         return "header"
     if e["returns"] >= 3 and e["elsewhere"] <= 2 and len(body) >= 8 and len(line) < 90 and not line.endswith("."):
         return "header"
-    if like < 0.55 and e["returns"] <= 1 and (e["title"] or "").count(" ") > 3 and e["journal"]:
-        return "text"
-    if like < 0.55 and line[-1:] in ".。,，" and e["returns"] <= 1:
-        return "text"
+    if like < 0.55 and (e["elsewhere"] > 2 or e["returns"] <= 1 and (line[-1:] in ".。,，" or (e["title"] or "").count(" ") > 3 or e["journal"])):
+        return "text"  # letters that open or close pages of other articles too, or of no other page
     return None
 
 
 def train_furniture(edges: list[dict]) -> Perceptron:
-    """Fitted on the lines that are sure; without lines of both sorts it stays empty and the sure ones alone count."""
-    rows = [(furniture_features(e), y) for e in edges if (y := _weak_label(e))]
+    """Fitted on the lines that are sure; without lines of more than one sort it stays empty and the sure ones alone count."""
+    rows = []
+    for e in edges:
+        body = _body(e["text"].strip())
+        like = _like(e, body)
+        label = _weak_label(e, like, body)
+        if label:
+            rows.append((furniture_features(e, like, body), label))
     return Perceptron().train(rows) if len({y for _, y in rows}) > 1 else Perceptron()
 
 
-def is_header(e: dict, model: Perceptron) -> bool:
-    if not any(c.isalpha() for c in e["text"]) or len(e["text"].strip()) > 110:
-        return False
+def furniture_kind(e: dict, model: Perceptron) -> str | None:
+    """header, page_no or None for text."""
+    line = e["text"].strip()
+    if not line:
+        return None
+    body = _body(line)
+    like = _like(e, body)
     if not model.weights:
-        return _weak_label(e) == "header"
-    if e["returns"] <= 1 and e["text"].rstrip()[-1:] in ".,;、，。-" and _like(e, _body(e["text"].strip())) == 0:
-        return False  # plainly text; the model agrees, but takes longer
-    s = model.scores(furniture_features(e))
-    return s.get("header", 0.0) > s.get("text", 0.0)
+        found = _weak_label(e, like, body)
+    else:
+        s = model.scores(furniture_features(e, like, body))
+        found = max(("text", "header", "page_no"), key=lambda k: s.get(k, 0.0))
+    if found == "page_no" and not _numbered(line) or found == "header" and not body:
+        return None
+    return None if found == "text" else found
 
 
 # ------------------------------------------------------------------------------------------------- lines
@@ -399,291 +690,283 @@ LINES = T.StructType([
     T.StructField("layer_id", T.StringType()), T.StructField("article_id", T.StringType()), T.StructField("page_number", T.IntegerType()), T.StructField("line_no", T.IntegerType()),
     T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("from_top", T.IntegerType()), T.StructField("from_bottom", T.IntegerType()), T.StructField("lines", T.IntegerType()),
 ])
-_IN_WORD = np.zeros(A.TABLE_SIZE, bool)
-_IN_WORD[[ord("!"), ord("+")]] = True
-EDGE = 2
 
 
-def scan_lines(columns: dict, editor: Editor) -> pa.RecordBatch:
-    """Hyphens and misread words of all lines, and the lines at the edges of each page as candidates for furniture."""
-    texts = [A.plain(t) if t else "" for t in columns["text"]]
+def _isin(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether values are in a sorted table, and where."""
+    if not len(table):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return table[at] == values, at
+
+
+def scan_lines(columns: dict, scanner: Scanner) -> pa.RecordBatch:
+    """LINES of texts: ``hyphen`` lines (text: join, or keep for a hyphen that stays); ``word`` and ``wide``, words and trigrams to be
+    looked up; ``broken``, words over two lines to be looked up (from_top: where the first line ends); ``edge``, lines at the
+    edges of each page as candidates for furniture."""
+    editor = scanner.editor
     raw = [t or "" for t in columns["text"]]
+    texts = [A.plain(t) for t in raw]
     batch = A.TextBatch(texts)
     codes, classes = batch.codes, batch.classes
-    starts, ends, owner = batch.line_bounds()
-    n_lines = len(starts)
-    narrow = (classes == A.LATIN) | (classes == A.CYRILLIC) | (classes == A.GREEK) | (classes == A.LETTER) | (classes == A.MARK)
-    digit = classes == A.DIGIT
-    word = narrow | digit | _IN_WORD[codes]
-    ws, we = A.runs(word)
-    line_of = np.searchsorted(ends, ws)
-    cum = np.concatenate([[0], np.cumsum(narrow)])
-    lettered = cum[we] > cum[ws]
-    ws, we, line_of = ws[lettered], we[lettered], line_of[lettered]
-    hashes = A.span_hashes(batch.lower, ws, we)
-    known = _known(editor)
-    at = np.minimum(np.searchsorted(known[0], hashes), max(0, len(known[0]) - 1))
-    sure = (known[0][at] == hashes) & known[1][at] if len(known[0]) else np.zeros(len(hashes), bool)
-    out: dict[tuple[int, str], None] = {}
-    # words broken over two lines
-    hyphen_codes = {ord(c) for c in HYPHENS}
+    line_starts, line_ends, owner = batch.line_bounds()
+    n = len(texts)
+    first_line = np.searchsorted(owner, np.arange(n))
+    starts, ends, narrow, digit = find_words(batch)
+    line_of = np.searchsorted(line_ends, starts)
+    is_known, at = _isin(A.span_hashes(batch.lower, starts, ends), scanner.known)
+    sure = is_known & scanner.sure[at] if len(scanner.sure) else is_known
     text = batch.joined
-    broken_words = set()
-    plain_raw = [r.split("\n") for r in raw]
-    first_line = np.searchsorted(owner, np.arange(len(texts)))
-    last_word_of = np.full(n_lines, -1)
-    first_word_of = np.full(n_lines, -1)
-    if len(ws):
-        last_word_of[line_of] = np.arange(len(ws))
-        first_word_of[line_of[::-1]] = np.arange(len(ws))[::-1]
-    # soft hyphens are dropped by the plain form, so line ends are read in the text as stored
-    for row, lines in enumerate(plain_raw):
-        base = first_line[row]
-        for k in range(len(lines) - 1):
-            line = lines[k].rstrip()
-            if len(line) > 2 and ord(line[-1]) in hyphen_codes and line[-2].isalpha():
-                following = lines[k + 1].lstrip()
-                if following[:1].isalpha() and (following[0].islower() or line[-1] != "-" or line[-3:-1].isalpha() and not following[0].isupper()):
-                    out[base + k, "hyphen"] = None
-                    a, b = last_word_of[base + k], first_word_of[base + k + 1]
-                    if a >= 0 and b >= 0:
-                        broken_words.update((int(a), int(b)))
-                        whole = text[ws[a]:we[a]].lower() + text[ws[b]:we[b]].lower()
-                        clean = None if whole in editor.counts else editor.correct(whole)
-                        if clean is not None:
-                            operations = _operations(whole, clean)
-                            cut = int(we[a] - ws[a])
-                            if any(o != "K" for o in operations[:cut]):
-                                out[base + k, "misread"] = None
-                            if any(o != "K" for o in operations[cut:]):
-                                out[base + k + 1, "misread"] = None
-    # misread words: only those not known for sure are looked at
-    for i in np.flatnonzero(~sure).tolist():
-        if i in broken_words:
-            continue
-        w = text[ws[i]:we[i]]
-        if w[-1] in "eE" and text[we[i]:we[i] + 1] == "-" and w[:-1].isdigit():
-            continue  # a figure with an exponent
-        clean = editor.correct(w)
-        if clean is None and w[-1] in "!+":
-            clean = editor.correct(w.rstrip("!+"))
-        if clean is not None:
-            out[int(line_of[i]), "misread"] = None
-    if editor.wide:
-        confused = np.isin(codes, np.array([ord(c) for c in editor.wide], np.uint32))
-        for i in np.flatnonzero(confused).tolist():
-            if editor.correct_wide(text, i) is not None:
-                out[int(np.searchsorted(ends, i)), "misread"] = None
+
+    def known(word: str) -> bool:
+        return bool(_isin(np.array([A.string_hash(word)], np.uint64), scanner.known)[0][0]) if word else False
+
     # layers of junk: words, but hardly any known one
-    n = len(texts)
     of_text = owner[line_of] if len(line_of) else np.zeros(0, np.int64)
-    long_enough = (we - ws) >= 3
-    words = np.bincount(of_text[long_enough], weights=(we - ws)[long_enough], minlength=n)
-    have = np.bincount(of_text[sure & long_enough], weights=(we - ws)[sure & long_enough], minlength=n)
+    long_enough = (ends - starts) >= 3
+    words = np.bincount(of_text[long_enough], weights=(ends - starts)[long_enough], minlength=n)
+    have = np.bincount(of_text[sure & long_enough], weights=(ends - starts)[sure & long_enough], minlength=n)
     wide = (classes == A.HAN) | (classes == A.KANA)
 
     def per_text(mask: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(mask)])
         return total[batch.ends] - total[batch.starts]
 
+    lines_of = [r.split("\n") for r in raw]
     n_wide, ink, numbers, letters = per_text(wide), per_text(classes != A.SPACE), per_text(digit), per_text(narrow)
     junk = (n_wide * 4 < ink) & (ink > 0) & ((have < 0.4 * words) & (numbers < 0.25 * ink) | (letters + numbers < 0.35 * ink) | (words == 0) & (numbers < 0.25 * ink))
-    cid = np.array([r.count("(cid:") > 5 for r in raw])
     for row in np.flatnonzero(junk):
-        junk[row] = len(_LISTED.findall(raw[row])) < 0.4 * len(plain_raw[row])
-    junk |= cid
-    dark = np.concatenate([[0], np.cumsum(classes != A.SPACE)])
-    inked = dark[ends] > dark[starts]
+        junk[row] = len(_LISTED.findall(raw[row])) < 0.4 * len(lines_of[row])
+    junk |= np.array([r.count("(cid:") > 5 for r in raw])
     rows: list[list] = [[] for _ in range(9)]
 
-    def emit(row: int, k: int, kind: str, line: str | None, top: int, bottom: int, lines: int) -> None:
+    def emit(row: int, k: int, kind: str, line: str | None, top: int = 0, bottom: int = 0, lines: int = 0) -> None:
         for column, v in zip(rows, (columns["id"][row], columns["article_id"][row], columns["page_number"][row], k + 1, kind, line, top, bottom, lines)):
             column.append(v)
 
-    for line, kind in out:
-        row = int(owner[line])
-        if not junk[row]:
-            emit(row, int(line - first_line[row]), kind, None, 0, 0, 0)
+    # words broken over two lines; soft hyphens are dropped by the plain form, so line ends are read in the text as stored
+    in_broken = set()
+    last_word_of, first_word_of = np.full(len(line_starts), -1), np.full(len(line_starts), -1)
+    if len(starts):
+        last_word_of[line_of] = np.arange(len(starts))
+        first_word_of[line_of[::-1]] = np.arange(len(starts))[::-1]
     for row in range(n):
-        if junk[row]:
+        if junk[row] or not raw[row]:
             continue
-        lines = plain_raw[row]
-        full = [k for k in range(len(lines)) if inked[first_line[row] + k]]
+        for k, (left, hyphen, right) in joints(lines_of[row]).items():
+            a, b = A.plain(left).lower(), A.plain(right).lower()
+            state = known(a), known(b), known(a + b)
+            if editor.joins(left, hyphen, right, state):
+                emit(row, k, "hyphen", "keep" if state == (True, True, False) else "join")
+                i, j = last_word_of[first_line[row] + k], first_word_of[first_line[row] + k + 1]
+                if i >= 0 and j >= 0:
+                    in_broken.update((int(i), int(j)))
+                    x, y = text[starts[i]:ends[i]].lower(), text[starts[j]:ends[j]].lower()
+                    if not known(x + y):
+                        emit(row, k, "broken", x + y, len(x))
+    # words not known for sure
+    for i in np.flatnonzero(~sure & ~junk[of_text]).tolist() if len(starts) else ():
+        w = text[starts[i]:ends[i]]
+        if i in in_broken or len(w) <= 5 and w.isupper() and w.isascii() and w.isalpha():
+            continue  # a code
+        if w[-1] in "eE" and text[ends[i]:ends[i] + 1] == "-" and w[:-1].isdigit():
+            continue  # a figure with an exponent
+        name = w[:1].isupper() and w[1:].islower() and w.isalpha()
+        row = int(of_text[i])
+        k = int(line_of[i] - first_line[row])
+        low = w.lower()
+        if correctable(low):
+            emit(row, k, "word", low, int(name))
+        bare = low.rstrip(_MARKED)
+        if bare != low and correctable(bare):
+            emit(row, k, "word", bare, int(name))
+    if editor.wide:
+        confused = np.flatnonzero(np.isin(batch.raw, np.array([ord(c) for c in editor.wide], np.uint32)) & wide)
+        if len(confused):
+            codes = batch.raw.astype(np.uint64)
+            # neighbours across a line break count as neighbours
+            before = np.where((confused > 1) & (codes[confused - 1] == 10), confused - 2, confused - 1)
+            after = np.where((codes[np.minimum(confused + 1, len(codes) - 1)] == 10) & (confused + 2 < len(codes)), confused + 2, confused + 1)
+            keys = (codes[np.maximum(before, 0)] << np.uint64(42)) | (codes[confused] << np.uint64(21)) | codes[np.minimum(after, len(codes) - 1)]
+            for i, key in zip(confused[~_isin(keys, scanner.sure_wide)[0]].tolist(), keys[~_isin(keys, scanner.sure_wide)[0]].tolist()):
+                line = int(np.searchsorted(line_ends, i))
+                row = int(owner[line])
+                if not junk[row]:
+                    emit(row, line - int(first_line[row]), "wide", _triple(key), i - int(line_starts[line]))
+    dark = np.concatenate([[0], np.cumsum(classes != A.SPACE)])
+    inked = dark[line_ends] > dark[line_starts]
+    for row in np.flatnonzero(~junk).tolist():
+        lines = lines_of[row]
+        full = np.flatnonzero(inked[first_line[row]:first_line[row] + len(lines)]).tolist()
         for j, k in enumerate(full):
             top, bottom = j, len(full) - 1 - j
-            if min(top, bottom) < EDGE and len(lines[k]) <= 110:
+            if min(top, bottom) < EDGE and len(lines[k].strip()) <= HEAD_CHARS:
                 emit(row, k, "edge", lines[k], top, bottom, len(full))
     return pa.RecordBatch.from_arrays([pa.array(c, {"string": pa.string(), "int": pa.int32()}[f.dataType.simpleString()]) for c, f in zip(rows, LINES)], names=LINES.names)
 
 
-_KNOWN: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _known(editor: Editor) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the vocabulary, and which of its words are no misreadings of others."""
-    if id(editor) not in _KNOWN:
-        _KNOWN.clear()
-        words = list(editor.counts)
-        h = np.array([A.string_hash(w) for w in words], np.uint64)
-        good = np.array([editor.correct(w) is None for w in words], bool)
-        order = np.argsort(h)
-        _KNOWN[id(editor)] = (h[order], good[order])
-    return _KNOWN[id(editor)]
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``kind, word, n, capital`` of a partition's texts, sent on whenever there are many."""
-    counts, capitals, trigrams, layers = Counter(), Counter(), Counter(), 0
-
-    def sent() -> pa.RecordBatch:
-        rows = [("layers", "", layers, 0), *(("word", w, n, capitals[w]) for w, n in counts.items()), *(("wide", w, n, 0) for w, n in trigrams.items())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["kind", "word", "n", "capital"])
-
-    for batch in batches:
-        for text in batch.column(0):
-            count_words(text.as_py(), counts, capitals, trigrams)
-            layers += 1
-            if len(counts) + len(trigrams) > CACHE_WORDS:
-                yield sent()
-                counts, capitals, trigrams, layers = Counter(), Counter(), Counter(), 0
-    if layers:
-        yield sent()
-
-
-def corpus_counts(layers: DataFrame) -> tuple[dict[str, int], dict[str, int], dict[str, int], int]:
-    """Words, capitalised words, trigrams of wide characters: in how many layers each stands; the number of layers.
-    Over the whole texts of all layers."""
-    counted = layers.where(F.length(F.trim("text")) > 0).select("text").mapInArrow(_counted, "kind string, word string, n bigint, capital bigint")
-    every = stored(counted.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("capital").alias("capital")).where("n > 1 or kind = 'layers'"))
-    total = every.where("kind = 'layers'").agg(F.sum("n")).first()[0] or 0
-    most = F.desc("n"), "word"
-    known = every.where(f"kind = 'word' and n >= {least_layers(total)}").where(~F.col("word").rlike("[぀-ヿ㐀-鿿]") | (F.length("word") == 1))
-    words = known.orderBy(*most).limit(VOCABULARY_WORDS).collect()
-    wide = every.where("kind = 'wide'").orderBy(*most).limit(TRIGRAMS).collect()
-    return {r.word: r.n for r in words}, {r.word: r.capital for r in words if r.capital}, {r.word: r.n for r in wide}, total
-
-
-def learn_editor(layers: DataFrame) -> Editor:
-    """Vocabulary and trigrams of all layers; the perceptron is fitted on at most ALIGNED_PAGES pages (bounded collects)."""
-    text = layers.select("id", "article_id", "page_number", "layer_type", F.substring("text", 1, TRAINING_CHARS).alias("t")).where(F.length(F.trim("t")) > 0)
-    scanned = stored(sampled(text.where("layer_type = 'ocr'"), "id", ALIGNED_PAGES))  # few enough to be broadcast
-    both = text.where("layer_type = 'original'").select("article_id", "page_number", F.col("t").alias("clean")).join(
-        F.broadcast(scanned.select("article_id", "page_number", F.col("t").alias("scan"))), ["article_id", "page_number"]).select("clean", "scan").distinct()
-    pairs = [(r.clean, r.scan) for r in both.orderBy("clean", "scan").limit(ALIGNED_PAGES).collect()]
-    return fit_editor(*corpus_counts(layers), pairs)
-
-
-def noisy_lines(layers: DataFrame, articles: DataFrame, editor: Editor | None = None) -> DataFrame:
-    """``layer_id, line_no, kind``: lines with scanning noise (kinds hyphen, header, page_no, misread).
-
-    Lines are counted from 1 and split at LF. Null and blank texts and layers of junk have none. Rows
-    delivered twice are separate layers. Article columns may be null or missing rows: running heads are then
-    known by their return on other pages alone.
-    """
-    fitted = editor if editor is not None else learn_editor(layers)
-    shipped = layers.sparkSession.sparkContext.broadcast(fitted)
-
-    def scan(columns: dict) -> pa.RecordBatch:
-        return scan_lines(columns, shipped.value)
-
-    lines = stored(layers.select("id", "article_id", "page_number", "text").where("text is not null").mapInArrow(A.map_arrow(scan, 2_000_000), LINES))
-    edges = lines.where("kind = 'edge'").withColumn("key", F.regexp_replace(F.lower("text"), r"[^\p{L}]+", ""))
+def _furniture(lines: DataFrame, articles: DataFrame) -> DataFrame:
+    """``layer_id, line_no, kind`` of running heads and page numbers among the edge lines."""
+    key = F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "")
+    edges = lines.where("kind = 'edge'").withColumn("key", F.when(F.length(key) >= 4, key))
+    lettered, others = edges.where("key is not null"), edges.where("key is null")
     # returns: pages of the article with the same letters at an edge; elsewhere: articles with them. Only heads that
     # return, and letters found in several articles, are kept: few rows, so the lines needn't be shuffled for them
-    by_page = edges.where(F.length("key") >= 4).select("article_id", "key", "page_number").distinct()
+    by_page = lettered.select("article_id", "key", "page_number").distinct()
     returns = stored(by_page.groupBy("article_id", "key").agg(F.count("*").alias("returns")))
     elsewhere = stored(returns.groupBy("key").agg(F.count("*").alias("elsewhere")).where("elsewhere > 2"))
-    about = articles.select(F.col("id").alias("article_id"), "title", "journal")
-    full = stored(
-        edges.join(checked_broadcast(returns.where("returns > 1")), ["article_id", "key"], "left").join(checked_broadcast(elsewhere), "key", "left").join(checked_broadcast(about), "article_id", "left")
-        .select("layer_id", "article_id", "line_no", "text", "from_top", "from_bottom", "lines", "title", "journal", F.coalesce("returns", F.lit(1)).cast("int").alias("returns"), F.coalesce("elsewhere", F.lit(1)).cast("int").alias("elsewhere")))
+    counted = lettered.join(checked_broadcast(stored(returns.where("returns > 1"))), ["article_id", "key"], "left").join(checked_broadcast(elsewhere), "key", "left")
+    about = stored(articles.select(F.col("id").alias("article_id"), "title", "journal").where("title is not null or journal is not null").dropDuplicates(["article_id"]))
+    columns = ["layer_id", "article_id", "line_no", "text", "from_top", "from_bottom", "lines"]
+    one = F.lit(1)
+    every = counted.select(*columns, F.coalesce("returns", one).cast("int").alias("returns"), F.coalesce("elsewhere", one).cast("int").alias("elsewhere")).union(
+        others.select(*columns, one.alias("returns"), one.alias("elsewhere")))
+    full = stored(every.join(checked_broadcast(about), "article_id", "left").drop("article_id"))
     sample = [r.asDict() for r in sampled(full, F.concat_ws("/", "layer_id", "line_no"), FURNITURE_LINES).collect()]
-    model = layers.sparkSession.sparkContext.broadcast(train_furniture(sample))
+    model = lines.sparkSession.sparkContext.broadcast(train_furniture(sample))
 
     def furniture(columns: dict) -> pa.RecordBatch:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[] for _ in range(5)]
         names = list(columns)
         for values in zip(*columns.values()):
             e = dict(zip(names, values))
-            line = e["text"].strip()
-            kind = None
-            if min(e["from_top"], e["from_bottom"]) < 2 and PAGE_NUMBER.fullmatch(A.plain(line)) and not re.fullmatch(r"\d+[.,]", line):
-                kind = "page_no"
-            elif min(e["from_top"], e["from_bottom"]) < 2 and is_header(e, model.value):
-                kind = "header"
+            kind = furniture_kind(e, model.value)
             if kind:
-                for column, v in zip(out, (e["layer_id"], e["line_no"], kind)):
+                for column, v in zip(out, (e["layer_id"], e["line_no"], kind, e["from_top"], e["from_bottom"])):
+                    column.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()))], names=["layer_id", "line_no", "kind", "from_top", "from_bottom"])
+
+    judged = full.mapInArrow(A.map_arrow(furniture), "layer_id string, line_no int, kind string, from_top int, from_bottom int")
+    # the third line is furniture only where the lines outside it are
+    by_layer = judged.groupBy("layer_id").agg(F.collect_list(F.struct("line_no", "kind", "from_top", "from_bottom")).alias("l"))
+    unbroken_from = lambda side: F.expr(f"filter(l, x -> x.{side} <= 1 or size(filter(l, y -> y.{side} < x.{side})) = x.{side})")
+    kept = by_layer.select("layer_id", F.explode(F.array_union(unbroken_from("from_top"), unbroken_from("from_bottom"))).alias("x"))
+    return stored(kept.select("layer_id", "x.line_no", "x.kind"))
+
+
+def _halves(columns: dict) -> pa.RecordBatch:
+    """On which of its two lines a broken word was misread."""
+    out: list[list] = [[], [], [], []]
+    for layer, line, word, clean, cut in zip(*(columns[c] for c in ("layer_id", "line_no", "word", "clean", "from_top"))):
+        places = [i for i, _, _ in edits(word, clean)]
+        for there, k in ((any(i < cut for i in places), line), (any(i >= cut for i in places), line + 1)):
+            if there:
+                for column, v in zip(out, (layer, k, word, clean)):
                     column.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["layer_id", "line_no", "kind"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["layer_id", "line_no", "word", "clean"])
 
-    found = stored(full.mapInArrow(A.map_arrow(furniture), "layer_id string, line_no int, kind string"))
-    words = lines.where("kind in ('hyphen', 'misread')").select("layer_id", "line_no", "kind")
-    return words.join(found.select("layer_id", "line_no"), ["layer_id", "line_no"], "left_anti").union(found)
 
+def noise(layers: DataFrame, articles: DataFrame, scanner: Scanner) -> DataFrame:
+    """``layer_id, line_no, kind, word, clean``: every noise of every line. ``misread`` rows tell the word (or trigram) and what it was,
+    ``hyphen`` rows in clean whether the word keeps its hyphen."""
+    spark = layers.sparkSession
+    light = Scanner(scanner.editor, None, None, scanner.known, scanner.sure, scanner.sure_wide)
+    shipped = spark.sparkContext.broadcast(light)
 
-def repair(layers: DataFrame, articles: DataFrame, editor: Editor | None = None) -> DataFrame:
-    """``layer_id, text``: every layer (or page, with an editor learned from layers) as continuous paragraphs: furniture dropped, broken words joined,
-    misread words corrected, lines of a paragraph joined by spaces (by nothing between characters of
+    def scan(columns: dict) -> pa.RecordBatch:
+        return scan_lines(columns, shipped.value)
+
+    lines = stored(layers.select("id", "article_id", "page_number", "text").where("text is not null").mapInArrow(A.map_arrow(scan, 2_000_000), LINES))
+    found = _furniture(lines, articles)
+    asked = lines.where("kind in ('word', 'broken', 'wide')").select("layer_id", "line_no", "kind", F.col("text").alias("word"), "from_top")
+    right = checked_broadcast(scanner.corrections)
+    words = asked.where("kind = 'word'").join(right, "word").where("from_top = 0 or often_capital").select("layer_id", "line_no", "word", "clean")
+    wide = asked.where("kind = 'wide'").join(checked_broadcast(scanner.wide_corrections), "word").select("layer_id", "line_no", "word", "clean")
+    broken = asked.where("kind = 'broken'").join(right, "word").select("layer_id", "line_no", "word", "clean", "from_top").mapInArrow(A.map_arrow(_halves), "layer_id string, line_no int, word string, clean string")
+    misread = words.union(wide).union(broken).withColumn("kind", F.lit("misread"))
+    hyphens = lines.where("kind = 'hyphen'").select("layer_id", "line_no", F.lit(None).cast("string").alias("word"), F.col("text").alias("clean"), "kind")
+    text = misread.union(hyphens).join(found.select("layer_id", "line_no"), ["layer_id", "line_no"], "left_anti")
+    none = F.lit(None).cast("string")
+    columns = ["layer_id", "line_no", "kind", "word", "clean"]
+    return text.select(*columns).union(found.select("layer_id", "line_no", "kind", none.alias("word"), none.alias("clean")))
+
+
+def noisy_lines(layers: DataFrame, articles: DataFrame, scanner: Scanner | None = None) -> DataFrame:
+    """``layer_id, line_no, kind``: lines with scanning noise (kinds hyphen, header, page_no, misread).
+
+    Lines are counted from 1 and split at LF. Null and blank texts and layers of junk have none. Rows
+    delivered twice are separate layers. Article columns may be null or missing rows: running heads are then
+    known by their return on other pages alone. Without pages in two layers nothing is learned of misread words.
+    """
+    return noise(layers, articles, scanner if scanner is not None else learn_scanner(layers)).select("layer_id", "line_no", "kind").distinct()
+
+
+def repair(layers: DataFrame, articles: DataFrame, scanner: Scanner | None = None) -> DataFrame:
+    """``layer_id, text``: every layer (or page, with a scanner learned from layers) as continuous paragraphs: furniture dropped, broken
+    words joined, misread words corrected, lines of a paragraph joined by spaces (by nothing between characters of
     scripts without spaces). Null stays null; tables and lists keep their lines."""
-    editor = editor if editor is not None else learn_editor(layers)
-    shipped = layers.sparkSession.sparkContext.broadcast(editor)
-    noise = noisy_lines(layers, articles, editor).groupBy("layer_id").agg(F.collect_list(F.struct("line_no", "kind")).alias("noise"))
+    scanner = scanner if scanner is not None else learn_scanner(layers)
+    found = noise(layers, articles, scanner).groupBy("layer_id").agg(F.collect_list(F.struct("line_no", "kind", "word", "clean")).alias("noise"))
 
     def mend(columns: dict) -> pa.RecordBatch:
-        texts = [None if t is None else mended(t, {(r["line_no"], r["kind"]) for r in noise or ()}, shipped.value) for t, noise in zip(columns["text"], columns["noise"])]
+        texts = [None if t is None else mended(t, [(r["line_no"], r["kind"], r["word"], r["clean"]) for r in rows or ()]) for t, rows in zip(columns["text"], columns["noise"])]
         return pa.RecordBatch.from_arrays([pa.array(columns["layer_id"], pa.string()), pa.array(texts, pa.string())], names=["layer_id", "text"])
 
-    return layers.select(F.col("id").alias("layer_id"), "text").join(noise, "layer_id", "left").mapInArrow(A.map_arrow(mend), "layer_id string, text string")
+    return layers.select(F.col("id").alias("layer_id"), "text").join(found, "layer_id", "left").mapInArrow(A.map_arrow(mend), "layer_id string, text string")
+
+
+def _as_written(clean: str, word: str) -> str:
+    return clean.upper() if word.isupper() and len(word) > 1 else clean[:1].upper() + clean[1:] if word[:1].isupper() else clean
+
+
+_ANY_WORD = re.compile(r"[^\W_]*[!+]*[^\W_]+(?:[!+]+[^\W_]*)*")
 
 
-def mended(text: str, noise: set[tuple[int, str]], editor: Editor) -> str:
+def mended(text: str, noise: list[tuple[int, str, str | None, str | None]]) -> str:
+    """A text with its noise (``line_no, kind, word, clean``) taken out."""
     lines = text.split("\n")
+    kinds: dict[int, dict[str, str | None]] = defaultdict(dict)
+    words: dict[int, dict[str, str]] = defaultdict(dict)
+    for no, kind, word, clean in noise:
+        if kind == "misread" and word:
+            words[no][word] = clean
+        else:
+            kinds[no][kind] = clean
     paragraphs: list[str] = []
     current = ""
     width = max((len(x) for x in lines), default=0)
-    keep_join = False
+    joint: str | None = None
+    broken: dict[str, str] = {}
 
-    def corrected(line: str) -> str:
+    def corrected(part: str, known: dict[str, str]) -> str:
         def word(m: re.Match) -> str:
-            w = m.group()
-            clean = editor.correct(A.plain(w))
-            if clean is None:
-                return w
-            return clean.upper() if w.isupper() and len(w) > 1 else clean.capitalize() if w[:1].isupper() else clean
-        return _WORD.sub(word, line)
+            w = A.plain(m.group())
+            low = w.lower()
+            clean = known.get(low) or known.get(low.rstrip(_MARKED))
+            return _as_written(clean, w) if clean else m.group()
+
+        if not known:
+            return part
+        for triple in (k for k in known if len(k) == 3 and _is_wide(k[1])):
+            part = part.replace(triple, known[triple])
+        return _ANY_WORD.sub(word, part)
 
     for no, line in enumerate(lines, 1):
-        if (no, "header") in noise or (no, "page_no") in noise:
+        if "header" in kinds[no] or "page_no" in kinds[no]:
             continue
         bare = line.strip()
-        if not bare or line.startswith("  ") and current and not keep_join:
+        if not bare or line.startswith("  ") and current and not joint:
             if current:
                 paragraphs.append(current)
             current = ""
             if not bare:
                 continue
-        broken = (no, "hyphen") in noise
-        if broken:
+        hyphen = kinds[no].get("hyphen")
+        if hyphen:
             bare = bare[:-1]
-        if (no, "misread") in noise:
-            bare = corrected(bare)
+        bare = corrected(bare, words[no])
         if not current:
             current = bare
-        elif keep_join:
-            current = _rejoined(current, bare, editor)
+        elif joint:
+            head, tail = re.search(r"\S*$", current).start(), re.match(r"\S*", bare).end()
+            whole = current[head:] + ("-" if joint == "keep" else "") + bare[:tail]
+            current = current[:head] + corrected(whole, broken | words[no]) + bare[tail:]
         elif len(lines[no - 2]) < 0.6 * width or re.match(r"\[\d+\]|\([a-z]\)|[•–—-] ", bare) or "\t" in bare:
             paragraphs.append(current)
             current = bare
         else:
             current += ("" if _is_wide(current[-1]) and _is_wide(bare[0]) else " ") + bare
-        keep_join = broken
+        joint, broken = hyphen, words[no]
     if current:
         paragraphs.append(current)
     return "\n\n".join(paragraphs)
-
-
-def _rejoined(a: str, b: str, editor: Editor) -> str:
-    """Two halves of a word: with its hyphen if both are words and their union isn't."""
-    left, right = re.search(r"[^\W\d_]*$", a).group().lower(), re.match(r"[^\W\d_]*", b).group().lower()
-    hyphen = left + right not in editor.counts and left in editor.counts and right in editor.counts
-    return f"{a}-{b}" if hyphen else a + b

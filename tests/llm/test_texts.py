@@ -232,36 +232,82 @@ def scanned(text, rng):
     return " ".join(words)
 
 
-def test_scan_noise(spark):
+LAYERS = "id string, article_id string, page_number int, text string, layer_type string"
+
+
+def scan_corpus(n=300):
+    """Pages with a clean and a scanned layer; lines are wrapped in the scanned one, some words broken at their ends."""
     rng = random.Random(4)
-    clean = [" ".join(" ".join(p) for p, _ in prose(2, s)) for s in range(300)]
-    editor = scans.train_editor(clean, [(t, scanned(t, rng)) for t in clean])
-    assert editor.correct("mernbrane") == "membrane" and editor.correct("mcasured") == "measured" and editor.correct("membrane") is None and editor.correct("Kadrebo") is None
+    rows = []
+    for i in range(n):
+        clean = " ".join(" ".join(p) for p, _ in prose(2, i))
+        words, lines, line = scanned(scanned(clean, rng), rng).split(" "), [], ""
+        for w in words:
+            if len(line) + len(w) > 50:
+                cut = len(w) // 2
+                broken = len(w) > 6 and w.isalpha() and rng.random() < 0.5
+                lines.append(f"{line} {w[:cut]}-" if broken else line)
+                w = w[cut:] if broken else w
+                line = w
+            else:
+                line = f"{line} {w}".strip()
+        rows += [(f"o{i}", f"t{i}", 1, clean, "original"), (f"s{i}", f"t{i}", 1, "\n".join([*lines, line]), "ocr")]
+    return rows
+
+
+def test_scan_noise(spark):
     bodies = [f"{start} was mea-\nsured in the third\nround by the old so1vent" for start in ("The membrane", "This sample", "A thin film")]
     rows = [("l1", "a", 1, f"Annals of Good Membranes\n{bodies[0]}.\n- 1 -"), ("l2", "a", 2, f"Annals of Good Membranes\n{bodies[1]}.\n[2]"), ("l3", "a", 3, f"Annals of Good Membranes\n{bodies[2]}.\np. 3"), ("l4", "a", 4, None), ("l5", "a", 5, " \n"),
             ("l6", "b", 1, "§§ ## □□ ■■ ~~\n- 1 -"), ("l7", "a", 3, f"Annals of Good Membranes\n{bodies[2]}.\np. 3")]
-    layers = spark.createDataFrame([(*r, "ocr") for r in rows], "id string, article_id string, page_number int, text string, layer_type string")
+    layers = spark.createDataFrame(scan_corpus() + [(*r, "ocr") for r in rows], LAYERS)
     articles = spark.createDataFrame([("a", "The use of films", "Annals of Good Membranes"), ("b", None, None)], "id string, title string, journal string")
+    scanner = scans.learn_scanner(layers)
+    corrections = {r.word: r.clean for r in scanner.corrections.collect()}
+    assert corrections.get("so1vent") == "solvent" and corrections.get("rnembrane") == "membrane" and not {"membrane", "solvent", "measured"} & set(corrections)
     got = {}
-    for r in scans.noisy_lines(layers, articles, editor).collect():
+    for r in scans.noisy_lines(layers, articles, scanner).where("layer_id like 'l%'").collect():
         got.setdefault(r.layer_id, set()).add((r.line_no, r.kind))
     want = {(1, "header"), (2, "hyphen"), (4, "misread"), (5, "page_no")}
     assert got == {k: want for k in ("l1", "l2", "l3", "l7")}
-    assert scans.mended(rows[0][3], want, editor) == "The membrane was measured in the third round by the old solvent."
-    assert scans.noisy_lines(layers.limit(0), articles.limit(0), editor).count() == 0
+    fixed = {r.layer_id: r.text for r in scans.repair(layers, articles, scanner).where("layer_id like 'l%'").collect()}
+    assert fixed["l1"] == "The membrane was measured in the third round by the old solvent." and fixed["l4"] is None and fixed["l5"] == ""
+    # the editor decides: without its weights no word is corrected or put together
+    scanner.editor.perceptron.weights.clear()
+    corpus = scans.corpus_counts(layers)
+    assert scans.correct_words(corpus, scanner.editor).count() == 0 and not scanner.editor.joins("mea", "-", "sured", (False, False, True))
+    assert scans.noisy_lines(layers.limit(0), articles.limit(0), scanner).count() == 0
+
+
+def test_repaired_layers_are_close_to_the_clean_ones(spark):
+    rows = scan_corpus(120)
+    layers = spark.createDataFrame(rows, LAYERS)
+    articles = spark.createDataFrame([], "id string, title string, journal string")
+    fixed = {r.layer_id: r.text for r in scans.repair(layers, articles).collect()}
+    clean, raw = {r[1]: r[3] for r in rows if r[4] == "original"}, {r[1]: (r[0], r[3]) for r in rows if r[4] == "ocr"}
+    before = after = words = 0
+    for article, (key, text) in raw.items():
+        want = clean[article].split()
+        words += len(want)
+        before += len(set(want) - set(text.split()))
+        after += len(set(want) - set(fixed[key].split()))
+    assert after < 0.35 * before
 
 
 def test_vocabulary_of_whole_texts_of_all_layers(spark):
     rows = [(f"l{i}", "a", i, "word " * 700 + ("polybenzimidazole" if i % 2 else "Kadrebo") + "\n离子交换", "original") for i in range(40)]
-    layers = spark.createDataFrame(rows + [("n", "a", 99, None, "ocr"), ("b", "a", 98, "  ", "ocr")], "id string, article_id string, page_number int, text string, layer_type string")
-    counts, capitals, trigrams, total = scans.corpus_counts(layers)
-    assert counts == {"word": 40, "polybenzimidazole": 20, "kadrebo": 20} and capitals == {"kadrebo": 20} and total == 40
-    assert trigrams["离子交"] == 40
-    assert scans.learn_editor(layers).counts == counts
-    assert scans.learn_editor(layers.limit(0)).counts == {}
+    layers = spark.createDataFrame(rows + [("n", "a", 99, None, "ocr"), ("b", "a", 98, "  ", "ocr")], LAYERS)
+    corpus = scans.corpus_counts(layers)
+    assert {r.word: (r.n, r.capital) for r in corpus.words.collect()} == {"word": (40, 0), "polybenzimidazole": (20, 0), "kadrebo": (20, 20)} and corpus.layers == 40
+    assert {r.word: r.n for r in corpus.wide.collect()}["离子交"] == 40
+    assert scans.corpus_counts(layers.limit(0)).words.count() == 0
     assert scans.least_layers(30_000) == scans.least_layers(6000) == 6
 
 
+@pytest.mark.parametrize("noisy, clean, want", [("rnan", "man", [(0, "replace", "m"), (1, "delete", "")]), ("mn", "mrn", [(0, "insert", "r")]), ("so1", "sol", [(2, "replace", "l")]), ("a", "a", [])])
+def test_edits(noisy, clean, want):
+    assert scans.edits(noisy, clean) == want
+
+
 @pytest.mark.parametrize("line, want", [("- 12 -", True), ("[7]", True), ("Page 3", True), ("Стр. 44", True), ("12 / 40", True), ("— l8 —", True), ("12.5", False), ("Table 3", False), ("1999 was", False), ("", False)])
 def test_page_numbers(line, want):
     assert bool(scans.PAGE_NUMBER.fullmatch(line)) == want
