@@ -53,6 +53,12 @@ SEGMENT_LETTERS = 45
 TEXT_BITS = 2.75
 CACHE_UNITS = 300_000
 
+#: Scripts of letters, and the one that each language is written in.
+LATIN, CYRILLIC, WIDE = range(3)
+SCRIPT_OF = np.array([CYRILLIC if code == "ru" else WIDE if code in ("zh", "ja") else LATIN for code in LANGUAGES])
+#: A segment counts as sentences of a language if so much of its letters is in that language's script.
+OWN_SCRIPT = 0.5
+
 _END = np.zeros(A.TABLE_SIZE, bool)
 _END[[ord(c) for c in ".!?…"]] = True
 _WIDE_END = np.zeros(A.TABLE_SIZE, bool)
@@ -117,7 +123,6 @@ class Units:
         self.wide = (classes == A.HAN) | (classes == A.KANA)
         letters = (classes == A.LATIN) | (classes == A.CYRILLIC) | (classes == A.GREEK) | (classes == A.LETTER) | (classes == A.MARK)
         starts, ends = A.runs(letters)
-        ends = np.minimum(ends, starts + 40)
         at = np.flatnonzero(self.wide)
         before = np.where((at > 0) & self.wide[np.maximum(at - 1, 0)], codes[np.maximum(at - 1, 0)], 32).astype(np.uint64)
         with np.errstate(over="ignore"):
@@ -127,6 +132,8 @@ class Units:
         self.end = np.concatenate([ends, at + 1])
         self.is_wide = np.concatenate([np.zeros(len(starts), bool), np.ones(len(at), bool)])
         self.letters = np.where(self.is_wide, 3, self.end - self.start)
+        first = classes[self.start] if len(self.start) else np.zeros(0, np.uint8)
+        self.script = np.where(self.is_wide, WIDE, np.where(first == A.CYRILLIC, CYRILLIC, np.where(first == A.LATIN, LATIN, 3)))
 
     def text(self, i: int) -> tuple[bytes, bytes]:
         """Context and bytes of a unit."""
@@ -207,6 +214,7 @@ class Coder:
         n, k = len(starts), len(self.trees)
         bits = np.zeros((n, k), np.float32)
         letters = np.zeros(n)
+        scripts = np.zeros((n, 4))
         if len(units.key):
             line = np.searchsorted(ends, units.start)
             order = np.argsort(line, kind="stable")
@@ -215,10 +223,11 @@ class Coder:
             first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
             bits[line[first]] = np.add.reduceat(cost, first, axis=0)
             letters[line[first]] = np.add.reduceat(units.letters[order].astype(float), first)
+            np.add.at(scripts, (line, units.script[order]), units.letters[order])
         following = np.concatenate([batch.classes[1:], [A.SPACE]])
         marks = np.flatnonzero((_END[batch.codes] & (following == A.SPACE)) | _WIDE_END[batch.codes])
         sentences = np.bincount(np.searchsorted(ends, marks), minlength=n)
-        return {"owner": owner, "bits": bits, "letters": letters, "sentences": sentences}
+        return {"owner": owner, "bits": bits, "letters": letters, "scripts": scripts, "sentences": sentences}
 
 
 def segments(bits: np.ndarray, letters: np.ndarray, sentences: np.ndarray) -> list[tuple[int, int, int, float]]:
@@ -333,8 +342,9 @@ def page_segments(pages: DataFrame, trees: list[Tree]) -> DataFrame:
             for first, end, lang, saved in segments(found["bits"][a:b], letters, found["sentences"][a:b]):
                 n = int(letters[first:end].sum())
                 if n:
+                    own = found["scripts"][a + first:a + end, SCRIPT_OF[lang]].sum() >= OWN_SCRIPT * n
                     values = (columns["article_id"][row], columns["page_number"][row], first + 1, end, LANGUAGES[lang],
-                              1 / (1 + 2 ** -min(50.0, saved / 8)), n, int(found["sentences"][a + first:a + end].sum()) if saved >= SURE_BITS else 0,
+                              1 / (1 + 2 ** -min(50.0, saved / 8)), n, int(found["sentences"][a + first:a + end].sum()) if saved >= SURE_BITS and own else 0,
                               float(found["bits"][a + first:a + end, lang].sum()) / n)
                     for column, value in zip(out, values):
                         column.append(value)
