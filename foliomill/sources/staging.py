@@ -19,13 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file:///tmp/foliomill-checkpoint-{os.getuid()}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """The rows written to the shared folder and read from there: later steps neither compute them
-    again nor depend on the executors that made them. The application's folder is removed when it ends."""
+    again nor depend on the executors that made them. The application's folder is removed when it ends. Rows are kept
+    apart ``by`` the few values of a column, if one is named, so that a filter on it reads just its own."""
     spark = df.sparkSession
     own = f"{shared_dir(spark)}/foliomill-{spark.sparkContext.applicationId}"
     path = f"{own}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(own)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
