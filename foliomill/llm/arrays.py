@@ -22,10 +22,23 @@ TABLE_SIZE = 0x30000
 OTHER, SPACE, LATIN, CYRILLIC, HAN, KANA, LETTER, DIGIT, PUNCT, SYMBOL, CONTROL, GREEK, MARK = range(13)
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(4096, np.uint64)
-with np.errstate(over="ignore"):
-    for _i in range(1, len(_POWERS)):
-        _POWERS[_i] = _POWERS[_i - 1] * np.uint64(0x100000001B3)
+_BASE = 0x100000001B3
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base modulo 2^64 and their inverses, n at least."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        tables = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            table = np.ones(1, np.uint64)
+            with np.errstate(over="ignore"):
+                while len(table) < size:
+                    table = np.concatenate([table, table * np.uint64(pow(base, len(table), 1 << 64))])
+            tables.append(table)
+        _powers[:] = tables
+    return _powers[0], _powers[1]
 
 
 @functools.cache
@@ -89,6 +102,7 @@ def lower_table() -> np.ndarray:
 _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
 
 
+_OTHER_SCRIPT = re.compile("[\u0370-\u04ff]")
 _SEAM = re.compile("[A-Za-z][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-z]")
 _MIXED = re.compile("[A-Za-z]*(?:[A-Za-z][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-z])[A-Za-z\u0370-\u04ff]*")
 # Letters of three scripts that look the same.
@@ -112,7 +126,7 @@ def plain(text: str) -> str:
     if text.isascii():
         return text
     text = unicodedata.normalize("NFKC", _UNSEEN.sub("", text))
-    return _MIXED.sub(_one_script, text) if _SEAM.search(text) else text
+    return _MIXED.sub(_one_script, text) if _OTHER_SCRIPT.search(text) and _SEAM.search(text) else text
 
 
 class TextBatch:
@@ -164,25 +178,29 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of code points; spans don't overlap and none is empty."""
+    """A 64-bit hash of each span of code points, from running sums of a polynomial over all of them."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    total = int(lengths.sum())
-    inner = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    picked = codes[np.repeat(starts, lengths) + inner].astype(np.uint64)
-    picked += np.uint64(1)
-    picked *= _MULTIPLIER
-    picked ^= picked >> np.uint64(29)
-    picked *= _POWERS[inner % len(_POWERS)]
-    h = np.add.reduceat(picked, np.cumsum(lengths) - lengths)
-    return mix(h ^ lengths.astype(np.uint64))
+    power, inverse = _power_tables(len(codes))
+    with np.errstate(over="ignore"):
+        terms = codes.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= _MULTIPLIER
+        terms ^= terms >> np.uint64(29)
+        terms *= power[:len(codes)]
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(terms, out=total[1:])
+        return mix((total[ends] - total[starts]) * inverse[starts] ^ (ends - starts).astype(np.uint64))
+
+
+def string_hashes(words: list[str]) -> np.ndarray:
+    """span_hashes of strings, for building and asking tables of words."""
+    batch = TextBatch(words)
+    return span_hashes(batch.codes, batch.starts, batch.ends)
 
 
 def string_hash(word: str) -> int:
-    """span_hashes of one string, for building tables of known words."""
-    codes = np.minimum(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32), TABLE_SIZE - 1)
-    return int(span_hashes(codes, np.array([0]), np.array([len(codes)]))[0])
+    return int(string_hashes([word])[0])
 
 
 def sums_by(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:

@@ -60,7 +60,9 @@ _AROUND = r"[\s\-–—\[\]()|]*"
 PAGE_NUMBER = re.compile(rf"{_AROUND}(?:(?:page|pages|p|pp|s|seite|стр|с|pág|página|第|页码)\.?\s*)?{_NUMBER}(?:\s*/\s*{_NUMBER})?\s*(?:页|頁|ページ)?{_AROUND}", re.I)
 _VOLUME = re.compile(r"\bvol\b")
 _LISTED = re.compile(r"(?m)^[ \t]*(?:\(\w{1,3}\) |\[\d+\] |[•‣▪–—*·-] (?!\d)|[^\W\d_]{2,8} [—=:–] |[^\W\d_]+(?:, \d+)+|\d+(?:\.\d+)* .*\.{4})")
-_BROKEN = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}]\n\s*(?=[^\W\d_])")
+_BROKEN = re.compile(rf"[{HYPHENS}]\n(?<=[^\W\d_][{HYPHENS}]\n)\s*(?=[^\W\d_])")
+_WIDE_BREAK = re.compile(r"\n(?<=[぀-鿿]\n)(?=[぀-鿿])")
+_WIDE = re.compile("[぀-ヿ㐀-鿿]")
 
 
 class Perceptron:
@@ -69,6 +71,10 @@ class Perceptron:
     def __init__(self) -> None:
         self.weights: dict[str, dict[str, float]] = {}
 
+    def rows(self, labels: tuple[str, ...]) -> dict[str, tuple[float, ...]]:
+        """The weights of each feature for some labels, in their order."""
+        return {f: tuple(w.get(k, 0.0) for k in labels) for f, w in self.weights.items()}
+
     def scores(self, features: list[str]) -> dict[str, float]:
         out: dict[str, float] = {}
         for f in features:
@@ -268,17 +274,19 @@ def _upper_table() -> np.ndarray:
 
 def _distinct(owner: np.ndarray, key: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of one row for each owner and key, and whether any of their rows has the flag."""
-    order = np.lexsort((~flag, key, owner))
-    o, k = owner[order], key[order]
+    with np.errstate(over="ignore"):
+        one = (A.mix(key + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(1)) | (~flag).astype(np.uint64)
+    order = np.argsort(one)
+    one = one[order] >> np.uint64(1)
     first = np.ones(len(order), bool)
-    first[1:] = (o[1:] != o[:-1]) | (k[1:] != k[:-1])
+    first[1:] = one[1:] != one[:-1]
     return order[first], flag[order[first]]
 
 
 def unbroken(text: str) -> str:
     """The plain form with words put together that are broken over lines, and wide characters without line breaks."""
     text = _BROKEN.sub("", A.plain(text))
-    return text if text.isascii() else re.sub(r"(?<=[぀-鿿])\n(?=[぀-鿿])", "", text)
+    return text if text.isascii() else _WIDE_BREAK.sub("", text)
 
 
 def count_words(texts: list[str], words: dict[int, list], wide: dict[int, int]) -> None:
@@ -558,7 +566,7 @@ def learn_scanner(layers: DataFrame) -> Scanner:
     corrections, wide = correct_words(corpus, editor), correct_trigrams(corpus, editor)
     frequent = corpus.words.where(F.col("n") >= corpus.least).orderBy(F.desc("n"), "word").limit(SURE_WORDS)
     rows = frequent.join(checked_broadcast(corrections.select("word", F.lit(True).alias("bad"))), "word", "left").select("word", F.coalesce("bad", F.lit(False)).alias("bad")).collect()
-    hashes = np.array([A.string_hash(r.word) for r in rows], np.uint64)
+    hashes = A.string_hashes([r.word for r in rows]) if rows else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
     sure_wide: list[str] = []
     if editor.wide:
@@ -626,8 +634,8 @@ def furniture_features(e: dict, like: float, body: str) -> list[str]:
     """Features of an edge line: ``text, from_top, from_bottom, lines, title, journal, returns, elsewhere``."""
     line = e["text"].strip()
     level = 0 if like < 0.5 else 1 if like < 0.7 else 2 if like < 0.82 else 3
-    letters = [c for c in line if c.isalpha()]
-    upper = bool(letters) and sum(c.isupper() for c in letters) > 0.6 * len(letters)
+    letters = sum(map(str.isalpha, line))
+    upper = letters > 0 and sum(map(str.isupper, line)) > 0.6 * letters
     returns = min(e["returns"], 3)
     own = e["elsewhere"] <= 2
     first = body.split(" ")[0] if body else ""
@@ -638,7 +646,7 @@ def furniture_features(e: dict, like: float, body: str) -> list[str]:
     size = min(len(line) // 20, 5)
     alone = _numbered(line)
     return ["bias", f"like={level}", f"like={level}|d={depth}", f"ret={returns}|own={own}", f"like={level}|ret={returns}|own={own}", f"like={level}|ret={returns}|own={own}|d={depth}", f"like={level}|ends={ends}", f"up={upper}", f"up={upper}|like={level}", f"first={first[:12]}",
-            f"num={number}", f"ends={ends}", f"d={depth}|w={where}", f"size={size}", f"vol={'vol' in line.lower()}", f"wide={any(map(_is_wide, line))}|like={level}", f"lines={min(e['lines'], 6)}",
+            f"num={number}", f"ends={ends}", f"d={depth}|w={where}", f"size={size}", f"vol={'vol' in line.lower()}", f"wide={not line.isascii() and bool(_WIDE.search(line))}|like={level}", f"lines={min(e['lines'], 6)}",
             f"alone={alone}", f"alone={alone}|d={depth}", f"alone={alone}|lines={min(e['lines'], 6)}"]
 
 
@@ -667,18 +675,27 @@ def train_furniture(edges: list[dict]) -> Perceptron:
     return Perceptron().train(rows) if len({y for _, y in rows}) > 1 else Perceptron()
 
 
-def furniture_kind(e: dict, model: Perceptron) -> str | None:
-    """header, page_no or None for text."""
+_KINDS = ("text", "header", "page_no")
+_NONE = (0.0, 0.0, 0.0)
+
+
+def furniture_kind(e: dict, rows: dict[str, tuple[float, ...]]) -> str | None:
+    """header, page_no or None for text, by the weights of the model for _KINDS."""
     line = e["text"].strip()
     if not line:
         return None
     body = _body(line)
     like = _like(e, body)
-    if not model.weights:
+    if not rows:
         found = _weak_label(e, like, body)
     else:
-        s = model.scores(furniture_features(e, like, body))
-        found = max(("text", "header", "page_no"), key=lambda k: s.get(k, 0.0))
+        a = b = c = 0.0
+        for f in furniture_features(e, like, body):
+            x, y, z = rows.get(f, _NONE)
+            a += x
+            b += y
+            c += z
+        found = "text" if a >= b and a >= c else "header" if b >= c else "page_no"
     if found == "page_no" and not _numbered(line) or found == "header" and not body:
         return None
     return None if found == "text" else found
@@ -718,8 +735,8 @@ def scan_lines(columns: dict, scanner: Scanner) -> pa.RecordBatch:
     sure = is_known & scanner.sure[at] if len(scanner.sure) else is_known
     text = batch.joined
 
-    def known(word: str) -> bool:
-        return bool(_isin(np.array([A.string_hash(word)], np.uint64), scanner.known)[0][0]) if word else False
+    def known(words: list[str]) -> np.ndarray:
+        return _isin(A.string_hashes(words), scanner.known)[0] if words else np.zeros(0, bool)
 
     # layers of junk: words, but hardly any known one
     of_text = owner[line_of] if len(line_of) else np.zeros(0, np.int64)
@@ -750,20 +767,20 @@ def scan_lines(columns: dict, scanner: Scanner) -> pa.RecordBatch:
     if len(starts):
         last_word_of[line_of] = np.arange(len(starts))
         first_word_of[line_of[::-1]] = np.arange(len(starts))[::-1]
-    for row in range(n):
-        if junk[row] or not raw[row]:
-            continue
-        for k, (left, hyphen, right) in joints(lines_of[row]).items():
-            a, b = A.plain(left).lower(), A.plain(right).lower()
-            state = known(a), known(b), known(a + b)
-            if editor.joins(left, hyphen, right, state):
-                emit(row, k, "hyphen", "keep" if state == (True, True, False) else "join")
-                i, j = last_word_of[first_line[row] + k], first_word_of[first_line[row] + k + 1]
-                if i >= 0 and j >= 0:
-                    in_broken.update((int(i), int(j)))
-                    x, y = text[starts[i]:ends[i]].lower(), text[starts[j]:ends[j]].lower()
-                    if not known(x + y):
-                        emit(row, k, "broken", x + y, len(x))
+    ends_of = [(row, k, *parts) for row in range(n) if not junk[row] and raw[row] for k, parts in joints(lines_of[row]).items()]
+    plain_parts = [(A.plain(left).lower(), A.plain(right).lower()) for _, _, left, _, right in ends_of]
+    state_of = known([w for x, y in plain_parts for w in (x, y, x + y)]).reshape(-1, 3).tolist()
+    broken = []
+    for (row, k, left, hyphen, right), state in zip(ends_of, state_of):
+        if editor.joins(left, hyphen, right, tuple(state)):
+            emit(row, k, "hyphen", "keep" if state == [True, True, False] else "join")
+            i, j = last_word_of[first_line[row] + k], first_word_of[first_line[row] + k + 1]
+            if i >= 0 and j >= 0:
+                in_broken.update((int(i), int(j)))
+                broken.append((row, k, text[starts[i]:ends[i]].lower(), text[starts[j]:ends[j]].lower()))
+    for (row, k, x, y), there in zip(broken, known([x + y for _, _, x, y in broken])):
+        if not there:
+            emit(row, k, "broken", x + y, len(x))
     # words not known for sure
     for i in np.flatnonzero(~sure & ~junk[of_text]).tolist() if len(starts) else ():
         w = text[starts[i]:ends[i]]
@@ -809,21 +826,26 @@ def _furniture(lines: DataFrame, articles: DataFrame) -> DataFrame:
     """``layer_id, line_no, kind`` of running heads and page numbers among the edge lines."""
     key = F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "")
     edges = lines.where("kind = 'edge'").withColumn("key", F.when(F.length(key) >= 4, key))
-    lettered, others = edges.where("key is not null"), edges.where("key is null")
     # returns: pages of the article with the same letters at an edge; elsewhere: articles with them. Only heads that
     # return, and letters found in several articles, are kept: few rows, so the lines needn't be shuffled for them
-    by_page = lettered.select("article_id", "key", "page_number").distinct()
+    by_page = edges.where("key is not null").select("article_id", "key", "page_number").distinct()
     returns = stored(by_page.groupBy("article_id", "key").agg(F.count("*").alias("returns")))
-    elsewhere = stored(returns.groupBy("key").agg(F.count("*").alias("elsewhere")).where("elsewhere > 2"))
-    counted = lettered.join(checked_broadcast(stored(returns.where("returns > 1"))), ["article_id", "key"], "left").join(checked_broadcast(elsewhere), "key", "left")
-    about = stored(articles.select(F.col("id").alias("article_id"), "title", "journal").where("title is not null or journal is not null").dropDuplicates(["article_id"]))
+    elsewhere = checked_broadcast(stored(returns.groupBy("key").agg(F.count("*").alias("elsewhere")).where("elsewhere > 2")))
+    again = checked_broadcast(stored(returns.where("returns > 1")))
+    about = checked_broadcast(stored(articles.select(F.col("id").alias("article_id"), "title", "journal").where("title is not null or journal is not null").dropDuplicates(["article_id"])))
     columns = ["layer_id", "article_id", "line_no", "text", "from_top", "from_bottom", "lines"]
-    one = F.lit(1)
-    every = counted.select(*columns, F.coalesce("returns", one).cast("int").alias("returns"), F.coalesce("elsewhere", one).cast("int").alias("elsewhere")).union(
-        others.select(*columns, one.alias("returns"), one.alias("elsewhere")))
-    full = stored(every.join(checked_broadcast(about), "article_id", "left").drop("article_id"))
+
+    def described(rows: DataFrame) -> DataFrame:
+        """Edge lines with what their features ask for. Lines without letters meet no counts, so they make no hot key."""
+        one = F.lit(1)
+        counted = rows.where("key is not null").join(again, ["article_id", "key"], "left").join(elsewhere, "key", "left")
+        every = counted.select(*columns, F.coalesce("returns", one).cast("int").alias("returns"), F.coalesce("elsewhere", one).cast("int").alias("elsewhere")).union(
+            rows.where("key is null").select(*columns, one.alias("returns"), one.alias("elsewhere")))
+        return every.join(about, "article_id", "left").drop("article_id")
+
+    full = stored(described(edges.where("least(from_top, from_bottom) < 2")))
     sample = [r.asDict() for r in sampled(full, F.concat_ws("/", "layer_id", "line_no"), FURNITURE_LINES).collect()]
-    model = lines.sparkSession.sparkContext.broadcast(train_furniture(sample))
+    model = lines.sparkSession.sparkContext.broadcast(train_furniture(sample).rows(_KINDS))
 
     def furniture(columns: dict) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(5)]
@@ -836,12 +858,18 @@ def _furniture(lines: DataFrame, articles: DataFrame) -> DataFrame:
                     column.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()))], names=["layer_id", "line_no", "kind", "from_top", "from_bottom"])
 
-    judged = full.mapInArrow(A.map_arrow(furniture), "layer_id string, line_no int, kind string, from_top int, from_bottom int")
-    # the third line is furniture only where the lines outside it are
-    by_layer = judged.groupBy("layer_id").agg(F.collect_list(F.struct("line_no", "kind", "from_top", "from_bottom")).alias("l"))
-    unbroken_from = lambda side: F.expr(f"filter(l, x -> x.{side} <= 1 or size(filter(l, y -> y.{side} < x.{side})) = x.{side})")
-    kept = by_layer.select("layer_id", F.explode(F.array_union(unbroken_from("from_top"), unbroken_from("from_bottom"))).alias("x"))
-    return stored(kept.select("layer_id", "x.line_no", "x.kind"))
+    def judged(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(A.map_arrow(furniture), "layer_id string, line_no int, kind string, from_top int, from_bottom int")
+
+    outer = stored(judged(full))
+    # the lines further in are furniture only where all lines outside them are, so they are judged only there
+    found = outer.select("layer_id", "line_no", "kind")
+    sides = [outer.groupBy("layer_id").agg(F.sum((F.col(side) < 2).cast("int")).alias("n")).where("n = 2").select("layer_id", F.lit(side).alias("side")) for side in ("from_top", "from_bottom")]
+    both = checked_broadcast(stored(sides[0].union(sides[1]).withColumnRenamed("layer_id", "of")))
+    for depth in range(2, EDGE):
+        inner = edges.where(f"least(from_top, from_bottom) = {depth}").join(both, F.expr(f"layer_id = of and case side when 'from_top' then from_top else from_bottom end = {depth}"), "left_semi")
+        found = found.union(judged(described(inner)).select("layer_id", "line_no", "kind"))
+    return stored(found)
 
 
 def _halves(columns: dict) -> pa.RecordBatch:
@@ -866,7 +894,7 @@ def noise(layers: DataFrame, articles: DataFrame, scanner: Scanner) -> DataFrame
     def scan(columns: dict) -> pa.RecordBatch:
         return scan_lines(columns, shipped.value)
 
-    lines = stored(layers.select("id", "article_id", "page_number", "text").where("text is not null").mapInArrow(A.map_arrow(scan, 2_000_000), LINES))
+    lines = stored(layers.select("id", "article_id", "page_number", "text").where("text is not null").mapInArrow(A.map_arrow(scan, 2_000_000), LINES), "kind")
     found = _furniture(lines, articles)
     asked = lines.where("kind in ('word', 'broken', 'wide')").select("layer_id", "line_no", "kind", F.col("text").alias("word"), "from_top")
     right = checked_broadcast(scanner.corrections)
