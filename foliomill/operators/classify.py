@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,9 +13,10 @@ from pyspark.sql import functions as F
 from foliomill.functions import rules as R
 from foliomill.functions import text as X
 from foliomill.operators.keys import previous_value
+from foliomill.sources.staging import stored
 
-#: Characters of the chunk before that a pattern may start in; the longest phrase is far shorter.
-REACH = 120
+#: Letters that match others when case doesn't count, and what they match, so that literals are looked for like patterns.
+ODD_CASE = ("ſıİK", "siik")
 
 
 def unicode_spaces(pattern: str) -> str:
@@ -30,26 +33,150 @@ def needed(pattern: str) -> str:
     return max(re.findall("[A-Za-z]+", plain), key=len, default="").lower()
 
 
+def folded(c: Column) -> Column:
+    """Text in lower case for literals of patterns."""
+    return F.lower(F.translate(c, *ODD_CASE))
+
+
+def spelled_out(pattern: str) -> list[str]:
+    """The pattern without alternatives that hold white space: one pattern for each of them."""
+    for group in re.finditer(r"\(\?:([^()]*)\)(?![?*+{])", pattern):
+        if r"\s" in group.group(1):
+            return [p for part in group.group(1).split("|") for p in spelled_out(pattern[:group.start()] + part + pattern[group.end():])]
+    return [pattern]
+
+
+def segments(pattern: str) -> list[str]:
+    """The parts of a pattern (even places) and the runs of white space between them, which alone can hold a line break: there a match
+    may go on in the next chunk."""
+    return re.split(r"(\\s[*+])", pattern)
+
+
+def _found(text: Column, low: Column, pattern: str) -> Column:
+    literal = needed(pattern)
+    found = text.rlike(R.FLAGS + unicode_spaces(pattern))
+    return F.contains(low, F.lit(literal)) & found if literal else found
+
+
+def _opening(part: str) -> str:
+    """Letters and digits that a text matching a pattern must begin with, in lower case; "" if there are none for sure."""
+    found = re.match(r"(?:\\b)?([A-Za-z0-9]+)(.?)", part)
+    return (found.group(1)[:-1] if found.group(2) in set("?*{") else found.group(1)).lower() if found else ""
+
+
+def _closing(part: str) -> str:
+    """Letters and digits that a text matching a pattern must end with, in lower case; "" if there are none for sure."""
+    found = re.search(r"(\\?)([A-Za-z0-9]+)$", part.removesuffix(r"\b"))
+    return found.group(2)[bool(found.group(1)):].lower() if found else ""
+
+
+def _ids(flags: dict[int, Column]) -> Column:
+    """The numbers whose condition holds."""
+    if not flags:
+        return F.array().cast("array<int>")
+    return F.filter(F.array(*[F.when(c, F.lit(i)) for i, c in flags.items()]), lambda i: i.isNotNull())
+
+
+@functools.lru_cache(maxsize=8)
+def _inside(rules: tuple[tuple, ...]) -> Column:
+    """The numbers of the patterns that match ``text`` (with ``low``, its folded form)."""
+    return _ids({i: _found(F.col("text"), F.col("low"), pattern) for i, _, _, pattern in rules})
+
+
+@dataclass(frozen=True)
+class Cuts:
+    """Patterns cut at white space, over ``text`` and its folded form without white space at the start (``head``) and end (``tail``):
+    numbers of the cuts that the text ends or begins with, and of the middles it is; the rule of each cut; from which cut to which a
+    middle leads; the most cuts of a pattern."""
+
+    ends: Column
+    begins: Column
+    middles: Column
+    rule_of: tuple[int, ...]
+    moves: tuple[tuple[int, int], ...]
+    deepest: int
+
+
+@functools.lru_cache(maxsize=8)
+def _cuts(rules: tuple[tuple, ...]) -> Cuts:
+    ends: dict[int, Column] = {}
+    begins: dict[int, Column] = {}
+    middles: dict[int, Column] = {}
+    rule_of: list[int] = []
+    moves: list[tuple[int, int]] = []
+    deepest = 0
+
+    def matched(pattern: str, first: str | None, last: str | None) -> Column:
+        tests = [F.col("text").rlike(R.FLAGS + unicode_spaces(pattern))]
+        if last:
+            tests.insert(0, F.col("tail").endswith(last))
+        if first:
+            tests.insert(0, F.col("head").startswith(first))
+        return reduce(lambda a, b: a & b, tests)
+
+    for rule, _, _, pattern in rules:
+        for one in spelled_out(pattern):
+            parts = segments(one)
+            base, n = len(rule_of), len(parts) // 2
+            deepest = max(deepest, n)
+            for cut in range(1, n + 1):
+                before, behind = "".join(parts[:2 * cut - 1]), "".join(parts[2 * cut:])
+                ends[len(rule_of)] = matched(before + r"\s*\z", None, _closing(before))
+                begins[len(rule_of)] = matched(r"\A\s*" + behind, _opening(behind), None)
+                rule_of.append(rule)
+            for cut in range(1, n):
+                for to in range(cut + 1, n + 1):
+                    middle = "".join(parts[2 * cut:2 * to - 1])
+                    middles[len(moves)] = matched(r"\A\s*" + middle + r"\s*\z", _opening(middle), _closing(middle))
+                    moves.append((base + cut - 1, base + to - 1))
+    return Cuts(_ids(ends), _ids(begins), _ids(middles), tuple(rule_of), tuple(moves), deepest)
+
+
+def _within(chunks: DataFrame, rules: tuple[tuple, ...]) -> DataFrame:
+    """``article_id, rule`` of matches inside a chunk."""
+    tried = chunks.select("article_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", folded(F.col("text")))
+    return tried.select("article_id", F.explode(_inside(rules)).alias("rule"))
+
+
+def _across(chunks: DataFrame, rules: tuple[tuple, ...]) -> DataFrame:
+    """``article_id, rule`` of matches that begin in one chunk and end in a later one.
+
+    Such a match is cut by the white space between chunks, so each chunk tells, for every place a pattern may be cut at, whether
+    it ends with what stands before the cut, begins with what stands behind it, or (for patterns with several) is just what
+    stands between two. Only these numbers meet, over the few chunks before; a text is never put together, and no
+    part of a pattern is bounded in length. Blank chunks are white space and drop out.
+    """
+    cuts = _cuts(rules)
+    if not cuts.rule_of:
+        return chunks.select("article_id", F.lit(0).alias("rule")).limit(0)
+    inked = chunks.select("article_id", "chunk_index", "text", folded(F.col("text")).alias("low")).withColumns(
+        {"head": F.regexp_replace("low", rf"\A{X.WS}+", ""), "tail": F.regexp_replace("low", rf"{X.WS}+\z", "")}).where(F.col("head") != "")
+    rows = inked.select("article_id", "chunk_index", cuts.ends.alias("ends"), cuts.begins.alias("begins"), cuts.middles.alias("middles"))
+    none = F.array().cast("array<int>")
+    rows = stored(rows).withColumn("open", none)  # a few numbers a chunk, read again for each step
+    moves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in cuts.moves]) if cuts.moves else None
+    for turn in range(cuts.deepest):
+        # cuts that are open behind a chunk: its own ends, and those of the chunk before that a middle carries on
+        carried = F.col("ends")
+        if turn and moves is not None:
+            led = F.filter(F.transform("middles", lambda m: F.element_at(moves, m + 1)), lambda s: F.array_contains("open", s["a"]))
+            carried = F.array_union("ends", F.transform(led, lambda s: s["b"]))
+        rows = previous_value(rows, "article_id", "chunk_index", carried, "before").withColumn("open", F.coalesce("before", none)).drop("before")
+    met = rows.select("article_id", F.explode(F.array_intersect("open", "begins")).alias("cut"))
+    numbers = F.array(*[F.lit(i) for i in cuts.rule_of])
+    return met.select("article_id", F.element_at(numbers, F.col("cut") + 1).alias("rule"))
+
+
 def tag_hits(chunks: DataFrame, terms: dict[str, dict[str, list[str]]] = R.TERMS) -> DataFrame:
     """``article_id, tag_type, tag_value, hits``: how many of a tag's patterns match the article's text, its chunks joined
     by blank lines in order (``article_id, chunk_index, text``, one row an index).
 
-    The text is never put together: each chunk is matched with the end of the one before, where a phrase may begin. A mark before
-    that end keeps a word cut in two from looking like a word. All patterns are tested in one pass, each only where a literal it
-    needs is in the text; what is shuffled are distinct numbers of patterns.
+    The text is never put together: each chunk is matched by itself, and what goes on in the next chunk by numbers of cut
+    patterns. All patterns are tested in one pass, each only where a literal it needs is in the text; what is shuffled are numbers.
+    Null texts count as empty.
     """
-    rules = R.rule_rows(terms)
-    joined = previous_value(chunks.select("article_id", "chunk_index", F.coalesce("text", F.lit("")).alias("text")), "article_id", "chunk_index", F.substring("text", -REACH, REACH), "before")
-    text = F.when(F.col("before").isNull(), F.col("text")).otherwise(F.concat(F.lit("_"), F.col("before"), F.lit("\n\n"), F.col("text")))
-    tried = joined.select("article_id", text.alias("text")).withColumn("low", F.lower("text"))
-
-    def seen(pattern: str) -> Column:
-        literal = needed(pattern)
-        found = F.col("text").rlike(R.FLAGS + unicode_spaces(pattern))
-        return F.contains(F.col("low"), F.lit(literal)) & found if literal else found
-
-    matched = F.array(*[F.when(seen(pattern), F.lit(i)) for i, _, _, pattern in rules])
-    ids = tried.select("article_id", F.explode(F.filter(matched, lambda m: m.isNotNull())).alias("rule")).distinct()
+    rules = tuple(R.rule_rows(terms))
+    ids = _within(chunks, rules).union(_across(chunks, rules)).distinct()
     names = F.array(*[F.struct(F.lit(kind).alias("tag_type"), F.lit(value).alias("tag_value")) for _, kind, value, _ in rules])
     named = ids.withColumn("tag", F.element_at(names, F.col("rule") + 1))
     return named.groupBy("article_id", F.col("tag.tag_type").alias("tag_type"), F.col("tag.tag_value").alias("tag_value")).agg(F.count("*").cast("int").alias("hits"))
@@ -108,10 +235,13 @@ def sections(pages: DataFrame, headings: dict[str, list[str]] = R.SECTIONS) -> D
 
 def chunk_sections(chunks: DataFrame, found: DataFrame) -> DataFrame:
     """``article_id, chunk_index, section_no``: the section that shares most pages with a chunk, the first of equals by its
-    start; null for none. Takes one row a chunk and the columns page_start, page_end of both."""
+    start; null for none. Takes one row a chunk and the columns page_start, page_end of both. Chunks and sections meet page by page, so
+    an article of any length joins evenly."""
     c = chunks.select("article_id", "chunk_index", F.col("page_start").alias("cs"), F.col("page_end").alias("ce"))
-    s = found.where("page_start is not null and page_end is not null").select(F.col("article_id").alias("sa"), "section_no", F.col("page_start").alias("ss"), F.col("page_end").alias("se"))
-    both = c.join(s, F.expr("article_id = sa and cs <= se and ce >= ss"), "left")
+    s = found.where("page_start is not null and page_end is not null").select("article_id", "section_no", F.col("page_start").alias("ss"), F.col("page_end").alias("se"))
+    asked = c.where("cs is not null and ce is not null").withColumn("page", F.explode(F.sequence(F.least("cs", "ce"), F.greatest("cs", "ce"))))
+    there = s.where("ss <= se").withColumn("page", F.explode(F.sequence("ss", "se")))
     shared = F.least("ce", "se") - F.greatest("cs", "ss")
-    best = F.max(F.when(F.col("section_no").isNotNull(), F.struct(shared.alias("shared"), (-F.col("ss")).alias("start"), (-F.col("section_no")).alias("no"))))
-    return both.groupBy("article_id", "chunk_index").agg(best.alias("best")).select("article_id", "chunk_index", (-F.col("best.no")).alias("section_no"))
+    best = F.max(F.struct(shared.alias("shared"), (-F.col("ss")).alias("start"), (-F.col("section_no")).alias("no")))
+    met = asked.join(there, ["article_id", "page"]).where("cs <= se and ce >= ss").groupBy("article_id", "chunk_index").agg(best.alias("best"))
+    return c.select("article_id", "chunk_index").join(met, ["article_id", "chunk_index"], "left").select("article_id", "chunk_index", (-F.col("best.no")).alias("section_no"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from foliomill.functions import text as X
 from foliomill.operators import chunking, classify, layers
 from foliomill.settings import Settings
+from foliomill.sources.staging import stored
 
 FIRST_PAGES = 3
 
@@ -57,61 +59,122 @@ def upsert_articles(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Ingested:
-    articles: DataFrame
-    page_text_layers: DataFrame
+class Content:
+    """What is made of selected pages."""
+
     pages: DataFrame
     chunks: DataFrame
-    article_tags: DataFrame
     sections: DataFrame
+    article_tags: DataFrame
+
+
+def content(layers_: DataFrame, settings: Settings) -> Content:
+    """Pages, chunks, sections and tags of articles from their text layers (one row a key). Ids depend on keys alone."""
+    pages = stored(layers.selected_pages(layers_, unique=True))
+    chunks = stored(chunking.chunk_pages(pages, settings.chunk_target_chars, settings.chunk_overlap_chars))
+    found = stored(classify.sections(pages))
+    placed = chunking.chunk_layers(chunks, pages).join(classify.chunk_sections(chunks, found), ["article_id", "chunk_index"], "left")
+    section = F.when(F.col("section_no").isNotNull(), deterministic_id(F.col("article_id"), F.lit("section"), F.col("section_no")))
+    rows = chunks.drop("source_type").join(placed, ["article_id", "chunk_index"]).withColumn("source_type", classify.source_type(F.col("text")))
+    rows = rows.withColumn("id", deterministic_id(F.col("article_id"), F.col("chunk_index"))).withColumn("section_id", section)
+    tags = classify.tags(chunks).withColumn("id", deterministic_id(F.col("article_id"), F.col("tag_type"), F.col("tag_value"), F.col("source")))
+    return Content(
+        pages.withColumn("id", deterministic_id(F.col("article_id"), F.lit("page"), F.col("page_number"))), rows,
+        found.withColumn("id", deterministic_id(F.col("article_id"), F.lit("section"), F.col("section_no"))), tags)
+
+
+@dataclass
+class Ingested:
+    """Rows for the tables, and ``path, article_id, status, checksum_sha256, page_count, chunk_count, ocr_required, error`` of every file."""
+
+    articles: DataFrame
+    page_text_layers: DataFrame
+    content: Content
     jobs: DataFrame
+    results: DataFrame
+
 
+NO_TEXT = "OCR completed but output still lacks a usable text layer: "
 
-def ingest(extracted: DataFrame, known: DataFrame, collection_id: str, settings: Settings, ocr: DataFrame | None = None, force_ocr: bool = False) -> Ingested:
-    """All tables of a batch of files. ``extracted`` is what extract_pages gives (and ``ocr`` the same of the OCR outputs, by the checksums
-    of their inputs); ``known`` has the checksums of articles there are.
 
-    Files with known or repeated checksums are duplicates and make no job row unless OCR is forced; files that failed, or that need OCR and have
-    no usable OCR text, are failed jobs with their error; the rest are indexed, as needs_review where no page was selected.
+def ingest(
+    extracted: DataFrame, known: DataFrame, collection_id: str, settings: Settings, ocr: Callable[[DataFrame], DataFrame] | None = None, force_ocr: bool = False, counts: DataFrame | None = None,
+) -> Ingested:
+    """All rows of a batch of files.
+
+    ``extracted`` has a row a page: ``path, checksum_sha256, stored_path, page_number, text, error`` (a file that failed: one row with its
+    error and no page). ``known`` are the articles there are; ``counts`` their ``article_id, page_count, chunk_count``. ``ocr`` gets the files that need it
+    (``checksum_sha256, path, stored_path``) and gives the same columns as ``extracted`` with ``ocr_path``.
+
+    A file whose checksum is known, or came with an earlier path of the batch that was indexed, is a duplicate and makes no job, unless OCR
+    is forced. A file fails with the error of its extraction or of its OCR, or if the OCR output isn't usable. The rest are indexed,
+    their articles as needs_review where no page was selected. With forced OCR a known article keeps its id, title and DOI.
     """
-    files = extracted.groupBy("checksum_sha256").agg(F.min("path").alias("path"), F.max("error").alias("error"))
-    fresh = files if force_ocr else files.join(known.select("checksum_sha256").distinct(), "checksum_sha256", "left_anti")
-    article = deterministic_id(F.lit("article"), F.col("checksum_sha256"))
-
-    def as_layers(pages: DataFrame, kind: str) -> DataFrame:
-        rows = pages.where("page_number is not null").join(fresh.select("checksum_sha256"), "checksum_sha256", "left_semi").dropDuplicates(["checksum_sha256", "page_number"])
-        return rows.select(article.alias("article_id"), "checksum_sha256", "page_number", F.lit(kind).alias("layer_type"), "text", F.col("path").alias("source_pdf_path"))
-
-    original = as_layers(extracted, layers.ORIGINAL)
-    every = original if ocr is None else original.unionByName(as_layers(ocr, layers.OCR))
-    scored = layers.scored(every).withColumn("id", deterministic_id(F.col("article_id"), F.col("page_number"), F.col("layer_type"))).withColumn("created_at", F.lit(None).cast("timestamp"))
-    usable = layers.document_usable(scored).select("article_id", F.col("usable").alias("original_usable"))
-    ocr_usable = layers.document_usable(scored.withColumn("layer_type", F.when(F.col("layer_type") == layers.OCR, layers.ORIGINAL))).select("article_id", F.col("usable").alias("ocr_usable"))
-    state = (
-        fresh.withColumn("article_id", article).join(usable, "article_id", "left").join(ocr_usable, "article_id", "left")
-        .withColumn("needs_ocr", F.lit(force_ocr) | (F.lit(settings.ocr_enabled) & ~F.coalesce("original_usable", F.lit(False))))
-        .withColumn("error_message", F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("needs_ocr") & ~F.coalesce("ocr_usable", F.lit(False)), "OCR output has no usable text layer"))
-    )
+    started = F.current_timestamp()
+    files = stored(extracted.groupBy("checksum_sha256", "path").agg(F.max("stored_path").alias("stored_path"), F.max("error").alias("error")))
+    old = known.select("checksum_sha256", F.col("id").alias("known_id")).where("checksum_sha256 is not null").groupBy("checksum_sha256").agg(F.min("known_id").alias("known_id"))
+    article = F.coalesce("known_id", deterministic_id(F.lit("article"), F.col("checksum_sha256")))
+    each = files.groupBy("checksum_sha256").agg(F.min_by("stored_path", "path").alias("stored_path"), F.min("path").alias("path"), F.min_by("error", "path").alias("error")).join(old, "checksum_sha256", "left")
+    fresh = stored((each if force_ocr else each.where("known_id is null")).withColumn("article_id", article))
+    ids = fresh.select("checksum_sha256", "article_id", "stored_path")
+
+    def as_layers(rows: DataFrame, kind: str, source: Column) -> DataFrame:
+        pages = rows.where("page_number is not null").dropDuplicates(["checksum_sha256", "page_number"]).drop("stored_path").join(ids, "checksum_sha256")
+        return pages.select("article_id", "checksum_sha256", "page_number", F.lit(kind).alias("layer_type"), F.coalesce("text", F.lit("")).alias("text"), source.alias("source_pdf_path"))
+
+    def finished(rows: DataFrame) -> DataFrame:
+        return layers.scored(rows).withColumn("id", deterministic_id(F.col("article_id"), F.col("page_number"), F.col("layer_type"))).withColumn("created_at", started)
+
+    original = stored(finished(as_layers(extracted, layers.ORIGINAL, F.col("stored_path"))))
+    usable = layers.document_usable(original, unique=True).select("article_id", F.col("usable").alias("original_usable"))
+    state = fresh.join(usable, "article_id", "left").withColumn(
+        "ocr_required", F.col("error").isNull() & (F.lit(force_ocr) | (F.lit(settings.ocr_enabled) & ~F.coalesce("original_usable", F.lit(False)))))
+    state = stored(state)
+    none = F.lit(None).cast("string")
+    if ocr is None:
+        second, outcome = original.limit(0), state.where("ocr_required").select("checksum_sha256", none.alias("ocr_path"), F.lit("OCR is not available").alias("ocr_error"))
+    else:
+        read = stored(ocr(state.where("ocr_required").select("checksum_sha256", "path", "stored_path")))
+        second = stored(finished(as_layers(read, layers.OCR, F.col("ocr_path"))))
+        good = layers.document_usable(second.withColumn("layer_type", F.lit(layers.ORIGINAL)), unique=True).where("usable").select("article_id", F.lit(True).alias("ocr_usable"))
+        outcome = read.groupBy("checksum_sha256").agg(F.max("ocr_path").alias("ocr_path"), F.max("error").alias("e")).join(ids, "checksum_sha256").join(good, "article_id", "left").select(
+            "checksum_sha256", "ocr_path", F.coalesce("e", F.when(F.col("ocr_usable").isNull(), F.concat(F.lit(NO_TEXT), F.coalesce("ocr_path", F.lit(""))))).alias("ocr_error"))
+    state = stored(state.join(outcome, "checksum_sha256", "left").withColumn("error_message", F.coalesce("error", F.when(F.col("ocr_required"), F.coalesce("ocr_error", F.when(F.col("ocr_path").isNull(), "OCR gave no result"))))))
     good = state.where("error_message is null").select("article_id")
-    kept = scored.join(good, "article_id", "left_semi")
-    pages = layers.selected_pages(kept)
-    chunks = chunking.chunk_pages(pages, settings.chunk_target_chars, settings.chunk_overlap_chars)
-    chunks = chunks.join(chunking.chunk_layers(chunks, pages), ["article_id", "chunk_index"]).withColumn("source_type", classify.source_type(F.col("text")))
-    found = classify.sections(pages)
-    chunks = chunks.join(classify.chunk_sections(chunks, found), ["article_id", "chunk_index"], "left").withColumn("id", deterministic_id(F.col("article_id"), F.col("chunk_index")))
-    chunks = chunks.withColumn("section_id", F.when(F.col("section_no").isNotNull(), deterministic_id(F.col("article_id"), F.lit("section"), F.col("section_no"))))
-    kinds = [kept.where(F.col("layer_type") == k) for k in (layers.ORIGINAL, layers.OCR)]
-    dois = first_doi(*kinds)
-    has_pages = pages.select("article_id").distinct().withColumn("has_pages", F.lit(True))
+    kept = stored(original.unionByName(second).join(good, "article_id", "left_semi"))
+    made = content(kept, settings)
+    dois = first_doi(*[kept.where(F.col("layer_type") == k) for k in (layers.ORIGINAL, layers.OCR)])
+    n_pages = made.pages.groupBy("article_id").agg(F.count("*").alias("page_count"))
+    n_chunks = made.chunks.groupBy("article_id").agg(F.count("*").alias("chunk_count"))
     stem = F.regexp_replace(F.regexp_extract("path", r"[^/]*$", 0), r"(?i)\.pdf$", "")
-    articles = (
-        state.where("error_message is null").join(dois, "article_id", "left").join(has_pages, "article_id", "left")
-        .select(F.col("article_id").alias("id"), F.lit(collection_id).alias("collection_id"), stem.alias("title"), "doi", F.col("path").alias("pdf_original_path"), F.lit("manual").alias("access_source"), "checksum_sha256",
-                F.when(F.coalesce("has_pages", F.lit(False)), "indexed").otherwise("needs_review").alias("status"))
-    )
-    jobs = state.select(deterministic_id(F.lit("job"), F.col("checksum_sha256")).alias("id"), F.col("path").alias("input_path"), F.lit(collection_id).alias("collection_id"), F.when(F.col("error_message").isNull(), "indexed").otherwise("failed").alias("status"), "error_message")
-    sections = found.withColumn("id", deterministic_id(F.col("article_id"), F.lit("section"), F.col("section_no")))
-    return Ingested(articles, kept, pages, chunks, classify.tags(chunks), sections, jobs)
+    indexed = stored(state.where("error_message is null").join(n_pages, "article_id", "left").join(n_chunks, "article_id", "left").join(dois, "article_id", "left"))
+    articles = indexed.select(
+        F.col("article_id").alias("id"), F.lit(collection_id).alias("collection_id"), stem.alias("title"), "doi", F.col("stored_path").alias("pdf_original_path"), F.col("ocr_path").alias("pdf_ocr_path"), F.lit("manual").alias("access_source"),
+        "checksum_sha256", F.when(F.col("page_count") > 0, "indexed").otherwise("needs_review").alias("status"), started.alias("indexed_at"), started.alias("created_at"), started.alias("updated_at"))
+    # every file: the first path of a content stands for it, later ones are duplicates of what was indexed, or fail as it did
+    outcome = state.select("checksum_sha256", F.col("path").alias("first"), "article_id", "error_message", "ocr_required").join(indexed.select("checksum_sha256", "page_count", "chunk_count"), "checksum_sha256", "left")
+    had = old.join(counts, F.col("known_id") == F.col("article_id"), "left").select("checksum_sha256", "known_id", F.col("page_count").alias("old_pages"), F.col("chunk_count").alias("old_chunks")) if counts is not None else old.select(
+        "checksum_sha256", "known_id", F.lit(None).cast("bigint").alias("old_pages"), F.lit(None).cast("bigint").alias("old_chunks"))
+    every = files.select("checksum_sha256", "path").join(outcome, "checksum_sha256", "left").join(had, "checksum_sha256", "left")
+    failed = F.col("error_message").isNotNull()
+    duplicate = F.col("first").isNull() | (~failed & (F.col("path") != F.col("first")) & F.lit(not force_ocr))
+    results = stored(every.select(
+        "path", F.when(~failed | F.col("first").isNull(), F.coalesce("article_id", "known_id")).alias("article_id"), F.when(duplicate, "duplicate").when(failed, "failed").otherwise("indexed").alias("status"), "checksum_sha256",
+        F.coalesce(F.when(F.col("first").isNull(), F.col("old_pages")).otherwise(F.col("page_count")), F.lit(0)).alias("page_count"),
+        F.coalesce(F.when(F.col("first").isNull(), F.col("old_chunks")).otherwise(F.col("chunk_count")), F.lit(0)).alias("chunk_count"),
+        (~duplicate & F.coalesce("ocr_required", F.lit(False))).alias("ocr_required"), F.when(~duplicate, F.col("error_message")).alias("error")))
+    jobs = results.where("status <> 'duplicate'").select(
+        F.expr("uuid()").alias("id"), F.col("path").alias("input_path"), F.lit(collection_id).alias("collection_id"), "status", F.col("error").alias("error_message"), started.alias("started_at"),
+        F.current_timestamp().alias("finished_at"), started.alias("created_at"))
+    return Ingested(articles, kept, made, stored(jobs), results)
+
+
+def result_summary(results: DataFrame) -> DataFrame:
+    """``total, indexed, duplicate, failed`` of the results of a batch."""
+    def n(status: str) -> Column:
+        return F.coalesce(F.sum((F.col("status") == status).cast("long")), F.lit(0)).alias(status)
+
+    return results.agg(F.count("*").alias("total"), n("indexed"), n("duplicate"), n("failed"))
 
 
 def job_summary(jobs: DataFrame) -> DataFrame:

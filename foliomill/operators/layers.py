@@ -18,9 +18,11 @@ def scored(layers: DataFrame) -> DataFrame:
     return n.withColumn("has_usable_text", X.usable(F.col("__n"))).withColumn("quality_score", X.quality(F.col("__n"))).drop("__n")
 
 
-def pages_of(layers: DataFrame, columns: tuple[str, ...] = ("text",)) -> DataFrame:
-    """One row a page: structs ``original`` and ``ocr`` (null if missing). Redelivered layers: the newest counts."""
-    rows = newest(layers.where(F.col("layer_type").isin(ORIGINAL, OCR)).select("id", "article_id", "page_number", "layer_type", "has_usable_text", "quality_score", "created_at", *columns), ["article_id", "page_number", "layer_type"])
+def pages_of(layers: DataFrame, columns: tuple[str, ...] = ("text",), unique: bool = False) -> DataFrame:
+    """One row a page: structs ``original`` and ``ocr`` (null if missing). Redelivered layers: the newest counts, unless the caller
+    knows that keys are ``unique``."""
+    rows = layers.where(F.col("layer_type").isin(ORIGINAL, OCR)).select("id", "article_id", "page_number", "layer_type", "has_usable_text", "quality_score", "created_at", *columns)
+    rows = rows if unique else newest(rows, ["article_id", "page_number", "layer_type"])
     one = F.struct(F.coalesce("has_usable_text", F.lit(False)).alias("usable"), F.coalesce("quality_score", F.lit(0.0)).alias("score"), *columns)
     return rows.groupBy("article_id", "page_number").agg(
         F.max(F.when(F.col("layer_type") == ORIGINAL, one)).alias(ORIGINAL), F.max(F.when(F.col("layer_type") == OCR, one)).alias(OCR))
@@ -38,9 +40,9 @@ def choice() -> F.Column:
     )
 
 
-def selected_pages(layers: DataFrame) -> DataFrame:
+def selected_pages(layers: DataFrame, unique: bool = False) -> DataFrame:
     """``article_id, page_number, text, selected_text_layer, has_text_layer, ocr_used`` of every page with a layer."""
-    chosen = pages_of(layers).withColumn("selected_text_layer", choice()).withColumn("text", F.when(F.col("selected_text_layer") == OCR, F.col("ocr.text")).otherwise(F.col("original.text")))
+    chosen = pages_of(layers, unique=unique).withColumn("selected_text_layer", choice()).withColumn("text", F.when(F.col("selected_text_layer") == OCR, F.col("ocr.text")).otherwise(F.col("original.text")))
     return chosen.select(
         "article_id", "page_number", "text", "selected_text_layer", (X.normalize(F.coalesce("text", F.lit(""))) != "").alias("has_text_layer"), (F.col("selected_text_layer") == OCR).alias("ocr_used"))
 
@@ -56,10 +58,11 @@ def layer_summary(layers: DataFrame) -> DataFrame:
     return out
 
 
-def document_usable(layers: DataFrame) -> DataFrame:
+def document_usable(layers: DataFrame, unique: bool = False) -> DataFrame:
     """``article_id, pages, usable_pages, usable, ocr_required``: at least half of the pages (rounded down, one at
     least) of the original layer are usable."""
-    rows = newest(layers.where(F.col("layer_type") == ORIGINAL).select("id", "article_id", "page_number", "text", "created_at"), ["article_id", "page_number"])
+    rows = layers.where(F.col("layer_type") == ORIGINAL).select("id", "article_id", "page_number", "text", "created_at")
+    rows = rows if unique else newest(rows, ["article_id", "page_number"])
     ok = X.usable(X.normalize(F.coalesce("text", F.lit(""))))
     return rows.groupBy("article_id").agg(F.count("*").alias("pages"), F.sum(ok.cast("int")).alias("usable_pages")).select(
         "article_id", "pages", "usable_pages", (F.col("usable_pages") >= F.greatest(F.lit(1), F.floor(F.col("pages") / 2))).alias("usable"),

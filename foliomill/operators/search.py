@@ -44,6 +44,11 @@ def search(chunks: DataFrame, articles: DataFrame, query: str, top_k: int = 10)
     return found.orderBy(F.desc("score"), "chunk_index", "article_id", "chunk_id").limit(top_k).select(*_result(q, terms))
 
 
+def response(query: str, results: DataFrame) -> dict:
+    """What a search answers with: the query and its results (top_k rows at most), ready for JSON."""
+    return {"query": query.strip(), "results": [r.asDict() for r in results.collect()]}
+
+
 def batch_search(chunks: DataFrame, articles: DataFrame, questions: list[tuple[str, str]], top_k: int = 10) -> DataFrame:
     """search for many (qid, query) at once: ``qid, query, rank`` and its columns. The questions are a driver-side list, so
     each chunk is read once and tried against all of them; only hits with their scores go on to the ranking."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from foliomill.functions import rules as R
 from foliomill.functions import text as X
 from foliomill.operators import chunking, classify, ingest, keys, layers, reports, search
+from foliomill.settings import Settings
 from foliomill.sources import tables as S
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,7 +179,7 @@ def layer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layer_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers against the selection that is stored with the pages."""
     rows = keys.newest(S.layers(spark, sf_dir).where(F.col("layer_type").isin("original", "ocr")).drop("text"), ["article_id", "page_number", "layer_type"])
-    pages = S.newest_pages(spark, sf_dir).select("article_id", "page_number", "selected_text_layer")
+    pages = S.newest_pages(spark, sf_dir, text=False).select("article_id", "page_number", "selected_text_layer")
     return rows.join(pages, ["article_id", "page_number"], "left").select(
         "id", "article_id", "page_number", "layer_type", F.format_string("%.3f", F.round(F.coalesce("quality_score", F.lit(0.0)), 3)).alias("quality"), F.coalesce(F.col("selected_text_layer") == F.col("layer_type"), F.lit(False)).alias("selected"))
 
@@ -194,19 +195,45 @@ def document_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------------- chunking
 
-@query(f"""WITH p AS (SELECT article_id, page_number, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10) || chr(10)) AS parts FROM {PAGES}),
+_PARAGRAPHS = f"""WITH p AS (SELECT article_id, page_number, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10) || chr(10)) AS parts FROM {PAGES}),
     s AS (SELECT article_id, page_number, list_filter(list_transform(parts, lambda x: {strip('x')}), lambda x: x <> '') AS parts FROM p)
-    SELECT article_id, page_number, unnest(range(len(parts)))::INT AS paragraph_no, unnest(parts) AS text FROM s""")
+    SELECT article_id, page_number, unnest(range(len(parts)))::INT AS paragraph_no, unnest(parts) AS text FROM s"""
+
+
+@query(_PARAGRAPHS)
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.paragraphs(S.newest_pages(spark, sf_dir))
 
 
-@query()
+def _chunks_sql(target: int, overlap: int) -> str:
+    """The chunker as a recursion over an article's paragraphs: ``s`` is the first paragraph held, ``size`` the characters held;
+    a step adds paragraph k and closes up to two chunks (a: before it, b: behind it). ``cum`` holds the running length of paragraphs."""
+    def carry(first: str, last: str) -> str:
+        """The first paragraph kept behind a chunk: the last whose characters to the end reach the overlap, else the chunk's first."""
+        return f"greatest({first}, len(list_filter(cum[:{last}], lambda x: x <= cum[{last} + 1] - {overlap})))" if overlap else f"{last} + 1"
+
+    full = f"k > s AND size + l > {target}"
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT article_id, page_number, text, length(text) AS l, row_number() OVER (PARTITION BY article_id ORDER BY page_number, paragraph_no) AS k FROM ({_PARAGRAPHS})),
+        c AS MATERIALIZED (SELECT article_id, list_prepend(0::HUGEINT, list(t ORDER BY k)) AS cum, count(*) AS n FROM (SELECT *, sum(l) OVER (PARTITION BY article_id ORDER BY k) AS t FROM p) GROUP BY article_id),
+        r AS (SELECT article_id, 0::BIGINT AS k, 1::BIGINT AS s, 0::BIGINT AS a0, 0::BIGINT AS a1, 0::BIGINT AS b0, 0::BIGINT AS b1 FROM c
+            UNION ALL SELECT article_id, k, CASE WHEN l >= {target} THEN {carry('s1', 'k')} ELSE s1 END, CASE WHEN {full} THEN s ELSE 0 END, CASE WHEN {full} THEN k - 1 ELSE 0 END,
+                CASE WHEN l >= {target} THEN s1 ELSE 0 END, CASE WHEN l >= {target} THEN k ELSE 0 END
+            FROM (SELECT *, CASE WHEN {full} THEN {carry('s', '(k - 1)')} ELSE s END AS s1 FROM (SELECT r.article_id, p.k, r.s, p.l, c.cum, c.cum[r.k + 1] - c.cum[r.s] AS size
+                FROM r JOIN p ON p.article_id = r.article_id AND p.k = r.k + 1 JOIN c ON c.article_id = r.article_id))),
+        f AS (SELECT article_id, a0 AS i, a1 AS j, 2 * k AS o FROM r WHERE a0 > 0 UNION ALL SELECT article_id, b0, b1, 2 * k + 1 FROM r WHERE b0 > 0
+            UNION ALL SELECT r.article_id, r.s, c.n, 2 * c.n + 2 FROM r JOIN c ON c.article_id = r.article_id AND r.k = c.n WHERE r.s <= c.n),
+        t AS (SELECT f.article_id, f.o, min(p.page_number) AS page_start, max(p.page_number) AS page_end, string_agg(p.text, chr(10) || chr(10) ORDER BY p.k) AS text
+            FROM f JOIN p ON p.article_id = f.article_id AND p.k BETWEEN f.i AND f.j GROUP BY ALL)
+        SELECT article_id, (row_number() OVER (PARTITION BY article_id ORDER BY o) - 1)::INT AS chunk_index, page_start, page_end, 'main_text' AS source_type, text, length(text)::INT AS char_count,
+            greatest(1, len(string_split({norm('text')}, ' ')))::INT AS token_count FROM t"""
+
+
+@query(_chunks_sql(4500, 0))
 def chunks_no_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_pages(S.newest_pages(spark, sf_dir), 4500, 0)
 
 
-@query()
+@query(_chunks_sql(4500, 600))
 def chunks_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_pages(S.newest_pages(spark, sf_dir), 4500, 600)
 
@@ -214,7 +241,7 @@ def chunks_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT c.article_id, c.chunk_index, CASE WHEN min(p.selected_text_layer) IS NULL THEN 'original' WHEN min(p.selected_text_layer) = max(p.selected_text_layer) THEN min(p.selected_text_layer) ELSE 'mixed' END AS text_layer
     FROM {CHUNKS} c LEFT JOIN {PAGES} p ON c.article_id = p.article_id AND p.page_number BETWEEN c.page_start AND c.page_end GROUP BY ALL""")
 def chunk_text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_layers(S.newest_chunks(spark, sf_dir), S.newest_pages(spark, sf_dir))
+    return chunking.chunk_layers(S.newest_chunks(spark, sf_dir, text=False), S.newest_pages(spark, sf_dir, text=False))
 
 
 # ---------------------------------------------------------------------------------------- classification
@@ -278,7 +305,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT c.article_id, c.chunk_index, s.section_no FROM {CHUNKS} c LEFT JOIN {SECTIONS} s ON c.article_id = s.article_id AND c.page_start <= s.page_end AND c.page_end >= s.page_start
     QUALIFY row_number() OVER (PARTITION BY c.article_id, c.chunk_index ORDER BY least(c.page_end, s.page_end) - greatest(c.page_start, s.page_start) DESC NULLS LAST, s.page_start, s.section_no) = 1""")
 def chunk_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.chunk_sections(S.newest_chunks(spark, sf_dir), classify.sections(S.newest_pages(spark, sf_dir)))
+    return classify.chunk_sections(S.newest_chunks(spark, sf_dir, text=False), classify.sections(S.newest_pages(spark, sf_dir)))
 
 
 @query(f"SELECT article_id, count(*) AS chunks, sum(length(coalesce(text, '')))::BIGINT + 2 * (count(*) - 1) AS n_chars FROM {CHUNKS} GROUP BY article_id")
@@ -419,7 +446,7 @@ def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_WITH} SELECT a.id AS article_id, a.title, a.doi, coalesce(p.c, 0) AS page_count, coalesce(c.c, 0) AS chunk_count, coalesce(l.c, '') AS page_layers, coalesce(t.c, '') AS tags FROM articles a
     LEFT JOIN {_COUNT.format('pg')} p ON p.article_id = a.id LEFT JOIN {_COUNT.format('ch')} c ON c.article_id = a.id LEFT JOIN {_counters_sql('pg', 'selected_text_layer')} l ON l.article_id = a.id LEFT JOIN {_tags_sql('[1:6]')} t ON t.article_id = a.id""")
 def article_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.article_list(S.articles(spark, sf_dir), S.newest_pages(spark, sf_dir), S.newest_chunks(spark, sf_dir), _tags(spark, sf_dir))
+    return reports.article_list(S.articles(spark, sf_dir), S.newest_pages(spark, sf_dir, text=False), S.newest_chunks(spark, sf_dir, text=False), _tags(spark, sf_dir))
 
 
 @query(f"WITH tags AS MATERIALIZED ({TAGS}) SELECT article_id, c AS tags FROM {_tags_sql('[1:6]')}")
@@ -434,19 +461,21 @@ def tag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     LEFT JOIN {_tags_sql()} t ON t.article_id = a.id LEFT JOIN {_counters_sql('ch', 'source_type')} k ON k.article_id = a.id LEFT JOIN {_counters_sql('ch', 'text_layer')} y ON y.article_id = a.id
     LEFT JOIN {_counters_sql('pg', 'selected_text_layer')} l ON l.article_id = a.id""")
 def report_article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, chunks = S.newest_pages(spark, sf_dir), S.newest_chunks(spark, sf_dir)
-    return reports.article_report(S.articles(spark, sf_dir), pages, chunks, classify.tags(chunks), classify.sections(pages))
+    sections = classify.sections(S.newest_pages(spark, sf_dir))
+    return reports.article_report(S.articles(spark, sf_dir), S.newest_pages(spark, sf_dir, text=False), S.newest_chunks(spark, sf_dir, text=False), _tags(spark, sf_dir), sections)
+
 
+_OF = "JOIN articles a ON a.id = x.article_id GROUP BY ALL"
 
-@query(f"""{_WITH}, se AS MATERIALIZED {SECTIONS}, i AS (SELECT id FROM articles WHERE collection_id = {_FIRST_COLLECTION})
-    SELECT 'articles' AS metric, 'all' AS name, count(*) AS n FROM i UNION ALL SELECT 'tags', tag_type, count(*) FROM (SELECT DISTINCT article_id, tag_type, tag_value FROM tags WHERE article_id IN (FROM i)) GROUP BY tag_type
-    UNION ALL SELECT 'chunks by source type', source_type, count(*) FROM ch WHERE article_id IN (FROM i) GROUP BY source_type UNION ALL SELECT 'chunks by text layer', text_layer, count(*) FROM ch WHERE article_id IN (FROM i) GROUP BY text_layer
-    UNION ALL SELECT 'sections', coalesce(nullif(normalized_name, ''), 'unknown'), count(*) FROM se WHERE article_id IN (FROM i) GROUP BY ALL""")
+
+@query(f"""{_WITH}, se AS MATERIALIZED {SECTIONS}
+    SELECT collection_id, 'articles' AS metric, 'all' AS name, count(*) AS n FROM articles GROUP BY ALL
+    UNION ALL SELECT a.collection_id, 'tags', x.tag_type, count(*) FROM (SELECT DISTINCT article_id, tag_type, tag_value FROM tags) x {_OF}
+    UNION ALL SELECT a.collection_id, 'chunks by source type', x.source_type, count(*) FROM ch x {_OF} UNION ALL SELECT a.collection_id, 'chunks by text layer', x.text_layer, count(*) FROM ch x {_OF}
+    UNION ALL SELECT a.collection_id, 'sections', coalesce(nullif(x.normalized_name, ''), 'unknown'), count(*) FROM se x {_OF}""")
 def report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    collections = S.collections(spark, sf_dir)
-    articles = search.collection_articles(S.articles(spark, sf_dir), collections, collections.agg(F.min("name")).collect()[0][0])
-    pages, chunks = S.newest_pages(spark, sf_dir), S.newest_chunks(spark, sf_dir)
-    return reports.collection_report(articles, chunks, classify.tags(chunks), classify.sections(pages))
+    """All collections at once."""
+    return reports.collection_report(S.articles(spark, sf_dir), S.newest_chunks(spark, sf_dir, text=False), _tags(spark, sf_dir), classify.sections(S.newest_pages(spark, sf_dir)))
 
 
 # --------------------------------------------------------------------------------------------- ingestion
@@ -518,6 +547,47 @@ def duplicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.coalesce("p", F.lit(0)).alias("pages"), F.coalesce("c", F.lit(0)).alias("chunks"))
 
 
+_ORIGINAL, _OCR = (newest("page_text_layers", "article_id, page_number", where=f"layer_type = '{k}'") for k in ("original", "ocr"))
+
+
+def _usable_sql(rows: str) -> str:
+    return f"(SELECT article_id, count(*) AS pages, sum({USABLE}::INT) >= greatest(1, count(*) // 2) AS ok FROM (SELECT article_id, {COUNTS} FROM (SELECT article_id, {norm("coalesce(text, '')")} AS n FROM {rows})) GROUP BY article_id)"
+
+
+@query(f"""WITH o AS {_usable_sql(_ORIGINAL)}, s AS {_usable_sql(_OCR)}, b AS (SELECT article_id, count(DISTINCT page_number) AS pages FROM page_text_layers WHERE layer_type IN ('original', 'ocr') GROUP BY article_id),
+    p AS (SELECT article_id, count(*) AS pages FROM pages GROUP BY article_id), k AS (SELECT *, status = 'indexed' AS known FROM articles)
+    SELECT k.checksum_sha256, CASE WHEN known THEN 'duplicate' WHEN o.ok OR coalesce(s.ok, false) THEN 'indexed' ELSE 'failed' END AS status, NOT known AND NOT o.ok AS ocr_required,
+        CASE WHEN known THEN coalesce(p.pages, 0) WHEN o.ok THEN o.pages WHEN coalesce(s.ok, false) THEN b.pages ELSE 0 END AS page_count
+    FROM k JOIN o ON o.article_id = k.id JOIN b ON b.article_id = k.id LEFT JOIN s ON s.article_id = k.id LEFT JOIN p ON p.article_id = k.id""")
+def ingest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored layers come as files once more: those of indexed articles are duplicates, the others are ingested, their OCR layers being what OCR reads."""
+    articles = S.articles(spark, sf_dir)
+    about = articles.select(F.col("id").alias("article_id"), "checksum_sha256", F.col("pdf_original_path").alias("path"))
+
+    def rows(kind: str) -> DataFrame:
+        newest_ = keys.newest(S.layers(spark, sf_dir).where(F.col("layer_type") == kind).select("id", "article_id", "page_number", "text", "created_at"), ["article_id", "page_number"])
+        return newest_.join(about, "article_id").select("path", "checksum_sha256", F.col("path").alias("stored_path"), "page_number", "text", F.lit(None).cast("string").alias("error"))
+
+    def ocr(needed: DataFrame) -> DataFrame:
+        return needed.select("checksum_sha256").join(rows("ocr"), "checksum_sha256").withColumn("ocr_path", F.col("path"))
+
+    counts = S.pages(spark, sf_dir).groupBy("article_id").agg(F.count("*").alias("page_count")).withColumn("chunk_count", F.lit(0).cast("bigint"))
+    made = ingest.ingest(rows("original"), articles.where("status = 'indexed'"), "literature", Settings(), ocr, counts=counts)
+    return made.results.select("checksum_sha256", "status", "ocr_required", "page_count")
+
+
+@query("SELECT id AS article_id, title FROM articles")
+def articles_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing of articles: by title, those without one last."""
+    return S.articles(spark, sf_dir).select("id", "title").orderBy(*reports.by_title()).withColumnRenamed("id", "article_id")
+
+
+@query(f"SELECT article_id, page_number, layer_type, id FROM {LAYERS}")
+def layers_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing of layers: by article, page and type."""
+    return newest_layers(spark, sf_dir).select("article_id", "page_number", "layer_type", "id").orderBy("article_id", "page_number", "layer_type")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_search(spark, sf_dir)
 

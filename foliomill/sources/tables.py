@@ -39,11 +39,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
-def newest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def newest_pages(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     """One row a page: of those delivered again, the newest."""
-    return newest(pages(spark, sf_dir).select("id", "article_id", "page_number", "text", "selected_text_layer", "created_at"), ["article_id", "page_number"])
+    columns = ["id", "article_id", "page_number", *["text"] * text, "selected_text_layer", "created_at"]
+    return newest(pages(spark, sf_dir).select(*columns), ["article_id", "page_number"])
 
 
-def newest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def newest_chunks(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     """One row a chunk: of those delivered again, the newest."""
-    return newest(chunks(spark, sf_dir).select("id", "article_id", "chunk_index", "page_start", "page_end", "source_type", "text_layer", "text", "created_at"), ["article_id", "chunk_index"])
+    columns = ["id", "article_id", "chunk_index", "page_start", "page_end", "source_type", "text_layer", *["text"] * text, "created_at"]
+    return newest(chunks(spark, sf_dir).select(*columns), ["article_id", "chunk_index"])

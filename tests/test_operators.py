@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from foliomill.functions import rules
 from foliomill.operators import chunking, classify, ingest, keys, layers, reports, search
 from foliomill.settings import Settings
 
@@ -112,6 +113,48 @@ def test_tags(spark):
     assert confidences["Na"] == pytest.approx(0.7) and confidences["conductivity"] == pytest.approx(0.85)
 
 
+def hits_of_whole_texts(rows):
+    """Brute force: each article's text put together, and every pattern searched in it."""
+    import re
+
+    texts = {}
+    for article, index, text in rows:
+        texts.setdefault(article, []).append((index, text or ""))
+    out = {}
+    for article, parts in texts.items():
+        text = "\n\n".join(t for _, t in sorted(parts))
+        for _, kind, value, pattern in rules.rule_rows():
+            if re.search(pattern, text, re.I | re.M):
+                out[article, kind, value] = out.get((article, kind, value), 0) + 1
+    return out
+
+
+def test_tags_over_borders_of_chunks(spark):
+    rng = random.Random(12)
+    words = ["nuclear", "magnetic", "resonance", "thermogravimetric", "mass", "spectrometry", "wt", "%x", "5", "S", "cm", "sodium", "form", "a", "Table", "was", "measured", "ſodium", "K", " ", "\n", "x" * 300, "has", "been", "reported"]
+    rows = []
+    for article in range(60):
+        text = " ".join(rng.choice(words) for _ in range(60))
+        at, index = 0, 0
+        while at < len(text):
+            n = rng.choice([1, 3, 8, 9, 10, 40, 200])
+            rows.append((f"a{article:02d}", index, text[at:at + n] if rng.random() < 0.9 else None))
+            at += n + 1
+            index += rng.choice([1, 1, 3])
+    rows += [("m", 0, "nuclear"), ("m", 1, None), ("m", 2, "magnetic"), ("m", 5, " \n"), ("m", 9, "resonance"), ("t", 0, "thermogravimetric " + "y " * 500 + "mass"), ("t", 1, "spectrometry"), ("u", 0, "ſulfolane in N-methyl"), ("u", 1, "-2-pyrrolidone")]
+    got = {(r.article_id, r.tag_type, r.tag_value): r.hits for r in classify.tag_hits(spark.createDataFrame(rows, "article_id string, chunk_index int, text string")).collect()}
+    assert got == hits_of_whole_texts(rows)
+    assert got["m", "method", "NMR"] == 1 and got["t", "method", "TGA-MS"] == 1 and got["u", "solvent", "SL"] == 1
+
+
+def test_newest_of_rows_equal_in_all(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("k", "1", t, "old"), ("k", "2", t, "new"), (None, "3", None, "null"), (None, "4", t, "later"), ("m", "5", t, "same"), ("m", "5", t, "same"), ("s", "6", None, "one")]
+    df = spark.createDataFrame(rows, "k string, id string, created_at timestamp, v string")
+    assert sorted(r.v for r in keys.newest(df, ["k"]).collect()) == ["later", "new", "one", "same"]
+    assert keys.newest(df.limit(0), ["k"]).columns == df.columns
+
+
 @pytest.mark.parametrize("text, want", [
     ("see Table 3 for more", "table"), ("a  1  2  3  4\nb  1  2  3  4\nc\t1\t2\t3\t4\nd  5  6  7  8", "table"), ("intro\nFig. 2 shows it", "figure_caption"), ("It was measured twice", "method"), ("Plain words", "main_text"), ("", "main_text")])
 def test_source_type(spark, text, want):
@@ -200,26 +243,6 @@ def test_reports(spark):
     assert reports.article_report(articles, pages, chunks, tags, sections).where("article_id = 'a'").collect()[0].section_count == 2
 
 
-def test_ingest(spark):
-    prose = "The protonated Nafion membrane was measured in water at room temperature. See doi:10.1000/ABC.1, please. " * 2
-    rows = [("/f/one.pdf", "s1", 1, "Abstract\n\n" + prose, None), ("/f/one.pdf", "s1", 2, prose, None), ("/f/copy.pdf", "s1", 1, prose, None), ("/f/two.pdf", "s2", None, None, "ValueError: broken"),
-            ("/f/three.pdf", "s3", 1, " ", None), ("/f/known.pdf", "s4", 1, prose, None)]
-    schema = "path string, checksum_sha256 string, page_number int, text string, error string"
-    known = spark.createDataFrame([("s4",)], "checksum_sha256 string")
-    out = ingest.ingest(spark.createDataFrame(rows, schema), known, "lit", Settings())
-    assert {r.input_path: (r.status, r.error_message) for r in out.jobs.collect()} == {
-        "/f/copy.pdf": ("indexed", None), "/f/two.pdf": ("failed", "ValueError: broken"), "/f/three.pdf": ("failed", "OCR output has no usable text layer")}
-    article = out.articles.collect()
-    assert [(r.doi, r.status, r.checksum_sha256) for r in article] == [("10.1000/abc.1", "indexed", "s1")]
-    assert out.pages.count() == 2 and out.chunks.count() == 1 and out.chunks.collect()[0].source_type == "method"
-    assert {r.tag_value for r in out.article_tags.collect()} >= {"H", "water", "membrane"}
-    ocr = spark.createDataFrame([("/f/three.ocr.pdf", "s3", 1, prose, None)], schema)
-    again = ingest.ingest(spark.createDataFrame(rows, schema), known, "lit", Settings(), ocr)
-    assert {r.status for r in again.jobs.where("input_path = '/f/three.pdf'").collect()} == {"indexed"}
-    assert [r.selected_text_layer for r in again.pages.join(again.articles.where("checksum_sha256 = 's3'"), F.col("article_id") == F.col("id")).select("selected_text_layer").collect()] == ["ocr"]
-    assert ingest.ingest(spark.createDataFrame([], schema), known, "lit", Settings()).jobs.count() == 0
-
-
 def test_upsert_jobs_and_first_pages(spark):
     schema = "id string, collection_id string, title string, doi string, pdf_original_path string, pdf_ocr_path string, checksum_sha256 string, status string, indexed_at timestamp, updated_at timestamp"
     old = spark.createDataFrame([("1", "c", "T", "", "p", None, "s1", "needs_review", None, None), ("2", "c", "U", "10.1/x", "p", None, "s2", "indexed", None, None)], schema)
