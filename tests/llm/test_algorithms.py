@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliomill.llm import duplicates, packing, splitting
+from foliomill.llm import common, duplicates, packing, splitting
 
 # ------------------------------------------------------------------------------------------- duplicates
 
@@ -81,6 +81,16 @@ def test_copies_of_large_classes(spark, monkeypatch):
     assert {(r["first"], r.copies) for r in members.collect()} == {("r00", 23), ("r23", 9), ("r32", 1)}
 
 
+def test_tables_too_large_to_broadcast_give_the_same(spark, monkeypatch):
+    texts = ["one two three four five six seven eight nine ten"] * 3 + ["one two three four five six seven eight nine ten eleven", "something else", "something else"]
+    df = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(texts)], "id string, text string")
+    got = []
+    for most in (common.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        got.append(sorted((r.id_a, r.id_b) for r in duplicates.pairs_of(*duplicates.near(df), "id").collect()))
+    assert got[0] == got[1] and len(got[0]) == 7
+
+
 def test_form_of_problem_2_is_used(spark):
     texts = ["the house of water stands on the hill", "the \u04bbouse of \u051dater stands on the hill", "the hou\u2061se of water stands on the hill"]
     df = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate(texts)], "id string, text string")
