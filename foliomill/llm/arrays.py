@@ -214,10 +214,15 @@ def parts(batch: pa.RecordBatch, most_chars: int) -> Iterator[pa.RecordBatch]:
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
             sizes += np.nan_to_num(pc.utf8_length(column).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    return cut(batch, sizes, most_chars)
+
+
+def cut(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts whose sizes sum to most at most (a single larger row is passed whole)."""
     at, cum = 0, np.cumsum(sizes)
     while at < batch.num_rows:
         base = cum[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(cum, base + most_chars, "right")))
+        to = max(at + 1, int(np.searchsorted(cum, base + most, "right")))
         yield batch.slice(at, to - at)
         at = to
 

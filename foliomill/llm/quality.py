@@ -5,19 +5,24 @@ model over them labels each line; label shares by characters describe the
 document. Emissions are products of categorical distributions, one per
 statistic. They start from lines that plain rules are sure of and are refitted
 by a few rounds of expectation maximisation in which those lines keep their
-label. What counts as a common word is learned from the same bounded sample.
+label. What counts as a common word, and the model, come from the whole texts of
+all layers: one pass counts words, a second packs each line's statistics into a
+number, and the rounds read those numbers only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliomill.llm import arrays as A
-from foliomill.llm.common import sampled
+from foliomill.llm.common import stored
 from foliomill.llm.tokenize import _arrow_type
 
 #: States of the model; prose and junk come in several sorts that have little in common.
@@ -25,13 +30,18 @@ PROSE, LIST, TABLE, SYMBOLS, LETTERS, FRAGMENTS, WIDE_PROSE = range(7)
 STATES = 7
 KINDS = ["prose", "list", "table", "junk"]
 KIND_OF = np.array([0, 1, 2, 3, 3, 3, 0])
-#: Most layers that the model is fitted on, and characters used of each, in fitting only.
-TRAINING_LAYERS = 3000
-TRAINING_CHARS = 2500
 ROUNDS = 3
-#: A word is common if it stands in this share of the sampled layers (and in three of them at least).
+#: A word is common if it stands in this share of the layers that aren't blank (and in three of them at least).
 COMMON_SHARE = 0.0025
 LEVELS = 7
+#: The smoothing of the model holds for so many layers and grows with more, so that what it smooths stays the same share.
+USUAL_LAYERS = 3000
+#: Words counted in a worker before they are sent on.
+CACHE_WORDS = 1_000_000
+#: Lines labelled at once.
+MOST_LINES = 200_000
+#: Parts of a line's weight that the sums of a round are kept in: whole numbers, the same in any order of adding.
+FINE = 1 << 20
 FEATURES = ["letters", "digits", "symbols", "common", "numeric", "gaps", "opens", "closes", "words", "variety", "leaders", "mixed", "wide"]
 
 _BULLETS = "•‣▪◦·*–—-−○●■"
@@ -137,7 +147,7 @@ def line_statistics(texts: list[str], common: np.ndarray) -> dict[str, np.ndarra
     long = de - ds >= 4
     np.add.at(leaders, line[ds[long]], 1)
     # variety: how often a character differs from the one before
-    change = np.concatenate([[False], (codes[1:] != codes[:-1]) & ~space[1:]])
+    change = np.concatenate([[True], codes[1:] != codes[:-1]]) & ~space
     variety = per_line(change) / some
     cid = np.zeros(n)
     if len(codes) > 5:
@@ -172,8 +182,8 @@ def _isin(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def common_words(texts: list[str]) -> np.ndarray:
-    """Sorted hashes of the words (and pairs of characters) in enough of the texts."""
+def layer_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words (and pairs of characters) of texts, and how many of the texts have each."""
     batch = A.TextBatch(texts)
     classes = batch.classes
     narrow = (classes == A.LATIN) | (classes == A.CYRILLIC) | (classes == A.GREEK) | (classes == A.LETTER) | (classes == A.MARK)
@@ -183,9 +193,18 @@ def common_words(texts: list[str]) -> np.ndarray:
     pair = at[:-1][np.diff(at) == 1] if len(at) > 1 else at[:0]
     h = np.concatenate([A.span_hashes(batch.lower, ws, we), _pair_hash(batch.codes, pair)])
     doc = np.searchsorted(batch.ends, np.concatenate([ws, pair]))
-    both = np.unique(np.stack([h, doc.astype(np.uint64)], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-    words, counts = np.unique(both[:, 0], return_counts=True)
-    return words[counts >= max(3, COMMON_SHARE * len(texts))]
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    once = new.copy()
+    once[1:] |= doc[1:] != doc[:-1]
+    words = h[new]
+    return words, np.bincount((np.cumsum(new) - 1)[once], minlength=len(words))
+
+
+def _is_common(counts: np.ndarray, texts: int) -> np.ndarray:
+    return counts >= max(3, COMMON_SHARE * texts)
 
 
 def _sure(s: dict[str, np.ndarray]) -> np.ndarray:
@@ -270,32 +289,65 @@ def _log_emission(levels: np.ndarray, blank: np.ndarray, tables: np.ndarray) ->
     return out
 
 
-def train(texts: list[str]) -> dict:
-    """Common words and the model's tables."""
-    texts = [A.plain(t[:TRAINING_CHARS]) for t in texts]
-    common = common_words(texts) if texts else np.zeros(0, np.uint64)
-    s = line_statistics(texts, common) if texts else None
-    model = {"common": common, "start": np.full(STATES, 1 / STATES), "move": np.full((STATES, STATES), 0.02) + (1 - 0.02 * STATES) * np.eye(STATES), "tables": np.zeros((len(FEATURES), 10, STATES))}
-    if s is None:
-        return model
-    sure, blank = _sure(s), s["ink"] == 0
+def _packed(s: dict[str, np.ndarray]) -> np.ndarray:
+    """One number for each line: its levels, the label it is sure of, and whether it is blank."""
+    bits = (s["levels"] << (4 * np.arange(len(FEATURES)))).sum(1)
+    return bits | (_sure(s) + 1) << (4 * len(FEATURES)) | (s["ink"] == 0).astype(np.int64) << (4 * len(FEATURES) + 3)
+
+
+def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels, sure labels and blanks of lines."""
+    return packed[:, None] >> (4 * np.arange(len(FEATURES))) & 15, (packed >> (4 * len(FEATURES)) & 7) - 1, packed >> (4 * len(FEATURES) + 3) > 0
+
+
+def _start() -> dict:
+    return {"common": np.zeros(0, np.uint64), "start": np.full(STATES, 1 / STATES), "move": np.full((STATES, STATES), 0.02) + (1 - 0.02 * STATES) * np.eye(STATES), "tables": np.zeros((len(FEATURES), 10, STATES))}
+
+
+def _sums(packed: np.ndarray, owner: np.ndarray, n: int, model: dict | None) -> np.ndarray:
+    """What the tables, moves and starts of the next model are made of: summed weights of the states of all lines, by a model
+    or, without one, of the sure lines alone."""
+    levels, sure, blank = _unpacked(packed)
     weight = np.where(sure[:, None] >= 0, np.eye(STATES)[sure], 0.0)
-    for turn in range(ROUNDS + 1):
-        tables = np.zeros((len(FEATURES), 10, STATES))
-        for f in range(len(FEATURES)):
-            for k in range(STATES):
-                tables[f, :, k] = np.bincount(s["levels"][:, f], weights=weight[:, k] * ~blank, minlength=10) + 0.5
-        model["tables"] = np.log(tables / tables.sum(1, keepdims=True))
-        if turn == ROUNDS:
-            break
-        emission = _log_emission(s["levels"], blank, model["tables"])
+    moves, starts = np.zeros((STATES, STATES)), np.zeros(STATES)
+    if model is not None:
+        emission = _log_emission(levels, blank, model["tables"])
         emission[sure >= 0] = np.where(np.eye(STATES)[sure[sure >= 0]] > 0, 0.0, -12.0)
-        gamma, moves, starts = posteriors(emission, s["owner"], len(texts), model | {"count": True})
-        moves += 3 + 50 * np.eye(STATES)
-        model["move"] = moves / moves.sum(1, keepdims=True)
-        model["start"] = (starts + 2) / (starts + 2).sum()
+        gamma, moves, starts = posteriors(emission, owner, n, model | {"count": True})
         # lines in doubt count half: they may refine the tables, not take them over
-        weight = np.where(sure[:, None] >= 0, np.eye(STATES)[sure], 0.5 * gamma)
+        weight = np.where(sure[:, None] >= 0, weight, 0.5 * gamma)
+    weight[blank] = 0
+    tables = np.zeros((len(FEATURES), 10, STATES))
+    for f in range(len(FEATURES)):
+        for k in range(STATES):
+            tables[f, :, k] = np.bincount(levels[:, f], weights=weight[:, k], minlength=10)
+    return np.concatenate([tables.ravel(), moves.ravel(), starts])
+
+
+def _next(model: dict, sums: np.ndarray, texts: int, first: bool) -> dict:
+    """The model that sums over so many texts give."""
+    sums = sums * min(1.0, USUAL_LAYERS / max(1, texts))
+    at, to = model["tables"].size, model["tables"].size + STATES * STATES
+    tables = sums[:at].reshape(model["tables"].shape) + 0.5
+    found = model | {"tables": np.log(tables / tables.sum(1, keepdims=True))}
+    if not first:
+        moves = sums[at:to].reshape(STATES, STATES) + 3 + 50 * np.eye(STATES)
+        found |= {"move": moves / moves.sum(1, keepdims=True), "start": (sums[to:] + 2) / (sums[to:] + 2).sum()}
+    return found
+
+
+def train(texts: list[str]) -> dict:
+    """Common words and the model's tables, of texts at hand (see learn)."""
+    texts = [p for p in map(A.plain, texts) if p.strip()]
+    model = _start()
+    if not texts:
+        return model
+    words, counts = layer_words(texts)
+    model["common"] = words[_is_common(counts, len(texts))]
+    s = line_statistics(texts, model["common"])
+    packed = _packed(s)
+    for turn in range(ROUNDS + 1):
+        model = _next(model, _sums(packed, s["owner"], len(texts), model if turn else None), len(texts), not turn)
     return model
 
 
@@ -306,50 +358,148 @@ STATISTICS = T.StructType([
 ])
 
 
-def describe(texts: list[str], model: dict) -> dict[str, np.ndarray]:
-    """STATISTICS of texts as columns."""
-    s = line_statistics([A.plain(t) for t in texts], model["common"])
+_SHARES = len(STATISTICS) - len(KINDS)
+
+
+def _totals(s: dict[str, np.ndarray], texts: list[str]) -> dict[str, np.ndarray]:
+    """STATISTICS of texts but for the shares of kinds."""
     n, owner = len(texts), s["owner"]
     blank = s["ink"] == 0
-    label = posteriors(_log_emission(s["levels"], blank, model["tables"]), owner, n, model)[0]
-    label = KIND_OF[label.argmax(1)]
 
     def total(values: np.ndarray) -> np.ndarray:
         return np.bincount(owner, weights=values, minlength=n)
 
     ink, lines, words = total(s["ink"]), total(~blank), total(s["words"])
-    chars = total(s["chars"] * ~blank)
-    out = {
+    return {
         "chars": np.array([len(t) for t in texts], np.int64), "lines": lines.astype(np.int64), "words": words.astype(np.int64), "mean_word_length": total(s["word_letters"]) / np.maximum(words, 1),
         "symbol_ratio": total(s["symbols"]) / np.maximum(ink, 1), "lines_ending_in_punctuation": total(s["ends_well"] & ~blank) / np.maximum(lines, 1),
         "common_words": total(s["common_units"]) / np.maximum(total(s["units"]), 1),
     }
-    for k, name in enumerate(KINDS):
-        out[name] = total(s["chars"] * ((label == k) & ~blank)) / np.maximum(chars, 1)
-    return out
 
 
-def learn(df: DataFrame, key: str = "id", text: str = "text", rows: int = TRAINING_LAYERS) -> dict:
-    """A model fitted on at most ``rows`` texts (one bounded collect)."""
-    some = sampled(df.select(key, F.substring(text, 1, TRAINING_CHARS).alias("t")).where(F.length(F.trim("t")) > 0), key, rows)
-    return train([r.t for r in some.select("t").collect()])
+def _shares(packed: np.ndarray, sizes: np.ndarray, owner: np.ndarray, n: int, model: dict) -> dict[str, np.ndarray]:
+    """Shares of kinds of texts by the labels of their lines."""
+    levels, _, blank = _unpacked(packed)
+    label = KIND_OF[posteriors(_log_emission(levels, blank, model["tables"]), owner, n, model)[0].argmax(1)]
+    chars = np.bincount(owner, weights=sizes * ~blank, minlength=n)
+    return {name: np.bincount(owner, weights=sizes * ((label == k) & ~blank), minlength=n) / np.maximum(chars, 1) for k, name in enumerate(KINDS)}
 
 
-def statistics(df: DataFrame, key: str = "id", text: str = "text", model: dict | None = None) -> DataFrame:
-    """``key`` and STATISTICS of every text; a null or blank one has zeros. Shares of prose, list, table and
-    junk are by characters of lines with ink and sum to 1 unless blank. Repeated rows are described as
-    often as they stand there, other columns left out. One pass without a shuffle once fitted."""
-    fitted = model if model is not None else learn(df, key, text)
+def describe(texts: list[str], model: dict) -> dict[str, np.ndarray]:
+    """STATISTICS of texts as columns."""
+    s = line_statistics([A.plain(t) for t in texts], model["common"])
+    return _totals(s, texts) | _shares(_packed(s), s["chars"], s["owner"], len(texts), model)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``word, n`` of a partition's texts: hashes of words with the texts that have them; null stands for the texts that aren't blank."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    texts = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        words, where = np.unique(np.concatenate([w for w, _ in kept]), return_inverse=True)
+        return words, np.bincount(where, weights=np.concatenate([n for _, n in kept]), minlength=len(words)).astype(np.int64)
+
+    def sent(words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    for batch in batches:
+        for part in A.parts(batch, 2_000_000):
+            plain = [p for t in part.column(0).to_pylist() if t and (p := A.plain(t)).strip()]
+            texts += len(plain)
+            if plain:
+                kept.append(layer_words(plain))
+            if sum(len(w) for w, _ in kept) > CACHE_WORDS:
+                kept = [merged()]
+                if len(kept[0][0]) > CACHE_WORDS // 2:
+                    yield sent(*kept.pop())
+    if kept:
+        yield sent(*merged())
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([texts], pa.int64())], names=["word", "n"])
+
+
+def learn_common(df: DataFrame, text: str = "text") -> np.ndarray:
+    """Sorted hashes of the words (and pairs of characters) common in whole texts. Each is in a share of the texts, so they are
+    few whatever the corpus holds."""
+    every = stored(df.select(text).mapInArrow(_counted, "word bigint, n bigint").groupBy("word").agg({"n": "sum"}).toDF("word", "n"))
+    texts = every.where("word is null").agg({"n": "sum"}).first()[0] or 0
+    common = every.where("word is not null").where(f"n >= {max(3, COMMON_SHARE * texts)!r}").select("word").toArrow()["word"].to_numpy()
+    return np.sort(common.astype(np.int64).view(np.uint64))
+
+
+def _described(df: DataFrame, key: str, text: str, common: np.ndarray) -> DataFrame:
+    """``key``, STATISTICS but for the shares of kinds, and the packed numbers and sizes of lines, of every text."""
     kind = df.schema[key].dataType
     key_type = _arrow_type(kind)
-    shipped = df.sparkSession.sparkContext.broadcast(fitted)
+    shipped = df.sparkSession.sparkContext.broadcast(common)
 
     def run(columns: dict) -> pa.RecordBatch:
-        found = describe([t or "" for t in columns["text"]], shipped.value)
-        return pa.RecordBatch.from_arrays([pa.array(columns["key"], key_type), *(pa.array(found[f.name], _arrow_type(f.dataType)) for f in STATISTICS)], names=["key", *STATISTICS.names])
+        texts = [t or "" for t in columns["text"]]
+        s = line_statistics([A.plain(t) for t in texts], shipped.value)
+        found, packed, sizes = _totals(s, texts), _packed(s), s["chars"].astype(np.int32)
+        cut = np.searchsorted(s["owner"], np.arange(len(texts) + 1))
+        lines = [pa.array([v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for v in (packed, sizes)]
+        return pa.RecordBatch.from_arrays([pa.array(columns["key"], key_type), *(pa.array(found[f.name], _arrow_type(f.dataType)) for f in STATISTICS[:_SHARES]), *lines], names=["key", *STATISTICS.names[:_SHARES], "packed", "sizes"])
+
+    schema = T.StructType([T.StructField("key", kind), *STATISTICS[:_SHARES], T.StructField("packed", T.BinaryType()), T.StructField("sizes", T.BinaryType())])
+    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(A.map_arrow(run, 2_000_000), schema)
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of _described in parts of MOST_LINES: the rows, the packed numbers of their lines, and the row of each line."""
+    for batch in batches:
+        for part in A.cut(batch, pc.binary_length(batch["packed"]).to_numpy(zero_copy_only=False) // 8, MOST_LINES):
+            column = part["packed"].to_pylist()
+            yield part, np.frombuffer(b"".join(column), np.int64), np.repeat(np.arange(len(column)), [len(b) // 8 for b in column])
+
+
+def _fitted(lines: DataFrame, common: np.ndarray) -> dict:
+    """The model after ROUNDS rounds over all lines; each task sends its sums."""
+    spark = lines.sparkSession
+    model = _start() | {"common": common}
+    some = lines.where("lines > 0").select("packed")
+    texts = some.count()
+    for turn in range(ROUNDS + 1):
+        shipped = spark.sparkContext.broadcast({k: v for k, v in model.items() if k != "common"} if turn else None)
+
+        def added(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for part, packed, owner in _lines(batches):
+                total = total + _sums(packed, owner, part.num_rows, shipped.value)
+            if np.ndim(total):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(np.rint(total * FINE).astype(np.int64))], names=["place", "n"])
+
+        rows = some.mapInArrow(added, "place int, n bigint").groupBy("place").agg({"n": "sum"}).collect()
+        sums = np.zeros(model["tables"].size + STATES * STATES + STATES)
+        for place, n in rows:
+            sums[place] = n / FINE
+        model = _next(model, sums, texts, not turn)
+    return model
+
+
+def learn(df: DataFrame, key: str = "id", text: str = "text") -> dict:
+    """A model fitted on the whole texts of all rows."""
+    common = learn_common(df, text)
+    return _fitted(stored(_described(df, key, text, common)), common)
 
-    schema = T.StructType([T.StructField("key", kind), *STATISTICS])
-    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(A.map_arrow(run, 2_000_000), schema).withColumnRenamed("key", key)
+
+def statistics(df: DataFrame, key: str = "id", text: str = "text", model: dict | None = None) -> DataFrame:
+    """``key`` and STATISTICS of every text; a null or blank one has zeros. Shares of prose, list, table and
+    junk are by characters of lines with ink and sum to 1 unless blank. Repeated rows are described as
+    often as they stand there, other columns left out. Without a model one is fitted on all texts; they are read twice then."""
+    common = model["common"] if model is not None else learn_common(df, text)
+    lines = _described(df, key, text, common)
+    if model is None:
+        lines = stored(lines)
+        model = _fitted(lines, common)
+    shipped = df.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "common"})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, packed, owner in _lines(batches):
+            found = _shares(packed, np.frombuffer(b"".join(part["sizes"].to_pylist()), np.int32), owner, part.num_rows, shipped.value)
+            yield pa.RecordBatch.from_arrays([part[c] for c in ("key", *STATISTICS.names[:_SHARES])] + [pa.array(found[c]) for c in KINDS], names=["key", *STATISTICS.names])
+
+    return lines.mapInArrow(run, T.StructType([T.StructField("key", df.schema[key].dataType), *STATISTICS])).withColumnRenamed("key", key)
 
 
 def not_prose(df: DataFrame, key: str = "id", text: str = "text", model: dict | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliomill.llm import arrays, languages, quality, scans, sentences, subjects, tokenize, visual
@@ -220,6 +221,26 @@ def test_kinds_of_layers(spark):
     assert quality.not_prose(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_the_model_of_quality_comes_from_whole_texts_of_all_layers(spark):
+    # a word that stands behind the first 2,500 characters only, and one in 12 of 3,500 layers, those hashed last
+    long = [f"{layer('prose', s)} {'the old ' * 400} polybenzimidazole\n{layer('list', s)}" for s in range(12)]
+    model = quality.learn(frame(spark, long))
+    assert arrays.string_hash("polybenzimidazole") in model["common"]
+    many = frame(spark, ["a thin film"] * 3500).select("id", F.row_number().over(Window.orderBy(F.xxhash64("id").desc())).alias("n"))
+    many = many.select("id", F.when(F.col("n") <= 12, "a thin kadrebo").otherwise("a thin film").alias("text"))
+    assert arrays.string_hash("kadrebo") in quality.learn(many)["common"]
+    # the same model in any number of parts, and at hand; null and blank texts count for nothing
+    texts = [layer(k, s) for s in range(30) for k in ("prose", "table", "list", "junk")] + long
+    parts = [quality.learn(frame(spark, texts + [None, "", " \n"]).repartition(n)) for n in (1, 7)] + [quality.train(texts)]
+    for name in ("start", "move", "tables"):
+        assert all(np.allclose(parts[0][name], p[name], atol=1e-4) for p in parts[1:])
+    assert all((parts[0]["common"] == p["common"]).all() for p in parts[1:])
+    got = sorted(map(tuple, quality.statistics(frame(spark, texts)).collect()))
+    want = sorted(map(tuple, quality.statistics(frame(spark, texts), model=parts[2]).collect()))
+    assert got == want and len(got) == len(texts)
+    assert quality.statistics(frame(spark, [None, " "])).count() == 2
+
+
 # -------------------------------------------------------------------------------------------------- scans
 
 def scanned(text, rng):
