@@ -99,7 +99,8 @@ def lower_table() -> np.ndarray:
     return table
 
 
-_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
+_UNSEEN_CHARS = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
+_UNSEEN = re.compile(f"[{_UNSEEN_CHARS}]+")
 
 
 _OTHER_SCRIPT = re.compile("[\u0370-\u04ff]")
@@ -125,7 +126,12 @@ def plain(text: str) -> str:
     """Without invisible characters, in compatibility form, words in one script: for features only."""
     if text.isascii():
         return text
-    text = unicodedata.normalize("NFKC", _UNSEEN.sub("", text))
+    # looking for a character is faster than the expression, and most texts have none of these
+    for c in _UNSEEN_CHARS:
+        if c in text:
+            text = _UNSEEN.sub("", text)
+            break
+    text = unicodedata.normalize("NFKC", text)
     return _MIXED.sub(_one_script, text) if _OTHER_SCRIPT.search(text) and _SEAM.search(text) else text
 
 

@@ -18,6 +18,7 @@ on the others, which are joined with the corrections.
 from __future__ import annotations
 
 import functools
+import operator
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -61,6 +62,7 @@ PAGE_NUMBER = re.compile(rf"{_AROUND}(?:(?:page|pages|p|pp|s|seite|стр|с|pá
 _VOLUME = re.compile(r"\bvol\b")
 _LISTED = re.compile(r"(?m)^[ \t]*(?:\(\w{1,3}\) |\[\d+\] |[•‣▪–—*·-] (?!\d)|[^\W\d_]{2,8} [—=:–] |[^\W\d_]+(?:, \d+)+|\d+(?:\.\d+)* .*\.{4})")
 _BROKEN = re.compile(rf"[{HYPHENS}]\n(?<=[^\W\d_][{HYPHENS}]\n)\s*(?=[^\W\d_])")
+_BREAKS = [f"{c}\n" for c in HYPHENS]
 _WIDE_BREAK = re.compile(r"\n(?<=[぀-鿿]\n)(?=[぀-鿿])")
 _WIDE = re.compile("[぀-ヿ㐀-鿿]")
 
@@ -220,7 +222,7 @@ class Editor:
 
 
 def correctable(word: str) -> bool:
-    return len(word) >= 2 and sum(c.isalpha() for c in word) * 2 >= len(word)
+    return len(word) >= 2 and (word.isalpha() or sum(map(str.isalpha, word)) * 2 >= len(word))
 
 
 def offered(word: str, clean: str, n: int, n_clean: int) -> bool:
@@ -245,7 +247,8 @@ def find_words(batch: A.TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     narrow = (classes == A.LATIN) | (classes == A.CYRILLIC) | (classes == A.GREEK) | (classes == A.LETTER) | (classes == A.MARK)
     digit = classes == A.DIGIT
     starts, ends = A.runs(narrow | digit | _IN_WORD[batch.codes])
-    total = np.concatenate([[0], np.cumsum(narrow)])
+    total = np.zeros(len(narrow) + 1, np.int32)
+    np.cumsum(narrow, out=total[1:])
     lettered = total[ends] > total[starts]
     return starts[lettered], ends[lettered], narrow, digit
 
@@ -285,7 +288,9 @@ def _distinct(owner: np.ndarray, key: np.ndarray, flag: np.ndarray) -> tuple[np.
 
 def unbroken(text: str) -> str:
     """The plain form with words put together that are broken over lines, and wide characters without line breaks."""
-    text = _BROKEN.sub("", A.plain(text))
+    text = A.plain(text)
+    if any(b in text for b in _BREAKS):
+        text = _BROKEN.sub("", text)
     return text if text.isascii() else _WIDE_BREAK.sub("", text)
 
 
@@ -397,7 +402,7 @@ def _line_ends(clean: str, scanned: str) -> Iterator[tuple[str, str, str, str |
         yield left, hyphen, right, JOIN if a + b in words or f"{a}-{b}" in low else KEEP if apart or not (a in words or b in words) and right[:1].isupper() else None
 
 
-_LAST, _FIRST = re.compile(rf"([^\W_]+)([{HYPHENS}])\s*$"), re.compile(r"\s*([^\W_]+)")
+_FIRST = re.compile(r"\s*([^\W_]+)")
 
 
 def joints(lines: list[str]) -> dict[int, tuple[str, str, str]]:
@@ -406,9 +411,12 @@ def joints(lines: list[str]) -> dict[int, tuple[str, str, str]]:
     for k in range(len(lines) - 1):
         line = lines[k].rstrip()
         if line[-1:] in HYPHENS and line and len(line) > 2:
-            a, b = _LAST.search(line), _FIRST.match(lines[k + 1])
-            if a and b and a.group(1)[-1].isalpha() and b.group(1)[0].isalpha():
-                out[k] = a.group(1), a.group(2), b.group(1)
+            start = end = len(line) - 1
+            while start and line[start - 1].isalnum():
+                start -= 1
+            b = _FIRST.match(lines[k + 1]) if start < end and line[end - 1].isalpha() else None
+            if b and b.group(1)[0].isalpha():
+                out[k] = line[start:end], line[end], b.group(1)
     return out
 
 
@@ -601,12 +609,16 @@ def _head_letters(s: str) -> str:
 def likeness(line: str, whole: str) -> float:
     """Share of a line's letter pairs that stand close together in a longer text (a title, a journal)."""
     line = line.replace(" ", "")
-    listed, every = _pairs(whole)
-    if len(line) < 4 or len(listed) < 3:
-        return 0.0
-    pairs = {line[i:i + 2] for i in range(len(line) - 1)}
+    return _likeness(line, set(map(operator.add, line, line[1:])), whole)
+
+
+def _likeness(line: str, pairs: set[str], whole: str) -> float:
+    """Likeness of a line without spaces, by its letter pairs."""
     n = len(pairs)
-    if n < 4 or len(pairs & every) < 0.5 * n:
+    if n < 4:
+        return 0.0
+    listed, every = _pairs(whole)
+    if len(listed) < 3 or len(pairs & every) < 0.5 * n:
         return 0.0
     best, step, width = 0, max(1, len(line) // 4), len(line) + 3
     for start in range(0, max(1, len(listed) - len(line) + step), step):
@@ -623,31 +635,46 @@ def _body(line: str) -> str:
 
 
 def _like(e: dict, body: str) -> float:
-    return max(likeness(body, _head_letters(e["title"] or "")), likeness(body, _head_letters(e["journal"] or "")))
+    line = body.replace(" ", "")
+    pairs = set(map(operator.add, line, line[1:]))
+    return max(_likeness(line, pairs, _head_letters(e["title"] or "")), _likeness(line, pairs, _head_letters(e["journal"] or "")))
 
 
 def _numbered(line: str) -> bool:
     return len(line) < 40 and bool(PAGE_NUMBER.fullmatch(A.plain(line))) and not re.fullmatch(r"\d+[.,]", line)
 
 
-def furniture_features(e: dict, like: float, body: str) -> list[str]:
-    """Features of an edge line: ``text, from_top, from_bottom, lines, title, journal, returns, elsewhere``."""
+_NUMBER_FIRST, _NUMBER_LAST = re.compile(r"\W*\d"), re.compile(r"\d\W*$")
+
+
+def furniture_make(e: dict, like: float, body: str) -> tuple:
+    """What the features of an edge line are made of but for its first word: ``text, from_top, from_bottom, lines, title,
+    journal, returns, elsewhere``."""
     line = e["text"].strip()
     level = 0 if like < 0.5 else 1 if like < 0.7 else 2 if like < 0.82 else 3
     letters = sum(map(str.isalpha, line))
     upper = letters > 0 and sum(map(str.isupper, line)) > 0.6 * letters
-    returns = min(e["returns"], 3)
-    own = e["elsewhere"] <= 2
-    first = body.split(" ")[0] if body else ""
-    number = bool(re.match(r"\W*\d", line)) + 2 * bool(re.search(r"\d\W*$", line))
+    number = bool(_NUMBER_FIRST.match(line)) + 2 * bool(_NUMBER_LAST.search(line))
     ends = line[-1:] in ".!?。！？:;,、" and not line.endswith("Vol.")
-    where = "top" if e["from_top"] <= e["from_bottom"] else "bottom"
-    depth = min(e["from_top"], e["from_bottom"])
-    size = min(len(line) // 20, 5)
-    alone = _numbered(line)
-    return ["bias", f"like={level}", f"like={level}|d={depth}", f"ret={returns}|own={own}", f"like={level}|ret={returns}|own={own}", f"like={level}|ret={returns}|own={own}|d={depth}", f"like={level}|ends={ends}", f"up={upper}", f"up={upper}|like={level}", f"first={first[:12]}",
-            f"num={number}", f"ends={ends}", f"d={depth}|w={where}", f"size={size}", f"vol={'vol' in line.lower()}", f"wide={not line.isascii() and bool(_WIDE.search(line))}|like={level}", f"lines={min(e['lines'], 6)}",
-            f"alone={alone}", f"alone={alone}|d={depth}", f"alone={alone}|lines={min(e['lines'], 6)}"]
+    return (level, min(e["returns"], 3), e["elsewhere"] <= 2, min(e["from_top"], e["from_bottom"]), ends, upper, number, "top" if e["from_top"] <= e["from_bottom"] else "bottom",
+            min(len(line) // 20, 5), "vol" in line.lower(), not line.isascii() and bool(_WIDE.search(line)), min(e["lines"], 6), _numbered(line))
+
+
+def _made_features(make: tuple) -> tuple[list[str], list[str]]:
+    """Features before and behind that of the first word."""
+    level, returns, own, depth, ends, upper, number, where, size, vol, wide, lines, alone = make
+    return (["bias", f"like={level}", f"like={level}|d={depth}", f"ret={returns}|own={own}", f"like={level}|ret={returns}|own={own}", f"like={level}|ret={returns}|own={own}|d={depth}", f"like={level}|ends={ends}", f"up={upper}", f"up={upper}|like={level}"],
+            [f"num={number}", f"ends={ends}", f"d={depth}|w={where}", f"size={size}", f"vol={vol}", f"wide={wide}|like={level}", f"lines={lines}", f"alone={alone}", f"alone={alone}|d={depth}", f"alone={alone}|lines={lines}"])
+
+
+def _first_feature(body: str) -> str:
+    return f"first={body.split(' ', 1)[0][:12]}"
+
+
+def furniture_features(e: dict, like: float, body: str) -> list[str]:
+    """Features of an edge line."""
+    before, behind = _made_features(furniture_make(e, like, body))
+    return [*before, _first_feature(body), *behind]
 
 
 def _weak_label(e: dict, like: float, body: str) -> str | None:
@@ -679,8 +706,8 @@ _KINDS = ("text", "header", "page_no")
 _NONE = (0.0, 0.0, 0.0)
 
 
-def furniture_kind(e: dict, rows: dict[str, tuple[float, ...]]) -> str | None:
-    """header, page_no or None for text, by the weights of the model for _KINDS."""
+def furniture_kind(e: dict, rows: dict[str, tuple[float, ...]], made: dict[tuple, tuple]) -> str | None:
+    """header, page_no or None for text, by the weights of the model for _KINDS. ``made`` keeps the weights of lines alike."""
     line = e["text"].strip()
     if not line:
         return None
@@ -689,9 +716,13 @@ def furniture_kind(e: dict, rows: dict[str, tuple[float, ...]]) -> str | None:
     if not rows:
         found = _weak_label(e, like, body)
     else:
-        a = b = c = 0.0
-        for f in furniture_features(e, like, body):
-            x, y, z = rows.get(f, _NONE)
+        make = furniture_make(e, like, body)
+        if make not in made:
+            before, behind = ([rows.get(f, _NONE) for f in part] for part in _made_features(make))
+            # added up one by one in their order, the first word's between them
+            made[make] = tuple(functools.reduce(operator.add, column, 0.0) for column in zip(*before)), [w for w in behind if w != _NONE]
+        (a, b, c), behind = made[make]
+        for x, y, z in (rows.get(_first_feature(body), _NONE), *behind):
             a += x
             b += y
             c += z
@@ -745,21 +776,24 @@ def scan_lines(columns: dict, scanner: Scanner) -> pa.RecordBatch:
     have = np.bincount(of_text[sure & long_enough], weights=(ends - starts)[sure & long_enough], minlength=n)
     wide = (classes == A.HAN) | (classes == A.KANA)
 
+    bounds = list(zip(batch.starts.tolist(), batch.ends.tolist()))
+
     def per_text(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return total[batch.ends] - total[batch.starts]
+        return np.array([np.count_nonzero(mask[a:b]) for a, b in bounds], np.int64)
 
     lines_of = [r.split("\n") for r in raw]
-    n_wide, ink, numbers, letters = per_text(wide), per_text(classes != A.SPACE), per_text(digit), per_text(narrow)
+    dark = np.zeros(len(codes) + 1, np.int32)
+    np.cumsum(classes != A.SPACE, out=dark[1:])
+    ink = dark[batch.ends] - dark[batch.starts]
+    n_wide, numbers, letters = per_text(wide), per_text(digit), per_text(narrow)
     junk = (n_wide * 4 < ink) & (ink > 0) & ((have < 0.4 * words) & (numbers < 0.25 * ink) | (letters + numbers < 0.35 * ink) | (words == 0) & (numbers < 0.25 * ink))
     for row in np.flatnonzero(junk):
         junk[row] = len(_LISTED.findall(raw[row])) < 0.4 * len(lines_of[row])
     junk |= np.array([r.count("(cid:") > 5 for r in raw])
-    rows: list[list] = [[] for _ in range(9)]
+    rows: list[tuple] = []
 
     def emit(row: int, k: int, kind: str, line: str | None, top: int = 0, bottom: int = 0, lines: int = 0) -> None:
-        for column, v in zip(rows, (columns["id"][row], columns["article_id"][row], columns["page_number"][row], k + 1, kind, line, top, bottom, lines)):
-            column.append(v)
+        rows.append((row, k + 1, kind, line, top, bottom, lines))
 
     # words broken over two lines; soft hyphens are dropped by the plain form, so line ends are read in the text as stored
     in_broken = set()
@@ -771,8 +805,12 @@ def scan_lines(columns: dict, scanner: Scanner) -> pa.RecordBatch:
     plain_parts = [(A.plain(left).lower(), A.plain(right).lower()) for _, _, left, _, right in ends_of]
     state_of = known([w for x, y in plain_parts for w in (x, y, x + y)]).reshape(-1, 3).tolist()
     broken = []
+    joined: dict[tuple, bool] = {}
     for (row, k, left, hyphen, right), state in zip(ends_of, state_of):
-        if editor.joins(left, hyphen, right, tuple(state)):
+        like = tuple(joint_features(left, hyphen, right, tuple(state)))
+        if like not in joined:
+            joined[like] = editor.joins(left, hyphen, right, tuple(state))
+        if joined[like]:
             emit(row, k, "hyphen", "keep" if state == [True, True, False] else "join")
             i, j = last_word_of[first_line[row] + k], first_word_of[first_line[row] + k + 1]
             if i >= 0 and j >= 0:
@@ -810,16 +848,20 @@ def scan_lines(columns: dict, scanner: Scanner) -> pa.RecordBatch:
                 row = int(owner[line])
                 if not junk[row]:
                     emit(row, line - int(first_line[row]), "wide", _triple(key), i - int(line_starts[line]))
-    dark = np.concatenate([[0], np.cumsum(classes != A.SPACE)])
-    inked = dark[line_ends] > dark[line_starts]
-    for row in np.flatnonzero(~junk).tolist():
-        lines = lines_of[row]
-        full = np.flatnonzero(inked[first_line[row]:first_line[row] + len(lines)]).tolist()
-        for j, k in enumerate(full):
-            top, bottom = j, len(full) - 1 - j
-            if min(top, bottom) < EDGE and len(lines[k].strip()) <= HEAD_CHARS:
-                emit(row, k, "edge", lines[k], top, bottom, len(full))
-    return pa.RecordBatch.from_arrays([pa.array(c, {"string": pa.string(), "int": pa.int32()}[f.dataType.simpleString()]) for c, f in zip(rows, LINES)], names=LINES.names)
+    # inked lines of texts that aren't junk, with their places among those of their text
+    inked = np.flatnonzero((dark[line_ends] > dark[line_starts]) & ~junk[owner])
+    of = owner[inked]
+    count = np.bincount(of, minlength=n)
+    top = np.arange(len(of)) - (np.cumsum(count) - count)[of]
+    bottom = count[of] - 1 - top
+    at = np.flatnonzero(np.minimum(top, bottom) < EDGE)
+    for row, k, a, b, many in zip(of[at].tolist(), (inked[at] - first_line[of[at]]).tolist(), top[at].tolist(), bottom[at].tolist(), count[of[at]].tolist()):
+        line = lines_of[row][k]
+        if len(line.strip()) <= HEAD_CHARS:
+            emit(row, k, "edge", line, a, b, many)
+    row_of, *rest = zip(*rows) if rows else [()] * 7
+    values = [*([columns[c][row] for row in row_of] for c in ("id", "article_id", "page_number")), *rest]
+    return pa.RecordBatch.from_arrays([pa.array(c, {"string": pa.string(), "int": pa.int32()}[f.dataType.simpleString()]) for c, f in zip(values, LINES)], names=LINES.names)
 
 
 def _furniture(lines: DataFrame, articles: DataFrame) -> DataFrame:
@@ -850,9 +892,11 @@ def _furniture(lines: DataFrame, articles: DataFrame) -> DataFrame:
     def furniture(columns: dict) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(5)]
         names = list(columns)
+        made: dict[tuple, tuple] = {}
+        weights = model.value
         for values in zip(*columns.values()):
             e = dict(zip(names, values))
-            kind = furniture_kind(e, model.value)
+            kind = furniture_kind(e, weights, made)
             if kind:
                 for column, v in zip(out, (e["layer_id"], e["line_no"], kind, e["from_top"], e["from_bottom"])):
                     column.append(v)

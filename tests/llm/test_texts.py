@@ -299,6 +299,50 @@ def test_scan_noise(spark):
     assert scans.noisy_lines(layers.limit(0), articles.limit(0), scanner).count() == 0
 
 
+def test_like_line_ends_and_heads_are_judged_once(monkeypatch):
+    scanner = scans.Scanner(scans.fit_editor([], {}, 0), None, None)
+    asked, joins = [], scans.Editor.joins
+    monkeypatch.setattr(scans.Editor, "joins", lambda self, *parts: asked.append(parts) or joins(self, *parts))
+    texts = ["The membrane was mea-\nsured.\n12 3 4 5 6 7 8 9"] * 50
+    columns = {"id": [f"l{i}" for i in range(50)], "article_id": ["a"] * 50, "page_number": [1] * 50, "text": texts}
+    alone = scans.scan_lines({k: v[:1] for k, v in columns.items()}, scanner).drop_columns(["layer_id"]).to_pylist()
+    asked.clear()
+    every = scans.scan_lines(columns, scanner).to_pylist()
+    assert len(asked) == 1 and len(every) == 50 * len(alone)
+    assert [{k: v for k, v in r.items() if k != "layer_id"} for r in every if r["layer_id"] == "l7"] == alone
+    # the weights of lines alike are added up once, and lead to the kinds that all features lead to
+    lines = ["Annals of Good Membranes", "Annals of Good Membranes, Vol. 3", "- 12 -", "The membrane was thin.", "Wasser 5", "離子交換 膜", "Annals of Bad Membranes"]
+    edges = [{"text": t, "from_top": d, "from_bottom": 20 - d, "lines": 21, "title": "The use of films", "journal": "Annals of Good Membranes", "returns": r, "elsewhere": 1 + 2 * d}
+             for t in lines for d in (0, 1, 2, 20) for r in (1, 3)]
+    weights = scans.train_furniture(edges).rows(scans._KINDS)
+    made = {}
+    for e in edges * 2:
+        body = scans._body(e["text"])
+        like = max(scans.likeness(body, scans._head_letters(e[c])) for c in ("title", "journal"))
+        scores = [0.0, 0.0, 0.0]
+        for f in scans.furniture_features(e, like, body):
+            scores = [x + w for x, w in zip(scores, weights.get(f, (0.0, 0.0, 0.0)))]
+        want = scans._KINDS[scores.index(max(scores))]
+        got = scans.furniture_kind(e, weights, made)
+        assert got == (None if want == "text" or want == "page_no" and not scans._numbered(e["text"]) or want == "header" and not body else want)
+    assert weights and 0 < len(made) < len(edges)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("mea-\nsured", {0: ("mea", "-", "sured")}), ("so1¬ \n vent", {}), ("a b_c‐\ndef", {0: ("c", "‐", "def")}), ("-\nx", {}), ("ab-\n12", {}), ("ab\xad\nétat x", {0: ("ab", "\xad", "état")}),
+    ("x2y-\n z", {0: ("x2y", "-", "z")}), ("ab--\ncd", {}), ("ab-", {})])
+def test_line_ends(text, want):
+    assert scans.joints(text.split("\n")) == want
+
+
+def test_edge_lines_are_those_of_each_text():
+    texts = ["", "\n\n", "one\n\ntwo\n" + "x" * 121 + "\n\n" + "\n".join("abcdefg") + "\n", None, " \nlast"]
+    columns = {"id": list("abcde"), "article_id": ["a"] * 5, "page_number": [1] * 5, "text": texts}
+    scanner = scans.Scanner(scans.fit_editor([], {}, 0), None, None, np.sort(arrays.string_hashes(["one", "two", "last", "x" * 121])), np.ones(4, bool))
+    got = [(r["layer_id"], r["line_no"], r["text"], r["from_top"], r["from_bottom"], r["lines"]) for r in scans.scan_lines(columns, scanner).to_pylist() if r["kind"] == "edge"]
+    assert got == [("c", 1, "one", 0, 9, 10), ("c", 3, "two", 1, 8, 10), ("c", 10, "e", 7, 2, 10), ("c", 11, "f", 8, 1, 10), ("c", 12, "g", 9, 0, 10), ("e", 2, "last", 0, 0, 1)]
+
+
 def test_repaired_layers_are_close_to_the_clean_ones(spark):
     rows = scan_corpus(120)
     layers = spark.createDataFrame(rows, LAYERS)
