@@ -135,6 +135,71 @@ def plain(text: str) -> str:
     return _MIXED.sub(_one_script, text) if _OTHER_SCRIPT.search(text) and _SEAM.search(text) else text
 
 
+_ALONE, _WITH_OTHERS, _SCRIPT, _ASCII = 1, 2, 4, 8
+
+
+@functools.cache
+def _plain_table() -> tuple[np.ndarray, dict[str, str]]:
+    """What plain does to each code point: _ALONE if it changes it whatever stands around it (to what is in the mapping),
+    _WITH_OTHERS if that hangs on its neighbours; _SCRIPT and _ASCII if letters of the other scripts or of ASCII come out, or stand side by
+    side once it is gone."""
+    table = np.zeros(TABLE_SIZE, np.uint8)
+    table[ord("A"):ord("Z") + 1] = table[ord("a"):ord("z") + 1] = _ASCII
+    table[TABLE_SIZE - 1] = _WITH_OTHERS  # stands for all code points behind
+    table[0x1161:0x1176] = table[0x11A8:0x11C3] = _WITH_OTHERS
+    changed: dict[str, str] = {}
+    # ideographs and syllables between these stay as they are
+    for c in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):
+        char = chr(c)
+        if unicodedata.combining(char):
+            table[c] |= _WITH_OTHERS
+        pair = unicodedata.decomposition(char).split()
+        if len(pair) == 2 and pair[0][0] != "<":
+            table[int(pair[1], 16)] |= _WITH_OTHERS
+        after = "" if char in _UNSEEN_CHARS else unicodedata.normalize("NFKC", char)
+        if after != char:
+            changed[char] = after
+        if _OTHER_SCRIPT.search(char + after):
+            table[c] |= _SCRIPT
+        if not after or after != char and re.search("[A-Za-z]", after):
+            table[c] |= _ASCII
+    for char, after in changed.items():
+        table[ord(char)] |= _WITH_OTHERS if _SEAM.search(after) or any(x in changed or table[ord(x)] & _WITH_OTHERS for x in after) else _ALONE
+    return table, changed
+
+
+def plain_texts(texts: list[str]) -> list[str]:
+    """plain of each text. Most texts have no characters that it changes, or few that change by themselves; these are
+    found for all texts at once, and the others go through plain."""
+    out = list(texts)
+    wide = [i for i, t in enumerate(texts) if not t.isascii()]
+    if not wide:
+        return out
+    table, changed = _plain_table()
+    batch = TextBatch([texts[i] for i in wide])
+    does = table[batch.codes]
+    at = np.flatnonzero(does & np.uint8(_ALONE | _WITH_OTHERS))
+    chars, kinds = batch.raw[at].tolist(), does[at].tolist()
+    found: dict[int, set[int]] = {}
+    for k, c, kind in zip(np.searchsorted(batch.ends, at).tolist(), chars, kinds):
+        found.setdefault(k, set()).add(-1 if kind & _WITH_OTHERS else c)
+    for k, those in found.items():
+        text = batch.texts[k]
+        if -1 in those:
+            text = plain(text)
+        else:
+            for c in those:
+                text = text.replace(chr(c), changed[chr(c)])
+        out[wide[k]] = text
+    script, latin = (does & np.uint8(_SCRIPT)) > 0, (does & np.uint8(_ASCII)) > 0
+    seams = np.flatnonzero((script[1:] & latin[:-1]) | (latin[1:] & script[:-1]))
+    for k in np.unique(np.searchsorted(batch.ends, seams)).tolist():
+        text = out[wide[k]]
+        if -1 not in found.get(k, ()) and _SEAM.search(text):
+            out[wide[k]] = _MIXED.sub(_one_script, text)
+    return out
+
+
 class TextBatch:
     """The texts of a batch, each followed by one LF that isn't part of it."""
 

@@ -288,7 +288,11 @@ def _distinct(owner: np.ndarray, key: np.ndarray, flag: np.ndarray) -> tuple[np.
 
 def unbroken(text: str) -> str:
     """The plain form with words put together that are broken over lines, and wide characters without line breaks."""
-    text = A.plain(text)
+    return _put_together(A.plain(text))
+
+
+def _put_together(text: str) -> str:
+    """unbroken of a text in plain form."""
     if any(b in text for b in _BREAKS):
         text = _BROKEN.sub("", text)
     return text if text.isascii() else _WIDE_BREAK.sub("", text)
@@ -297,7 +301,7 @@ def unbroken(text: str) -> str:
 def count_words(texts: list[str], words: dict[int, list], wide: dict[int, int]) -> None:
     """Adds to ``words`` (by hash: word in lower case, layers with it, layers with it capitalised) and ``wide`` (by
     trigram: layers) what stands in texts, each once a text."""
-    batch = A.TextBatch([unbroken(t) for t in texts])
+    batch = A.TextBatch(list(map(_put_together, A.plain_texts(texts))))
     starts, ends, _, _ = find_words(batch)
     text = batch.joined
     # a mark behind a word may be one
@@ -306,11 +310,12 @@ def count_words(texts: list[str], words: dict[int, list], wide: dict[int, int])
     for _ in range(3):
         cut -= _IN_WORD[batch.codes[cut - 1]]
     bare = cut > starts[trailing]
-    hashes = np.concatenate([A.span_hashes(batch.lower, starts, ends), A.span_hashes(batch.lower, starts[trailing][bare], cut[bare])])
     starts, ends = np.concatenate([starts, starts[trailing][bare]]), np.concatenate([ends, cut[bare]])
+    hashes = A.span_hashes(batch.lower, starts, ends)
     if len(starts):
         upper = _upper_table()[batch.codes]
-        total = np.concatenate([[0], np.cumsum(upper)])
+        total = np.zeros(len(upper) + 1, np.int32)
+        np.cumsum(upper, out=total[1:])
         capital = upper[starts] & (total[ends] - total[starts] == 1) & (ends - starts > 1)
         at, has = _distinct(np.searchsorted(batch.ends, starts), hashes, capital)
         unique, first, where = np.unique(hashes[at], return_index=True, return_inverse=True)
@@ -561,8 +566,9 @@ def learn_scanner(layers: DataFrame) -> Scanner:
     # sampled by place, before any text is read
     some = stored(sampled(layers.where("layer_type = 'ocr' and text is not null").select("id", "article_id", "page_number"), "id", ALIGNED_PAGES))
     places = F.broadcast(some.select("article_id", "page_number").distinct())
-    scanned = text.where("layer_type = 'ocr'").join(F.broadcast(some.select("id")), "id").select("article_id", "page_number", F.substring("t", 1, TRAINING_CHARS).alias("scan"))
-    clean = text.where("layer_type = 'original'").join(places, ["article_id", "page_number"]).select("article_id", "page_number", F.substring("t", 1, TRAINING_CHARS).alias("clean"))
+    both = stored(text.where("layer_type in ('ocr', 'original')").join(places, ["article_id", "page_number"]).withColumn("t", F.substring("t", 1, TRAINING_CHARS)))
+    scanned = both.where("layer_type = 'ocr'").join(F.broadcast(some.select("id")), "id").select("article_id", "page_number", F.col("t").alias("scan"))
+    clean = both.where("layer_type = 'original'").select("article_id", "page_number", F.col("t").alias("clean"))
     pairs = sorted((r.clean, r.scan) for r in clean.join(scanned, ["article_id", "page_number"]).select("clean", "scan").distinct().limit(2 * ALIGNED_PAGES).collect())
     asked = sorted({w for clean, scan in pairs for t in (clean, scan) for w in _tokens(unbroken(t))} | {A.plain(left + right).lower() for _, scan in pairs for left, _, right in joints(scan.split("\n")).values()})
     counts: dict[str, int] = {}
@@ -589,8 +595,11 @@ def _key(triple: str) -> int:
 
 # --------------------------------------------------------------------------------------------- furniture
 
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
 def _letters(text: str) -> str:
-    return re.sub(r"[\W\d_]+", " ", A.plain(text).lower()).strip()
+    return _NO_LETTERS.sub(" ", A.plain(text).lower()).strip()
 
 
 @functools.lru_cache(maxsize=20_000)
@@ -736,7 +745,7 @@ def furniture_kind(e: dict, rows: dict[str, tuple[float, ...]], made: dict[tuple
 
 LINES = T.StructType([
     T.StructField("layer_id", T.StringType()), T.StructField("article_id", T.StringType()), T.StructField("page_number", T.IntegerType()), T.StructField("line_no", T.IntegerType()),
-    T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("from_top", T.IntegerType()), T.StructField("from_bottom", T.IntegerType()), T.StructField("lines", T.IntegerType()),
+    T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("from_top", T.IntegerType()), T.StructField("from_bottom", T.IntegerType()), T.StructField("lines", T.IntegerType()), T.StructField("key", T.StringType()),
 ])
 
 
@@ -748,13 +757,19 @@ def _isin(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return table[at] == values, at
 
 
+def edge_key(line: str) -> str | None:
+    """The letters of a line in lower case; None where they are too few to know a line by."""
+    key = "".join(filter(str.isalpha, line.lower()))
+    return key if len(key) >= 4 else None
+
+
 def scan_lines(columns: dict, scanner: Scanner) -> pa.RecordBatch:
     """LINES of texts: ``hyphen`` lines (text: join, or keep for a hyphen that stays); ``word`` and ``wide``, words and trigrams to be
     looked up; ``broken``, words over two lines to be looked up (from_top: where the first line ends); ``edge``, lines at the
-    edges of each page as candidates for furniture."""
+    edges of each page as candidates for furniture (key: their letters, by which they are known again)."""
     editor = scanner.editor
     raw = [t or "" for t in columns["text"]]
-    texts = [A.plain(t) for t in raw]
+    texts = A.plain_texts(raw)
     batch = A.TextBatch(texts)
     codes, classes = batch.codes, batch.classes
     line_starts, line_ends, owner = batch.line_bounds()
@@ -792,8 +807,8 @@ def scan_lines(columns: dict, scanner: Scanner) -> pa.RecordBatch:
     junk |= np.array([r.count("(cid:") > 5 for r in raw])
     rows: list[tuple] = []
 
-    def emit(row: int, k: int, kind: str, line: str | None, top: int = 0, bottom: int = 0, lines: int = 0) -> None:
-        rows.append((row, k + 1, kind, line, top, bottom, lines))
+    def emit(row: int, k: int, kind: str, line: str | None, top: int = 0, bottom: int = 0, lines: int = 0, key: str | None = None) -> None:
+        rows.append((row, k + 1, kind, line, top, bottom, lines, key))
 
     # words broken over two lines; soft hyphens are dropped by the plain form, so line ends are read in the text as stored
     in_broken = set()
@@ -836,14 +851,17 @@ def scan_lines(columns: dict, scanner: Scanner) -> pa.RecordBatch:
         if bare != low and correctable(bare):
             emit(row, k, "word", bare, int(name))
     if editor.wide:
-        confused = np.flatnonzero(np.isin(batch.raw, np.array([ord(c) for c in editor.wide], np.uint32)) & wide)
+        confused = np.flatnonzero(wide)
+        confused = confused[np.isin(batch.raw[confused], np.array([ord(c) for c in editor.wide], np.uint32))]
         if len(confused):
-            codes = batch.raw.astype(np.uint64)
+            codes = batch.raw
             # neighbours across a line break count as neighbours
             before = np.where((confused > 1) & (codes[confused - 1] == 10), confused - 2, confused - 1)
             after = np.where((codes[np.minimum(confused + 1, len(codes) - 1)] == 10) & (confused + 2 < len(codes)), confused + 2, confused + 1)
-            keys = (codes[np.maximum(before, 0)] << np.uint64(42)) | (codes[confused] << np.uint64(21)) | codes[np.minimum(after, len(codes) - 1)]
-            for i, key in zip(confused[~_isin(keys, scanner.sure_wide)[0]].tolist(), keys[~_isin(keys, scanner.sure_wide)[0]].tolist()):
+            first, middle, last = (codes[at].astype(np.uint64) for at in (np.maximum(before, 0), confused, np.minimum(after, len(codes) - 1)))
+            keys = (first << np.uint64(42)) | (middle << np.uint64(21)) | last
+            unsure = ~_isin(keys, scanner.sure_wide)[0]
+            for i, key in zip(confused[unsure].tolist(), keys[unsure].tolist()):
                 line = int(np.searchsorted(line_ends, i))
                 row = int(owner[line])
                 if not junk[row]:
@@ -858,16 +876,15 @@ def scan_lines(columns: dict, scanner: Scanner) -> pa.RecordBatch:
     for row, k, a, b, many in zip(of[at].tolist(), (inked[at] - first_line[of[at]]).tolist(), top[at].tolist(), bottom[at].tolist(), count[of[at]].tolist()):
         line = lines_of[row][k]
         if len(line.strip()) <= HEAD_CHARS:
-            emit(row, k, "edge", line, a, b, many)
-    row_of, *rest = zip(*rows) if rows else [()] * 7
+            emit(row, k, "edge", line, a, b, many, edge_key(line))
+    row_of, *rest = zip(*rows) if rows else [()] * 8
     values = [*([columns[c][row] for row in row_of] for c in ("id", "article_id", "page_number")), *rest]
     return pa.RecordBatch.from_arrays([pa.array(c, {"string": pa.string(), "int": pa.int32()}[f.dataType.simpleString()]) for c, f in zip(values, LINES)], names=LINES.names)
 
 
 def _furniture(lines: DataFrame, articles: DataFrame) -> DataFrame:
     """``layer_id, line_no, kind`` of running heads and page numbers among the edge lines."""
-    key = F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "")
-    edges = lines.where("kind = 'edge'").withColumn("key", F.when(F.length(key) >= 4, key))
+    edges = lines.where("kind = 'edge'")
     # returns: pages of the article with the same letters at an edge; elsewhere: articles with them. Only heads that
     # return, and letters found in several articles, are kept: few rows, so the lines needn't be shuffled for them
     by_page = edges.where("key is not null").select("article_id", "key", "page_number").distinct()

@@ -299,6 +299,33 @@ def test_scan_noise(spark):
     assert scans.noisy_lines(layers.limit(0), articles.limit(0), scanner).count() == 0
 
 
+def test_texts_are_brought_to_plain_form_together(monkeypatch):
+    rng = random.Random(5)
+    pool = [chr(c) for c in (*range(0x20, 0x250), *range(0x300, 0x500), *range(0x1100, 0x1200), *range(0x1E00, 0x2200), *range(0x3000, 0x3400), *range(0xAC00, 0xAC20), *range(0xFB00, 0xFB20), *range(0xFF00, 0xFFE0), 0x1D70E, 0x2F800, 0xE0100, 0xAD, 0x200B, 0xFEFF)]
+    texts = ["", "plain", "ﬁlm…", "мeмбрана", "а\u200bb", "㎂", "e\u0301", "각", *(pattern % c for c in pool for pattern in ("%s", "a%sb", "е%sa", "각%s")), *("".join(rng.choices(pool, k=rng.randint(1, 9))) for _ in range(5000))]
+    want = [arrays.plain(t) for t in texts]
+    asked, plain = [], arrays.plain
+    monkeypatch.setattr(arrays, "plain", lambda t: asked.append(t) or plain(t))
+    assert arrays.plain_texts(texts) == want and 0 < len(asked) < len(texts)
+    # texts without characters that hang on their neighbours aren't looked at one by one, and each text of a batch is read so
+    asked.clear()
+    page = ["Über die “Membran” – 5 µm…\nмембрана со\xadstoit", "ﬁlm", "мeмбрана"]
+    assert arrays.plain_texts(page) == list(map(plain, page)) and not asked
+    scanner = scans.Scanner(scans.fit_editor([], {}, 0), None, None)
+    scans.scan_lines({"id": ["a", "b", "c"], "article_id": ["a"] * 3, "page_number": [1] * 3, "text": page}, scanner)
+    scans.count_words(page, {}, {})
+    assert not set(page) & set(asked)
+
+
+def test_letters_of_edge_lines_are_taken_where_lines_are_found(spark):
+    lines = ["Journal of Membranes, Vol. 3", "ÉTUDE 12–14", "第3章 分离膜技术", "12 ab²", "- 7 -", "Ⅳ x\u0301yz_w"]
+    sql = spark.createDataFrame([(t,) for t in lines], "t string").selectExpr(r"regexp_replace(lower(t), '[^\\p{L}]+', '') as k").collect()
+    assert [scans.edge_key(t) for t in lines] == [r.k if len(r.k) >= 4 else None for r in sql]
+    scanner = scans.Scanner(scans.fit_editor([], {}, 0), None, None, np.sort(arrays.string_hashes(["journal", "of", "membranes"])), np.ones(3, bool))
+    rows = scans.scan_lines({"id": ["a"], "article_id": ["a"], "page_number": [1], "text": ["Journal of Membranes\n12"]}, scanner).to_pylist()
+    assert [(r["line_no"], r["key"]) for r in rows if r["kind"] == "edge"] == [(1, "journalofmembranes"), (2, None)]
+
+
 def test_like_line_ends_and_heads_are_judged_once(monkeypatch):
     scanner = scans.Scanner(scans.fit_editor([], {}, 0), None, None)
     asked, joins = [], scans.Editor.joins
